@@ -1,19 +1,24 @@
-"""Typed views of a column: numbers, wall-clock times, digests, quoted names."""
+"""Typed views of a cell: numbers, wall-clock times, digests, quoted names."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 
 def quote_name(name: str) -> str:
+    """SQL reference to a top-level column, whatever characters its name holds."""
     return "`" + name.replace("`", "``") + "`"
 
 
-def column(name: str) -> Column:
-    """Reference a top-level column whatever characters its name holds."""
-    return F.col(quote_name(name))
+def sql_text(value: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -21,12 +26,13 @@ def normalize(df: DataFrame) -> DataFrame:
     floating = (T.FloatType, T.DoubleType)
     if not any(isinstance(f.dataType, floating) for f in df.schema.fields):
         return df
-    return df.select(
+    return df.selectExpr(
         *[
-            F.nanvl(column(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+            f"nanvl({c}, CAST(NULL AS {f.dataType.simpleString()})) AS {c}"
             if isinstance(f.dataType, floating)
-            else column(f.name)
+            else c
             for f in df.schema.fields
+            for c in [quote_name(f.name)]
         ]
     )
 
@@ -44,110 +50,120 @@ def is_temporal(data_type: T.DataType) -> bool:
 
 
 def round1(x: float) -> float:
-    """One decimal, ties away from zero: the same doubles as :func:`round1_col`."""
+    """One decimal, ties away from zero: the same doubles as :func:`round1_sql`."""
     return math.floor(x * 10 + 0.5) / 10
 
 
-def round1_col(x: Column) -> Column:
-    return F.floor(x * F.lit(10.0) + F.lit(0.5)).cast("double") / F.lit(10.0)
+def round1_sql(x: str) -> str:
+    return f"CAST(floor(({x}) * 10e0 + 0.5e0) AS DOUBLE) / 10e0"
 
 
-def as_number(col: Column, data_type: T.DataType) -> Column:
-    """Double view of a column; what cannot be read as a number becomes null."""
+def as_number(c: str, data_type: T.DataType) -> str:
+    """Double view of a cell; what cannot be read as a number becomes null."""
     if is_numeric(data_type):
-        return col.cast("double")
+        return f"CAST({c} AS DOUBLE)"
     if not is_string(data_type):
-        return F.lit(None).cast("double")
+        return "CAST(NULL AS DOUBLE)"
     # "1d" and "1f" are Java literals, not numbers in data.
-    parsed = F.when(~col.rlike(r"[0-9.][dDfF]\s*$"), col).try_cast("double")
-    return F.nanvl(parsed, F.lit(None).cast("double"))
+    text = rf"CASE WHEN NOT {c} RLIKE r'[0-9.][dDfF]\s*$' THEN {c} END"
+    return f"nanvl(try_cast({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 # A date is never longer than this; longer text is not worth parsing.
 _DATE_MAX_BYTES = 64
+_FIRST_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
+_LAST_TIME = "TIMESTAMP_NTZ'9999-12-31 23:59:59.999999'"
 
 
-def as_wall_time(col: Column, data_type: T.DataType) -> Column:
-    """TIMESTAMP_NTZ view of a column; unreadable values and years past 9999 become null.
+def as_wall_time(c: str, data_type: T.DataType) -> str:
+    """TIMESTAMP_NTZ view of a cell; unreadable values and years past 9999 become null.
 
     Strings need a date separator: a bare ``75001`` is a postcode, not a year.
     ``y/m/d`` and month-first ``m/d/y`` are accepted beside ISO text.
     """
     if is_string(data_type):
-        iso = F.when(
-            F.contains(col, F.lit("/")),
-            F.regexp_replace(
-                F.regexp_replace(col, r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
-                r"^\s*(\d{4})/(\d{1,2})/(\d{1,2})",
-                "$1-$2-$3",
-            ),
-        ).otherwise(col)
-        looks_dated = (F.octet_length(col) <= _DATE_MAX_BYTES) & col.rlike(r"^\s*\d{1,4}[-/]\d")
-        wall = F.when(looks_dated, iso).try_cast("timestamp_ntz")
-    elif is_temporal(data_type):
-        wall = col.cast("timestamp_ntz")
-    else:
-        return F.lit(None).cast("timestamp_ntz")
-    return F.when(F.year(wall).between(1, 9999), wall)
-
-
-def hours_between(earlier: Column, later: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", earlier, later).cast("double") / F.lit(3.6e9)
-
-
-def _canonical(col: Column, data_type: T.DataType) -> Column:
-    """Rewrite maps as sorted entry arrays and variants as JSON text, at any depth."""
-    if isinstance(data_type, T.MapType):
-        entries = F.transform(
-            F.map_entries(col),
-            lambda e: F.struct(
-                _canonical(e["key"], data_type.keyType).alias("k"),
-                _canonical(e["value"], data_type.valueType).alias("v"),
-            ),
+        month_first = rf"regexp_replace({c}, r'^\s*(\d{{1,2}})/(\d{{1,2}})/([1-9]\d{{3}})', '$3-$1-$2')"
+        iso = rf"regexp_replace({month_first}, r'^\s*(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
+        return (
+            f"CASE WHEN octet_length({c}) <= {_DATE_MAX_BYTES}"
+            rf" AND {c} RLIKE r'^\s*(?!0+[-/]\d+[-/])\d{{1,4}}[-/]\d'"
+            f" THEN try_cast(CASE WHEN contains({c}, '/') THEN {iso} ELSE {c} END"
+            " AS TIMESTAMP_NTZ) END"
         )
-        return F.array_sort(entries)
-    if isinstance(data_type, T.ArrayType):
-        return F.transform(col, lambda e: _canonical(e, data_type.elementType))
-    if isinstance(data_type, T.StructType):
-        fields = [
-            _canonical(col.getField(f.name), f.dataType).alias(f.name) for f in data_type.fields
-        ]
-        return F.when(col.isNotNull(), F.struct(*fields)) if fields else col.cast("string")
-    if isinstance(data_type, T.VariantType):
-        return F.to_json(col)
-    return col
+    if is_temporal(data_type):
+        wall = f"CAST({c} AS TIMESTAMP_NTZ)"
+        return f"CASE WHEN {wall} BETWEEN {_FIRST_TIME} AND {_LAST_TIME} THEN {wall} END"
+    return "CAST(NULL AS TIMESTAMP_NTZ)"
 
 
-def _hash_inputs(col: Column, data_type: T.DataType) -> list[Column]:
-    """Columns whose hash chain tells two values apart.
+# ------------------------------------------------------------------ digests
 
-    Spark hashes skip nulls and array bounds, so null flags and sizes go in as well.
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+_JSON_OPTIONS = (
+    "map('ignoreNullFields', 'false',"
+    " 'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS',"
+    " 'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+)
+
+
+def digest(c: str, data_type: T.DataType) -> tuple[str, str]:
+    """128-bit key of a cell as two BIGINT fragments; equal cells have equal keys.
+
+    Integers are their own key.  Other values are hashed with two seeds: two of n distinct
+    values share a key with probability about n^2 / 2^129 (1.5e-15 for 10^12 values), and a
+    long text costs 16 bytes in a shuffle.  The key of a null cell means nothing.
     """
-    if isinstance(data_type, T.ArrayType) and not isinstance(
-        data_type.elementType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-    ):
-        flags = [F.transform(col, lambda e: e.isNull())] if data_type.containsNull else []
-        return [col.isNull(), F.size(col), *flags, col]
-    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        as_text = F.to_json(
-            F.struct(_canonical(col, data_type).alias("v")),
-            {
-                "ignoreNullFields": "false",
-                "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-                "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-            },
-        )
-        return [as_text]
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return [col.isNull(), col + F.lit(0).cast(data_type)]  # -0.0 equals 0.0
-    return [col.isNull(), col]
+    if isinstance(data_type, _INTEGRAL):
+        return f"CAST({c} AS BIGINT)", "0L"
+    inputs = _hash_inputs(c, data_type)
+    return f"xxhash64(1, {inputs})", f"xxhash64(2, {inputs})"
 
 
-def digest(*cells: tuple[Column, T.DataType]) -> tuple[Column, Column]:
-    """128-bit digest of one or more typed cells, as two 64-bit hashes with different seeds.
+def row_digest(keys: list[tuple[str, str, str]]) -> tuple[str, str]:
+    """Key of a whole row from (cell, high, low) references to its cells and their keys.
 
-    Two of n distinct values share a digest with probability about n^2 / 2^129
-    (1.5e-15 for 10^12 values), and a long text costs 16 bytes in a shuffle.
+    Spark hashes skip nulls, so a null flag goes in before each key.
     """
-    inputs = [c for col, data_type in cells for c in _hash_inputs(col, data_type)]
-    return F.xxhash64(F.lit(1), *inputs), F.xxhash64(F.lit(2), *inputs)
+    chain = ", ".join(f"{cell} IS NULL, {high}, {low}" for cell, high, low in keys)
+    return f"xxhash64(1, {chain})", f"xxhash64(2, {chain})"
+
+
+def _hash_inputs(c: str, data_type: T.DataType) -> str:
+    """Hash arguments that tell two values of a type apart.
+
+    Hashes skip nulls and array bounds: arrays add their size and null flags, and deeper
+    nesting goes through JSON text.
+    """
+    if isinstance(data_type, T.ArrayType) and not isinstance(data_type.elementType, _NESTED):
+        flags = f", transform({c}, e -> e IS NULL)" if data_type.containsNull else ""
+        return f"size({c}){flags}, {c}"
+    if isinstance(data_type, T.VariantType):
+        return f"to_json({c})"
+    if isinstance(data_type, _NESTED):
+        return f"to_json(named_struct('v', {_canonical(c, data_type)}), {_JSON_OPTIONS})"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return f"{c} + 0e0"  # -0.0 equals 0.0
+    return c
+
+
+def _canonical(c: str, data_type: T.DataType, depth: int = 0) -> str:
+    """Rewrite maps as sorted entry arrays and variants as JSON text, at any depth."""
+    e = f"e{depth}"
+    if isinstance(data_type, T.MapType):
+        key = _canonical(f"{e}.key", data_type.keyType, depth + 1)
+        value = _canonical(f"{e}.value", data_type.valueType, depth + 1)
+        entry = f"named_struct('k', {key}, 'v', {value})"
+        return f"array_sort(transform(map_entries({c}), {e} -> {entry}))"
+    if isinstance(data_type, T.ArrayType):
+        return f"transform({c}, {e} -> {_canonical(e, data_type.elementType, depth + 1)})"
+    if isinstance(data_type, T.StructType) and data_type.fields:
+        fields = ", ".join(
+            f"{sql_text(f.name)}, "
+            + _canonical(f"{c}.{quote_name(f.name)}", f.dataType, depth + 1)
+            for f in data_type.fields
+        )
+        return f"CASE WHEN {c} IS NOT NULL THEN named_struct({fields}) END"
+    if isinstance(data_type, T.VariantType):
+        return f"to_json({c})"
+    return c

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tablevet.functions.text import is_email, is_fake_null, is_padded, is_phone
 from tablevet.functions.values import (
     as_number,
     as_wall_time,
-    column,
     is_numeric,
     is_string,
-    round1_col,
+    quote_name,
+    round1_sql,
+    sql_double,
+    sql_text,
 )
 from tablevet.operators.fused import Check, rows_of
 from tablevet.operators.roles import ColumnRoles, Pair, name_has
@@ -19,40 +21,36 @@ from tablevet.operators.roles import ColumnRoles, Pair, name_has
 # Names whose numbers must not be negative.
 NON_NEGATIVE_NAMES = ("price", "prix", "amount", "montant", "age", "qty", "quantity", "stock")
 
+_NEGATED = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "<>", "!=": "="}
+
 
 def null_profile(df: DataFrame) -> DataFrame:
     """(column, null_count, row_count, completeness) per column; lazy, one scan."""
-    total = F.count(F.lit(1))
     records = []
     for name in df.columns:
-        nulls = F.count_if(column(name).isNull())
+        nulls = f"count_if({quote_name(name)} IS NULL)"
+        score = round1_sql(f"(1 - {nulls} / count(1)) * 100")
         records.append(
             {
-                "column": F.lit(name),
+                "column": sql_text(name),
                 "null_count": nulls,
-                "row_count": total,
-                "completeness": F.when(total == 0, 0.0).otherwise(
-                    round1_col((1 - nulls / total) * 100)
-                ),
+                "row_count": "count(1)",
+                "completeness": f"CASE WHEN count(1) = 0 THEN 0e0 ELSE {score} END",
             }
         )
     return rows_of(
         df,
         records,
-        "column string, null_count bigint, row_count bigint, completeness double",
+        "column:string, null_count:bigint, row_count:bigint, completeness:double",
     )
 
 
 def completeness(df: DataFrame) -> DataFrame:
     """(score, nulls, cells) over all cells of the table; lazy, one scan."""
-    nulls = sum((F.count_if(column(c).isNull()) for c in df.columns), F.lit(0))
-    measured = df.agg(
-        nulls.cast("bigint").alias("nulls"),
-        (F.count(F.lit(1)) * len(df.columns)).cast("bigint").alias("cells"),
-    )
-    score = round1_col((1 - F.col("nulls") / F.col("cells")) * 100)
-    return measured.select(
-        F.when(F.col("cells") == 0, 0.0).otherwise(score).alias("score"), "nulls", "cells"
+    nulls = " + ".join(f"count_if({quote_name(c)} IS NULL)" for c in df.columns)
+    score = round1_sql("(1 - nulls / cells) * 100")
+    return df.selectExpr(f"{nulls} AS nulls", f"count(1) * {len(df.columns)} AS cells").selectExpr(
+        f"CASE WHEN cells = 0 THEN 0e0 ELSE {score} END AS score", "nulls", "cells"
     )
 
 
@@ -66,39 +64,37 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def numeric_profile(df: DataFrame) -> DataFrame:
     """(column, min, max, neg_share) of every numeric column; lazy, one scan."""
-    records = []
-    for name in numeric_columns(df):
-        x = column(name).cast("double")
-        records.append(
-            {
-                "column": F.lit(name),
-                "min": F.min(x),
-                "max": F.max(x),
-                "neg_share": F.try_divide(F.count_if(x < 0), F.count(x)),
-            }
-        )
-    return rows_of(df, records, "column string, min double, max double, neg_share double")
+    records = [
+        {
+            "column": sql_text(name),
+            "min": f"CAST(min({quote_name(name)}) AS DOUBLE)",
+            "max": f"CAST(max({quote_name(name)}) AS DOUBLE)",
+            "neg_share": f"try_divide(count_if({quote_name(name)} < 0), count({quote_name(name)}))",
+        }
+        for name in numeric_columns(df)
+    ]
+    return rows_of(df, records, "column:string, min:double, max:double, neg_share:double")
 
 
 def negative_checks(df: DataFrame, names: tuple[str, ...] = NON_NEGATIVE_NAMES) -> list[Check]:
     return [
-        Check("consistency", "negative", c, column(c) < 0, F.lit(True), "high")
+        Check("consistency", "negative", c, f"{quote_name(c)} < 0", "true", "high")
         for c in numeric_columns(df)
         if name_has(c, names)
     ]
 
 
 def email_checks(df: DataFrame, roles: ColumnRoles) -> list[Check]:
-    return [_format_check("email", c, is_email(column(c))) for c in _present(df, roles.emails)]
+    return [_format_check("email", c, is_email(quote_name(c))) for c in _present(df, roles.emails)]
 
 
 def phone_checks(df: DataFrame, roles: ColumnRoles) -> list[Check]:
-    return [_format_check("phone", c, is_phone(column(c))) for c in _present(df, roles.phones)]
+    return [_format_check("phone", c, is_phone(quote_name(c))) for c in _present(df, roles.phones)]
 
 
-def _format_check(kind: str, name: str, valid: Column) -> Check:
-    filled = column(name).isNotNull()
-    return Check("validity", kind, name, filled & ~valid, filled)
+def _format_check(kind: str, name: str, valid: str) -> Check:
+    filled = f"{quote_name(name)} IS NOT NULL"
+    return Check("validity", kind, name, f"{filled} AND NOT ({valid})", filled)
 
 
 def pair_checks(df: DataFrame, pairs: list[Pair]) -> list[Check]:
@@ -108,19 +104,18 @@ def pair_checks(df: DataFrame, pairs: list[Pair]) -> list[Check]:
     for pair in pairs:
         if pair.col_a not in types or pair.col_b not in types:
             continue
-        sides = [(column(c), types[c]) for c in (pair.col_a, pair.col_b)]
-        if any(is_numeric(t) for _, t in sides):
-            a, b = (as_number(c, t) for c, t in sides)
-        else:
-            a, b = (as_wall_time(c, t) for c, t in sides)
-        both = a.isNotNull() & b.isNotNull()
+        if pair.operator not in _NEGATED:
+            raise ValueError(f"operator must be one of {tuple(_NEGATED)}: {pair.operator!r}")
+        sides = [(quote_name(c), types[c]) for c in (pair.col_a, pair.col_b)]
+        view = as_number if any(is_numeric(t) for _, t in sides) else as_wall_time
+        a, b = (view(c, t) for c, t in sides)
         checks.append(
             Check(
                 "correlation",
                 "pair",
                 f"{pair.col_a}/{pair.col_b}",
-                both & F.coalesce(_broken(a, b, pair.operator), F.lit(False)),
-                both,
+                f"{a} {_NEGATED[pair.operator]} {b}",
+                f"{a} IS NOT NULL AND {b} IS NOT NULL",
                 pair.severity,
                 pair.name,
             )
@@ -128,26 +123,19 @@ def pair_checks(df: DataFrame, pairs: list[Pair]) -> list[Check]:
     return checks
 
 
-def _broken(a: Column, b: Column, operator: str) -> Column:
-    holds = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}
-    if operator not in holds:
-        raise ValueError(f"operator must be one of {tuple(holds)}: {operator!r}")
-    return ~holds[operator]
-
-
 def padding_checks(df: DataFrame) -> list[Check]:
-    return [_text_check("padding", c, is_padded(column(c)), "low") for c in string_columns(df)]
+    return [_text_check("padding", c, is_padded(quote_name(c)), "low") for c in string_columns(df)]
 
 
 def fake_null_checks(df: DataFrame) -> list[Check]:
     return [
-        _text_check("fake_null", c, is_fake_null(column(c)), "medium") for c in string_columns(df)
+        _text_check("fake_null", c, is_fake_null(quote_name(c)), "medium") for c in string_columns(df)
     ]
 
 
-def _text_check(kind: str, name: str, flawed: Column, severity: str) -> Check:
-    filled = column(name).isNotNull()
-    return Check("standardization", kind, name, filled & flawed, filled, severity)
+def _text_check(kind: str, name: str, flawed: str, severity: str) -> Check:
+    filled = f"{quote_name(name)} IS NOT NULL"
+    return Check("standardization", kind, name, f"{filled} AND {flawed}", filled, severity)
 
 
 def outlier_checks(
@@ -159,10 +147,12 @@ def outlier_checks(
         spread = q3 - q1
         if spread == 0:
             continue
-        x = column(name).cast("double")
-        beyond = (x < F.lit(q1 - reach * spread)) | (x > F.lit(q3 + reach * spread))
-        filled = x.isNotNull()
-        checks.append(Check("distribution", "outlier", name, filled & beyond, filled))
+        x = f"CAST({quote_name(name)} AS DOUBLE)"
+        low, high = sql_double(q1 - reach * spread), sql_double(q3 + reach * spread)
+        beyond = f"{x} < {low} OR {x} > {high}"
+        checks.append(
+            Check("distribution", "outlier", name, beyond, f"{quote_name(name)} IS NOT NULL")
+        )
     return checks
 
 

@@ -4,77 +4,101 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from tablevet.functions.values import column, digest
+from tablevet.functions.values import digest, quote_name, round1_sql, row_digest, sql_text
 
 ROW = "*"  # key of the whole-row count
 
+Cells = Mapping[str, tuple[str, T.DataType]]  # key -> SQL expression and its type
 
-def typed_columns(df: DataFrame) -> dict[str, tuple[Column, T.DataType]]:
-    return {f.name: (column(f.name), f.dataType) for f in df.schema.fields}
 
+def typed_columns(df: DataFrame) -> dict[str, tuple[str, T.DataType]]:
+    return {f.name: (quote_name(f.name), f.dataType) for f in df.schema.fields}
 
-def distinct_values(
-    df: DataFrame,
-    cells: Mapping[str, tuple[Column, T.DataType]],
-    whole_rows: bool = False,
-) -> DataFrame:
+
+def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> DataFrame:
     """(key, distinct_count): distinct non-null values per entry of ``cells``; lazy.
 
-    Each row becomes one narrow record per cell (entry number and 128-bit digest).  Grouping
-    by the digest spreads a hot value's entry over all partitions and the map side keeps one
+    Each row becomes one narrow record per cell (entry number and 128-bit key).  Grouping by
+    the key spreads the values of every column over all partitions and the map side keeps one
     record per value and task, so neither a hot value nor a wide row makes a heavy task.  With
     ``whole_rows`` the row itself is one more cell, under the key ``*``.
     """
-    entries: list[tuple[str, Column, Column]] = []
-    for key, (col, data_type) in cells.items():
-        high, low = digest((col, data_type))
-        entries.append((key, F.when(col.isNotNull(), high), low))
-    if whole_rows:
-        high, low = digest(*typed_columns(df).values())
-        entries.append((ROW, high, low))
-    if not entries:
+    every = dict(cells)
+    if not every and not whole_rows:
         return df.sparkSession.createDataFrame([], "key string, distinct_count bigint")
+    row_cells = typed_columns(df) if whole_rows else {}
+    keyed = [*every.values(), *(cell for cell in row_cells.values())]
+    numbers = {cell: i for i, cell in enumerate(dict.fromkeys(keyed))}  # shared cells once
 
-    digests = df.select(
-        *[h.alias(f"h{i}") for i, (_, h, _) in enumerate(entries)],
-        *[l.alias(f"l{i}") for i, (_, _, l) in enumerate(entries)],
-    )
-    flat = [
-        c for i in range(len(entries)) for c in (F.lit(i), F.col(f"h{i}"), F.col(f"l{i}"))
+    keys = []
+    for (expression, data_type), i in numbers.items():
+        high, low = digest(expression, data_type)
+        keys += [f"{expression} IS NOT NULL AS f{i}", f"{high} AS h{i}", f"{low} AS l{i}"]
+    digests = df.selectExpr(*keys)
+
+    records = [
+        f"{n}, IF(f{i}, h{i}, NULL), l{i}"
+        for n, i in enumerate(numbers[cell] for cell in every.values())
     ]
+    if whole_rows:
+        at = [numbers[cell] for cell in row_cells.values()]
+        parts = [(f"IF(f{i}, 1, NULL)", f"h{i}", f"l{i}") for i in at]
+        high, low = row_digest(parts)
+        digests = digests.selectExpr("*", f"{high} AS hr", f"{low} AS lr")
+        records.append(f"{len(records)}, hr, lr")
+    names = [*every, *([ROW] if whole_rows else [])]
+
     counted = (
-        digests.select(F.stack(F.lit(len(entries)), *flat).alias("i", "high", "low"))
-        .filter(F.col("high").isNotNull())
+        digests.selectExpr(f"stack({len(records)}, {', '.join(records)}) AS (i, high, low)")
+        .filter("high IS NOT NULL")
         .distinct()
         .groupBy("i")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Entries without any value produce no group: give them 0.
-    by_entry = counted.agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("found")
+        .count()
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(key).alias("key"),
-                F.coalesce(F.try_element_at("found", F.lit(i)), F.lit(0))
-                .cast("bigint")
-                .alias("distinct_count"),
-            )
-            for i, (key, _, _) in enumerate(entries)
-        ]
+    # Entries without any value have no group: they get 0.
+    rows = ", ".join(
+        f"named_struct('key', {sql_text(name)},"
+        f" 'distinct_count', coalesce(try_element_at(found, {n}), 0L))"
+        for n, name in enumerate(names)
     )
-    return by_entry.select(F.inline(rows))
+    return counted.selectExpr(
+        "map_from_entries(collect_list(struct(i, count))) AS found"
+    ).selectExpr(f"inline(array({rows}))")
 
 
-def distinct_counts(
-    df: DataFrame,
-    cells: Mapping[str, tuple[Column, T.DataType]],
-    whole_rows: bool = False,
-) -> dict[str, int]:
+def distinct_counts(df: DataFrame, cells: Cells, whole_rows: bool = False) -> dict[str, int]:
     return {
         r["key"]: r["distinct_count"]
         for r in distinct_values(df, cells, whole_rows).collect()
     }
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """(row_count, distinct_rows, dup_rows, score); lazy.
+
+    A table of fewer than two rows has no duplicates and scores 100.
+    """
+    fields = df.schema.fields
+    keys, parts = [], []
+    for i, f in enumerate(fields):
+        c = quote_name(f.name)
+        high, low = digest(c, f.dataType)
+        keys += [f"{c} IS NULL AS f{i}", f"{high} AS h{i}", f"{low} AS l{i}"]
+        parts.append((f"IF(f{i}, NULL, 1)", f"h{i}", f"l{i}"))
+    high, low = row_digest(parts)
+    copies = df.selectExpr(*keys).selectExpr(f"{high} AS high", f"{low} AS low")
+    # Counting copies per key needs no second scan for the number of rows.
+    totals = (
+        copies.groupBy("high", "low")
+        .count()
+        .selectExpr("coalesce(sum(count), 0) AS row_count", "count(1) AS distinct_rows")
+    )
+    score = round1_sql("greatest(0e0, 100 - (row_count - distinct_rows) / row_count * 100 * 2)")
+    return totals.selectExpr(
+        "row_count",
+        "distinct_rows",
+        "row_count - distinct_rows AS dup_rows",
+        f"CASE WHEN row_count < 2 THEN 100e0 ELSE {score} END AS score",
+    )

@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tablevet.functions.values import (
-    as_wall_time,
-    column,
-    hours_between,
-    is_string,
-    is_temporal,
-)
+from tablevet.functions.values import as_wall_time, is_string, is_temporal, quote_name, sql_text
 from tablevet.operators.fused import rows_of
 
 
@@ -24,24 +18,25 @@ def freshness(
     A latest value after ``as_of`` scores 100, never more.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    now = F.lit(as_of.isoformat(" ")).cast("timestamp_ntz")
+    now = f"TIMESTAMP_NTZ'{as_of.isoformat(' ')}'"
     records = []
     for name in dates:
         if name in types and (is_string(types[name]) or is_temporal(types[name])):
-            wall = as_wall_time(column(name), types[name])
-            lag = hours_between(F.max(wall), now)
-            score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - lag / threshold_hours * 100))
+            wall = as_wall_time(quote_name(name), types[name])
+            latest = f"max({wall})"
+            lag = f"timestampdiff(MICROSECOND, {latest}, {now}) / 3.6e9"
+            score = f"least(100e0, greatest(0e0, 100 - {lag} / {float(threshold_hours)!r}e0 * 100))"
             records.append(
                 {
-                    "column": F.lit(name),
-                    "max_ts": F.max(wall),
-                    "unparsable": F.count_if(column(name).isNotNull() & wall.isNull()),
+                    "column": sql_text(name),
+                    "max_ts": latest,
+                    "unparsable": f"count({quote_name(name)}) - count({wall})",
                     "lag_hours": lag,
-                    "score": F.when(lag.isNotNull(), score),
+                    "score": f"CASE WHEN {latest} IS NOT NULL THEN {score} END",
                 }
             )
     return rows_of(
         df,
         records,
-        "column string, max_ts timestamp_ntz, unparsable bigint, lag_hours double, score double",
+        "column:string, max_ts:timestamp_ntz, unparsable:bigint, lag_hours:double, score:double",
     )

@@ -5,47 +5,55 @@ from __future__ import annotations
 from collections.abc import Hashable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from tablevet.functions.values import sql_text
 
 # Wider aggregates than this are cut into several scans; with a columnar source each scan
 # reads only its own columns.
-MAX_AGGREGATES = 600
+MAX_AGGREGATES = 400
 
 
 class FusedScan:
-    """Collects named aggregates over one frame and evaluates them together.
+    """Collects named SQL aggregates over one frame and evaluates them together.
 
     One row of scalars reaches the driver, whatever the table size.
     """
 
     def __init__(self) -> None:
-        self._wanted: dict[Hashable, Column] = {}
+        self._wanted: dict[Hashable, tuple[str, str]] = {}
 
-    def want(self, key: Hashable, aggregate: Column) -> None:
-        self._wanted.setdefault(key, aggregate)
+    def want(self, key: Hashable, aggregate: str, finish: str = "{0}") -> None:
+        """Ask for an aggregate; ``finish`` derives the answer from its one final value."""
+        self._wanted.setdefault(key, (aggregate, finish))
 
     def run(self, df: DataFrame) -> dict:
         items = list(self._wanted.items())
         found: dict = {}
         for start in range(0, len(items), MAX_AGGREGATES):
             part = items[start : start + MAX_AGGREGATES]
-            row = df.agg(*[agg.alias(f"m{i}") for i, (_, agg) in enumerate(part)]).collect()[0]
+            measured = df.selectExpr(*[f"{agg} AS m{i}" for i, (_, (agg, _)) in enumerate(part)])
+            if any(finish != "{0}" for _, (_, finish) in part):
+                measured = measured.selectExpr(
+                    *[f"{fin.format(f'm{i}')} AS m{i}" for i, (_, (_, fin)) in enumerate(part)]
+                )
+            row = measured.collect()[0]
             found.update((key, row[i]) for i, (key, _) in enumerate(part))
         return found
 
 
-@dataclass(frozen=True, eq=False)
+@dataclass(frozen=True)
 class Check:
     """A row predicate with the rows it applies to.
 
-    ``violation`` and ``checked`` are boolean and never null; ``column`` labels the result.
+    ``violation`` and ``checked`` are SQL predicates; ``column`` labels the result.
     """
 
     dimension: str
     kind: str
     column: str
-    violation: Column
-    checked: Column
+    violation: str
+    checked: str
     severity: str = "medium"
     name: str = ""
 
@@ -53,28 +61,34 @@ class Check:
     def key(self) -> tuple[str, str, str]:
         return (self.kind, self.column, self.name)
 
+    @property
+    def violations_agg(self) -> str:
+        return f"count_if({self.violation})"
+
+    @property
+    def checked_agg(self) -> str:
+        return "count(1)" if self.checked == "true" else f"count_if({self.checked})"
+
     def add_to(self, scan: FusedScan) -> None:
-        scan.want((*self.key, "violations"), F.count_if(self.violation))
-        scan.want((*self.key, "checked"), F.count_if(self.checked))
+        scan.want((*self.key, "violations"), self.violations_agg)
+        scan.want((*self.key, "checked"), self.checked_agg)
 
     def counts(self, found: dict) -> tuple[int, int]:
         return found[(*self.key, "violations")], found[(*self.key, "checked")]
 
 
-def rows_of(df: DataFrame, records: Iterable[dict[str, Column]], schema: str) -> DataFrame:
+def rows_of(df: DataFrame, records: Iterable[dict[str, str]], schema: str) -> DataFrame:
     """One aggregate over ``df`` turned into one output row per record; lazy.
 
-    Every record maps the column names of ``schema`` (DDL) to literals or aggregates.
+    Every record maps the column names of ``schema`` (``name:type, …``) to SQL literals or
+    aggregates.
     """
-    structs = [F.struct(*[c.alias(n) for n, c in r.items()]) for r in records]
-    if not structs:
-        return df.sparkSession.createDataFrame([], schema)
-    measured = df.agg(F.array(*structs).cast(f"array<struct<{_as_fields(schema)}>>").alias("r"))
-    return measured.select(F.inline("r"))
-
-
-def _as_fields(ddl: str) -> str:
-    return ", ".join(part.strip().replace(" ", ":", 1) for part in ddl.split(","))
+    structs = [
+        "named_struct(" + ", ".join(f"'{n}', {sql}" for n, sql in r.items()) + ")"
+        for r in records
+    ]
+    measured = f"CAST(array({', '.join(structs)}) AS array<struct<{schema}>>) AS r"
+    return df.selectExpr("count(1) AS n", measured).selectExpr("inline(r)")
 
 
 def count_checks(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
@@ -83,13 +97,13 @@ def count_checks(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
         df,
         [
             {
-                "column": F.lit(c.column),
-                "name": F.lit(c.name),
-                "severity": F.lit(c.severity),
-                "violations": F.count_if(c.violation),
-                "checked": F.count_if(c.checked),
+                "column": sql_text(c.column),
+                "name": sql_text(c.name),
+                "severity": sql_text(c.severity),
+                "violations": c.violations_agg,
+                "checked": c.checked_agg,
             }
             for c in checks
         ],
-        "column string, name string, severity string, violations bigint, checked bigint",
+        "column:string, name:string, severity:string, violations:bigint, checked:bigint",
     )

@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from tablevet.functions.values import sql_double
 from tablevet.operators.fused import FusedScan
 
 QUARTILES = (0.25, 0.75)
-# Non-null count up to which a column's quartiles come from one aggregate buffer.
-DIRECT_LIMIT = 1_000_000
-# Interval size up to which its values are read out.
-PICK_LIMIT = 100_000
+# Interval size up to which one aggregate buffer may hold its values.
+PICK_LIMIT = 200_000
 # Values that all buffers of one aggregate may hold together.
 _BUFFER_BUDGET = 8_000_000
+_SAMPLE_SIZE = 100_000
+# Guide points around a wanted rank, in standard errors of the sample.
+_SPREAD = (-4.0, 4.0)
+_DRAW = "__draw"
 # Each round shrinks an interval by orders of magnitude; this many cannot be needed.
 _MAX_ROUNDS = 50
-_SAMPLE_SIZE = 500_000
-# Guide points around a wanted rank, in standard errors of the sample.
-_SPREAD = (-6.0, -2.0, -0.5, 0.5, 2.0, 6.0)
 
 
-def approximate_quartiles(col: Column) -> Column:
+def approximate_quartiles(x: str) -> str:
     """Aggregate: [q1, q3] with relative rank error 0.01."""
-    return F.percentile_approx(col, list(QUARTILES), 100)
+    return f"percentile_approx({x}, array{QUARTILES}, 100)"
 
 
 @dataclass
@@ -34,7 +34,7 @@ class _Search:
     """The open value interval known to hold one order statistic of one column."""
 
     name: str
-    col: Column
+    x: str  # double expression
     rank: int  # zero-based, among all non-null values
     size: int  # values strictly inside (low, high)
     low: float | None = None
@@ -42,67 +42,63 @@ class _Search:
     below: int = 0  # values <= low
     value: float | None = None
 
-    def inside(self) -> Column:
-        x = self.col
-        held = x.isNotNull()
+    def inside(self) -> str:
+        bounds = [f"{self.x} IS NOT NULL"]
         if self.low is not None:
-            held = held & (x > F.lit(self.low))
+            bounds.append(f"{self.x} > {sql_double(self.low)}")
         if self.high is not None:
-            held = held & (x < F.lit(self.high))
-        return held
+            bounds.append(f"{self.x} < {sql_double(self.high)}")
+        return " AND ".join(bounds)
 
 
 def quartiles(
     df: DataFrame,
-    columns: Mapping[str, tuple[Column, int]],
-    direct_limit: int = DIRECT_LIMIT,
+    columns: Mapping[str, tuple[str, int]],
     pick_limit: int = PICK_LIMIT,
 ) -> dict[str, tuple[float, float]]:
-    """Exact (q1, q3) per entry; ``columns`` gives a double column and its non-null count.
-
-    Small columns go through Spark's exact ``percentile``.  Its buffer holds every distinct
-    value in one task, so larger ones are searched instead: a random sample proposes values
-    near the wanted ranks, a full scan counts how many values lie below each, and the interval
-    that holds the rank is searched again until its values fit one buffer.  The sample only
-    guides the search: every decision rests on a count over all rows.  Nothing is shuffled but
-    one row of counts per task.
-    """
-    present = {name: (col, n) for name, (col, n) in columns.items() if n > 0}
-    direct = [(name, col, n) for name, (col, n) in present.items() if n <= direct_limit]
-    found: dict[str, tuple[float, float]] = {}
-    for batch in _batches(direct, lambda item: item[2]):
-        scan = FusedScan()
-        for name, col, _ in batch:
-            scan.want(name, F.percentile(col, list(QUARTILES)))
-        found.update({name: tuple(q) for name, q in scan.run(df).items()})
+    """Exact (q1, q3) per entry; ``columns`` gives a double expression and its non-null count.
 
+    Spark's ``percentile`` keeps every distinct value of a column in one task.  Here a random
+    sample proposes values near the wanted ranks, a scan over all rows counts how many values
+    lie below each, and the interval that holds the rank is searched again until its values
+    fit one buffer and are read out.  The sample only guides the search: every decision rests
+    on a count over all rows.  Nothing is shuffled but one row of counts per task.
+    """
+    present = {name: (x, n) for name, (x, n) in columns.items() if n > 0}
     wanted = {
-        (name, rank): _Search(name, col, rank, n)
-        for name, (col, n) in present.items()
-        if name not in found
+        (name, rank): _Search(name, x, rank, n)
+        for name, (x, n) in present.items()
         for q in QUARTILES
         for rank in _neighbours(q, n)
     }
     _resolve(df, list(wanted.values()), pick_limit)
-    for name, (_, n) in present.items():
-        if name not in found:
-            found[name] = tuple(
-                _interpolate(q, n, [wanted[name, r].value for r in _neighbours(q, n)])
-                for q in QUARTILES
-            )
-    return {name: found[name] for name in present}
+    return {
+        name: tuple(
+            _interpolate(q, n, [wanted[name, r].value for r in _neighbours(q, n)])
+            for q in QUARTILES
+        )
+        for name, (_, n) in present.items()
+    }
+
+
+def _by_interval(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches of one column that are still in the same interval share their scan work."""
+    groups: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault((s.name, s.low, s.high), []).append(s)
+    return list(groups.values())
 
 
-def _batches(items: list, weight: Callable) -> list[list]:
-    """Consecutive runs of items whose weights add up to at most the buffer budget."""
-    out: list[list] = []
+def _batches(groups: list[list[_Search]]) -> list[list[list[_Search]]]:
+    """Consecutive runs of intervals whose values fit the buffer budget together."""
+    out: list[list[list[_Search]]] = []
     room = 0
-    for item in items:
-        if not out or weight(item) > room:
+    for same in groups:
+        if not out or same[0].size > room:
             out.append([])
             room = _BUFFER_BUDGET
-        out[-1].append(item)
-        room -= weight(item)
+        out[-1].append(same)
+        room -= same[0].size
     return out
 
 
@@ -133,15 +129,12 @@ def _resolve(df: DataFrame, searches: list[_Search], pick_limit: int) -> None:
 
 def _pick(df: DataFrame, searches: list[_Search]) -> None:
     """Read order statistics out of intervals whose size is known to fit one buffer."""
-    intervals: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        intervals.setdefault((s.name, s.low, s.high), []).append(s)
-    for batch in _batches(list(intervals.values()), lambda same: same[0].size):
+    for batch in _batches(_by_interval(searches)):
         scan = FusedScan()
         for same in batch:
-            values = F.sort_array(F.collect_list(F.when(same[0].inside(), same[0].col)))
-            picks = [F.element_at(values, F.lit(s.rank - s.below + 1)) for s in same]
-            scan.want(id(same[0]), F.array(*picks))
+            values = f"sort_array(collect_list(CASE WHEN {same[0].inside()} THEN {same[0].x} END))"
+            picks = ", ".join(f"element_at({{0}}, {s.rank - s.below + 1})" for s in same)
+            scan.want(id(same[0]), values, f"array({picks})")
         found = scan.run(df)
         for same in batch:
             for s, value in zip(same, found[id(same[0])]):
@@ -150,25 +143,16 @@ def _pick(df: DataFrame, searches: list[_Search]) -> None:
 
 def _narrow(df: DataFrame, searches: list[_Search], seed: int) -> None:
     """Shrink each interval around its rank, or hit the value itself."""
+    guides = _propose(df, searches, seed)
     scan = FusedScan()
     for s in searches:
-        taken = min(_SAMPLE_SIZE, s.size)
-        centre = (s.rank - s.below + 0.5) / s.size
-        error = math.sqrt(max(centre * (1 - centre), 1 / s.size) / taken)
-        points = sorted({min(1.0, max(0.0, centre + k * error)) for k in _SPREAD})
-        guide = F.when(s.inside() & (F.rand(seed) < F.lit(taken / s.size)), s.col)
-        scan.want(id(s), F.percentile_approx(guide, points, 100_000))
-    proposed = {key: sorted(set(values or [])) for key, values in scan.run(df).items()}
-
-    scan = FusedScan()
-    for s in searches:
-        for v in proposed[id(s)]:
-            scan.want((s.name, v, "lt"), F.count_if(s.col < F.lit(v)))
-            scan.want((s.name, v, "le"), F.count_if(s.col <= F.lit(v)))
+        for v in guides[id(s)]:
+            scan.want((s.name, v, "lt"), f"count_if({s.x} < {sql_double(v)})")
+            scan.want((s.name, v, "le"), f"count_if({s.x} <= {sql_double(v)})")
     counts = scan.run(df)
     for s in searches:
         above = s.below + s.size  # values < high
-        for v in proposed[id(s)]:
+        for v in guides[id(s)]:
             less, upto = counts[s.name, v, "lt"], counts[s.name, v, "le"]
             if less <= s.rank < upto:
                 s.value = v
@@ -179,3 +163,43 @@ def _narrow(df: DataFrame, searches: list[_Search], seed: int) -> None:
                 s.high, above = v, less
                 break
         s.size = above - s.below
+
+
+def _propose(df: DataFrame, searches: list[_Search], seed: int) -> dict[int, list[float]]:
+    """Sorted values near each wanted rank, read off a random sample of its interval."""
+    groups = _by_interval(searches)
+    per_scan = _BUFFER_BUDGET // _SAMPLE_SIZE
+    proposed: dict[int, list[float]] = {}
+    for start in range(0, len(groups), per_scan):
+        batch = groups[start : start + per_scan]
+        shares = [min(1.0, _SAMPLE_SIZE / same[0].size) for same in batch]
+        scan = FusedScan()
+        for same, share in zip(batch, shares):
+            chosen = f"{same[0].inside()} AND {_DRAW} < {sql_double(share)}"
+            points = ", ".join(f"array({_guides(s)})" for s in same)
+            scan.want(
+                id(same[0]),
+                f"sort_array(collect_list(CASE WHEN {chosen} THEN {same[0].x} END))",
+                f"array({points})",
+            )
+        # Rows no interval draws are dropped before the aggregate.
+        drawn = df.selectExpr("*", f"rand({seed}) AS {_DRAW}").filter(
+            f"{_DRAW} < {sql_double(max(shares))}"
+        )
+        found = scan.run(drawn)
+        for same in batch:
+            for s, values in zip(same, found[id(same[0])]):
+                proposed[id(s)] = sorted({v for v in values if v is not None})
+    return proposed
+
+
+def _guides(s: _Search) -> str:
+    """Sample elements around the wanted rank, as SQL over the sorted sample ``{0}``."""
+    taken = min(_SAMPLE_SIZE, s.size)
+    centre = (s.rank - s.below + 0.5) / s.size
+    error = math.sqrt(max(centre * (1 - centre), 1 / taken) / taken)
+    shares = [min(1.0, max(0.0, centre + k * error)) for k in _SPREAD]
+    return ", ".join(
+        f"get({{0}}, CAST(floor((size({{0}}) - 1) * {sql_double(share)}) AS INT))"
+        for share in shares
+    )

@@ -8,19 +8,12 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from tablevet.functions.values import as_number, column, is_numeric, is_string, quote_name
+from tablevet.functions.values import as_number, is_numeric, quote_name, sql_double, sql_text
 from tablevet.operators.fused import Check
 
-OPERATORS = {
-    ">": lambda a, b: a > b,
-    ">=": lambda a, b: a >= b,
-    "<": lambda a, b: a < b,
-    "<=": lambda a, b: a <= b,
-    "==": lambda a, b: a == b,
-    "!=": lambda a, b: a != b,
-}
+OPERATORS = (">", ">=", "<", "<=", "==", "!=")
 SEVERITIES = ("low", "medium", "high")
 NULL_POLICIES = ("violation", "ignore")
 
@@ -58,7 +51,7 @@ def build_rule(
 ) -> Rule:
     """Rule from its parts; a value that reads as a number is compared as one."""
     if operator not in OPERATORS:
-        raise ValueError(f"operator must be one of {tuple(OPERATORS)}: {operator!r}")
+        raise ValueError(f"operator must be one of {OPERATORS}: {operator!r}")
     shown = value if _as_float(value) is not None else sql_text(value)
     condition = f"{quote_name(column_name)} {operator} {shown}"
     return Rule(name, condition, column_name, severity, operator, value)
@@ -72,11 +65,6 @@ def remove_rule(rules: list[Rule], name: str) -> list[Rule]:
     return [r for r in rules if r.name != name]
 
 
-def sql_text(value: str) -> str:
-    """Spark SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @dataclass(frozen=True)
 class CompiledRules:
     """``df`` carries one boolean column per applicable rule, true where a row violates it."""
@@ -97,13 +85,13 @@ def compile_rules(
     """
     if null_policy not in NULL_POLICIES:
         raise ValueError(f"null_policy must be one of {NULL_POLICIES}: {null_policy!r}")
-    violations: list[tuple[Rule, Column]] = []
+    violations: list[tuple[Rule, str]] = []
     rejected: list[tuple[Rule, str]] = []
     with _lenient_casts(df.sparkSession):
         for rule in map(Rule.of, rules):
             try:
                 condition = _condition(df, rule)
-                if not isinstance(df.select(condition).schema[0].dataType, T.BooleanType):
+                if not isinstance(df.selectExpr(condition).schema[0].dataType, T.BooleanType):
                     raise ValueError("the condition is not true or false")
             except (AnalysisException, ParseException, ValueError) as e:
                 rejected.append((rule, str(e).splitlines()[0]))
@@ -111,18 +99,18 @@ def compile_rules(
             passes_on_null = null_policy == "ignore" or (
                 rule.operator == "!=" and rule.column in df.columns
             )
-            met = F.coalesce(condition, F.lit(passes_on_null))
-            violations.append((rule, ~met))
+            met = f"coalesce({condition}, {str(passes_on_null).lower()})"
+            violations.append((rule, f"NOT {met}"))
         names = [f"__rule_{i}" for i in range(len(violations))]
-        checked_df = df.select("*", *[v.alias(n) for n, (_, v) in zip(names, violations)])
+        checked_df = df.selectExpr("*", *[f"{v} AS {n}" for n, (_, v) in zip(names, violations)])
         checked_df.schema  # analysed here, under lenient casts
     checks = [
         Check(
             "consistency",
             "rule",
             rule.column or "custom",
-            F.col(n),
-            F.lit(True),
+            n,
+            "true",
             rule.severity,
             rule.name,
         )
@@ -131,22 +119,20 @@ def compile_rules(
     return CompiledRules(checked_df, checks, rejected)
 
 
-def _condition(df: DataFrame, rule: Rule) -> Column:
+def _condition(df: DataFrame, rule: Rule) -> str:
     field = next((f for f in df.schema.fields if f.name == rule.column), None)
-    if rule.operator in OPERATORS and field is not None:
-        compare = OPERATORS[rule.operator]
-        number = _as_float(rule.value)
-        if number is not None and is_numeric(field.dataType):
-            return compare(column(rule.column), F.lit(number))
-        if number is not None:
-            # Text against a number: what does not read as a number counts as missing.
-            return compare(as_number(column(rule.column), field.dataType), F.lit(number))
-        if is_string(field.dataType):
-            return compare(column(rule.column), F.lit(rule.value))
-        if is_numeric(field.dataType):
-            raise ValueError(f"{rule.value!r} is not a number")
-        return F.expr(f"{quote_name(rule.column)} {rule.operator} {sql_text(rule.value)}")
-    return F.expr(rule.condition)
+    if rule.operator not in OPERATORS or field is None:
+        return f"({rule.condition}\n)"  # the line break ends a trailing comment
+    c = quote_name(rule.column)
+    number = _as_float(rule.value)
+    if number is not None:
+        # Text against a number: what does not read as a number counts as missing.
+        left = c if is_numeric(field.dataType) else as_number(c, field.dataType)
+        literal = str(number) if isinstance(number, int) else sql_double(number)
+        return f"{left} {rule.operator} {literal}"
+    if is_numeric(field.dataType):
+        raise ValueError(f"{rule.value!r} is not a number")
+    return f"{c} {rule.operator} {sql_text(rule.value)}"
 
 
 def _as_float(text: str) -> int | float | None:

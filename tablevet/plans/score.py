@@ -12,20 +12,22 @@ Only per-column scalars reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 
 from tablevet.functions.text import folded
 from tablevet.functions.values import (
     as_wall_time,
-    column,
     digest,
     is_numeric,
     is_string,
     is_temporal,
     normalize,
+    quote_name,
     round1,
 )
 from tablevet.operators.checks import (
@@ -189,22 +191,27 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     open_columns = [] if roles else undecided(schema, names)
     by_schema = roles or assemble_roles(schema, {}, names)
 
+    # The shuffle of the distinct counts runs beside the scans that do not need it.
+    counting = _Background(
+        lambda: distinct_counts(df, typed_columns(df) if exact else {}, whole_rows=True)
+    )
     scan = FusedScan()
-    scan.want("rows", F.count(F.lit(1)))
-    scan.want("now", F.first(F.localtimestamp()))
+    scan.want("rows", "count(1)")
+    scan.want("now", "max(localtimestamp())")
     for f in schema.fields:
-        scan.want((f.name, "nulls"), F.count_if(column(f.name).isNull()))
+        c = quote_name(f.name)
+        scan.want((f.name, "nulls"), f"count_if({c} IS NULL)")
         if f.name in open_columns:
-            for part, agg in content_counts(column(f.name)).items():
+            for part, agg in content_counts(c).items():
                 scan.want((f.name, part), agg)
         if f.name in open_columns or f.name in by_schema.dates:
             if is_string(f.dataType) or is_temporal(f.dataType):
-                scan.want((f.name, "latest"), F.max(as_wall_time(column(f.name), f.dataType)))
+                scan.want((f.name, "latest"), f"max({as_wall_time(c, f.dataType)})")
         if not exact:
-            scan.want((f.name, "distinct"), _approximate_distinct(f))
+            key = f"IF({c} IS NOT NULL, {digest(c, f.dataType)[0]}, NULL)"
+            scan.want((f.name, "distinct"), f"approx_count_distinct({key})")
             if is_numeric(f.dataType):
-                x = column(f.name).cast("double")
-                scan.want((f.name, "quartiles"), approximate_quartiles(x))
+                scan.want((f.name, "quartiles"), approximate_quartiles(f"CAST({c} AS DOUBLE)"))
     for check in [
         *negative_checks(df),
         *email_checks(df, by_schema),
@@ -223,29 +230,32 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         }
         roles = assemble_roles(schema, content, names)
 
-    cells = typed_columns(df) if exact else {}
-    distinct = distinct_counts(df, cells, whole_rows=True) if rows else {}
-    if not exact:
-        distinct.update({f.name: found[f.name, "distinct"] for f in schema.fields})
-
     filled = {c: rows - found[c, "nulls"] for c in numeric_columns(df)}
-    measurable = [c for c, n in filled.items() if n >= MIN_VALUES_FOR_OUTLIERS]
+    measurable = {c: n for c, n in filled.items() if n >= MIN_VALUES_FOR_OUTLIERS}
     if exact:
-        numbers = df.select(*[column(c).cast("double").alias(c) for c in measurable])
-        fences = quartiles(numbers, {c: (column(c), filled[c]) for c in measurable})
+        numbers = df.selectExpr(
+            *[f"CAST({quote_name(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(measurable)]
+        )
+        wanted = {c: (f"x{i}", n) for i, (c, n) in enumerate(measurable.items())}
+        fences = quartiles(numbers, wanted)
     else:
         fences = {c: tuple(found[c, "quartiles"]) for c in measurable}
 
+    distinct = counting.result()
+    if not exact:
+        distinct.update({f.name: found[f.name, "distinct"] for f in schema.fields})
+
     outliers = outlier_checks(df, fences)
     scan = FusedScan()
     for check in [*outliers, *pair_checks(df, roles.pairs)]:
         check.add_to(scan)
     for name in string_columns(df):
-        if 2 <= distinct.get(name, 0) <= MAX_SPELLINGS:
-            # At most MAX_SPELLINGS digests per task.
-            high, low = digest((folded(column(name)), T.StringType()))
-            known = F.when(column(name).isNotNull(), F.struct(high, low))
-            scan.want((name, "spellings"), F.size(F.collect_set(known)))
+        if 2 <= distinct[name] <= MAX_SPELLINGS:
+            scan.want(
+                (name, "values"),
+                f"collect_set({quote_name(name)})",  # known to hold at most MAX_SPELLINGS
+                f"size(array_distinct(transform({{0}}, s -> {folded('s')})))",
+            )
     found.update(scan.run(df))
     return _Measured(
         rows,
@@ -259,9 +269,26 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     )
 
 
-def _approximate_distinct(f: T.StructField):
-    high, _ = digest((column(f.name), f.dataType))
-    return F.approx_count_distinct(F.when(column(f.name).isNotNull(), high))
+class _Background:
+    """One Spark action submitted from a second thread."""
+
+    def __init__(self, action: Callable[[], dict]) -> None:
+        self._outcome: dict | BaseException | None = None
+
+        def run() -> None:
+            try:
+                self._outcome = action()
+            except BaseException as e:  # handed to the caller of result()
+                self._outcome = e
+
+        self._thread = InheritableThread(target=run)
+        self._thread.start()
+
+    def result(self) -> dict:
+        self._thread.join()
+        if isinstance(self._outcome, BaseException):
+            raise self._outcome
+        return self._outcome
 
 
 # ------------------------------------------------------------------ dimensions
@@ -407,7 +434,7 @@ def _standardization(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
         violations += fake
         if fake:
             issues.append(_issue(fake_check, fake, filled, f"{fake:,} stand-ins for null"))
-        spellings, values = m.distinct.get(name, 0), m.found.get((name, "spellings"))
+        spellings, values = m.distinct.get(name, 0), m.found.get((name, "values"))
         if values is not None and values < spellings:
             violations += (spellings - values) * SPELLING_PENALTY
             message = f"{spellings} spellings of {values} values"
