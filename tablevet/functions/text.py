@@ -40,11 +40,12 @@ def is_padded(c: str) -> str:
 
 
 def is_fake_null(c: str) -> str:
-    """Stripped lower-case value is a stand-in for null; long unpadded texts are skipped early."""
+    """``folded(c)`` is a stand-in for null; only padded cells are stripped for it."""
     tokens = ", ".join(sql_text(t) for t in FAKE_NULLS)
     return (
-        f"CASE WHEN octet_length({c}) <= {_FAKE_NULL_MAX_BYTES} OR {is_padded(c)}"
-        f" THEN {folded(c)} IN ({tokens}) ELSE false END"
+        f"CASE WHEN {is_padded(c)} THEN {folded(c)} IN ({tokens})"
+        f" WHEN octet_length({c}) <= {_FAKE_NULL_MAX_BYTES} THEN lower({c}) IN ({tokens})"
+        " ELSE false END"
     )
 
 

@@ -87,6 +87,9 @@ def rows_of(df: DataFrame, records: Iterable[dict[str, str]], schema: str) -> Da
         "named_struct(" + ", ".join(f"'{n}', {sql}" for n, sql in r.items()) + ")"
         for r in records
     ]
+    if not structs:
+        columns = schema.replace(":", " ")
+        return df.sparkSession.createDataFrame([], columns)
     measured = f"CAST(array({', '.join(structs)}) AS array<struct<{schema}>>) AS r"
     return df.selectExpr("count(1) AS n", measured).selectExpr("inline(r)")
 
