@@ -50,7 +50,9 @@ def is_fake_null(c: str) -> str:
 
 
 def is_email(c: str) -> str:
-    return f"CAST({c} AS STRING) RLIKE r'{EMAIL_PATTERN}'"
+    text = f"CAST({c} AS STRING)"
+    # Most cells without an address are told apart before the pattern runs.
+    return f"(contains({text}, '@') AND {text} RLIKE r'{EMAIL_PATTERN}')"
 
 
 def is_phone(c: str) -> str:

@@ -69,8 +69,8 @@ def as_number(c: str, data_type: T.DataType) -> str:
     return f"nanvl(try_cast({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-# A date is never longer than this; longer text is not worth parsing.
-_DATE_MAX_BYTES = 64
+# A written date is never shorter (2024-1) or longer: other text is not worth parsing.
+_DATE_BYTES = (6, 64)
 _FIRST_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 _LAST_TIME = "TIMESTAMP_NTZ'9999-12-31 23:59:59.999999'"
 
@@ -85,7 +85,7 @@ def as_wall_time(c: str, data_type: T.DataType) -> str:
         month_first = rf"regexp_replace({c}, r'^\s*(\d{{1,2}})/(\d{{1,2}})/([1-9]\d{{3}})', '$3-$1-$2')"
         iso = rf"regexp_replace({month_first}, r'^\s*(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
         return (
-            f"CASE WHEN octet_length({c}) <= {_DATE_MAX_BYTES}"
+            f"CASE WHEN octet_length({c}) BETWEEN {_DATE_BYTES[0]} AND {_DATE_BYTES[1]}"
             rf" AND {c} RLIKE r'^\s*(?!0+[-/]\d+[-/])\d{{1,4}}[-/]\d'"
             f" THEN try_cast(CASE WHEN contains({c}, '/') THEN {iso} ELSE {c} END"
             " AS TIMESTAMP_NTZ) END"

@@ -135,7 +135,8 @@ def _pick(df: DataFrame, searches: list[_Search]) -> None:
             values = f"sort_array(collect_list(CASE WHEN {same[0].inside()} THEN {same[0].x} END))"
             picks = ", ".join(f"element_at({{0}}, {s.rank - s.below + 1})" for s in same)
             scan.want(id(same[0]), values, f"array({picks})")
-        found = scan.run(df)
+        # Rows outside every interval are dropped before the aggregate.
+        found = scan.run(df.filter(" OR ".join(f"({same[0].inside()})" for same in batch)))
         for same in batch:
             for s, value in zip(same, found[id(same[0])]):
                 s.value = value

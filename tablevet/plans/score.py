@@ -195,6 +195,8 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     counting = _Background(
         lambda: distinct_counts(df, typed_columns(df) if exact else {}, whole_rows=True)
     )
+    # Sketches are no part of whole-stage code: apart, they do not slow the counts down.
+    sketching = _Background(lambda: {} if exact else _sketches(df).run(df))
     scan = FusedScan()
     scan.want("rows", "count(1)")
     scan.want("now", "max(localtimestamp())")
@@ -207,11 +209,6 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         if f.name in open_columns or f.name in by_schema.dates:
             if is_string(f.dataType) or is_temporal(f.dataType):
                 scan.want((f.name, "latest"), f"max({as_wall_time(c, f.dataType)})")
-        if not exact:
-            key = f"IF({c} IS NOT NULL, {digest(c, f.dataType)[0]}, NULL)"
-            scan.want((f.name, "distinct"), f"approx_count_distinct({key})")
-            if is_numeric(f.dataType):
-                scan.want((f.name, "quartiles"), approximate_quartiles(f"CAST({c} AS DOUBLE)"))
     for check in [
         *negative_checks(df),
         *email_checks(df, by_schema),
@@ -221,7 +218,7 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         *compiled.checks,
     ]:
         check.add_to(scan)
-    found = scan.run(compiled.df)
+    found = scan.run(compiled.df) | sketching.result()
     rows = found["rows"]
     if roles is None:
         content = {
@@ -245,18 +242,15 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     if not exact:
         distinct.update({f.name: found[f.name, "distinct"] for f in schema.fields})
 
+    short = {
+        c: quote_name(c) for c in string_columns(df) if 2 <= distinct[c] <= MAX_SPELLINGS
+    }
+    folding = _Background(lambda: _value_counts(df, short))
     outliers = outlier_checks(df, fences)
     scan = FusedScan()
     for check in [*outliers, *pair_checks(df, roles.pairs)]:
         check.add_to(scan)
-    for name in string_columns(df):
-        if 2 <= distinct[name] <= MAX_SPELLINGS:
-            scan.want(
-                (name, "values"),
-                f"collect_set({quote_name(name)})",  # known to hold at most MAX_SPELLINGS
-                f"size(array_distinct(transform({{0}}, s -> {folded('s')})))",
-            )
-    found.update(scan.run(df))
+    found |= scan.run(df) | folding.result()
     return _Measured(
         rows,
         found,
@@ -269,6 +263,29 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     )
 
 
+def _sketches(df: DataFrame) -> FusedScan:
+    scan = FusedScan()
+    for f in df.schema.fields:
+        c = quote_name(f.name)
+        key = f"IF({c} IS NOT NULL, {digest(c, f.dataType)[0]}, NULL)"
+        scan.want((f.name, "distinct"), f"approx_count_distinct({key})")
+        if is_numeric(f.dataType):
+            scan.want((f.name, "quartiles"), approximate_quartiles(f"CAST({c} AS DOUBLE)"))
+    return scan
+
+
+def _value_counts(df: DataFrame, short: dict[str, str]) -> dict:
+    """Distinct normalised values of columns known to hold at most MAX_SPELLINGS spellings."""
+    scan = FusedScan()
+    for name, c in short.items():
+        scan.want(
+            (name, "values"),
+            f"collect_set({c})",
+            f"size(array_distinct(transform({{0}}, s -> {folded('s')})))",
+        )
+    return scan.run(df)
+
+
 class _Background:
     """One Spark action submitted from a second thread."""
 

@@ -25,18 +25,23 @@ def read_source(
 ) -> DataFrame:
     """Read one file, folder or URL; the suffix tells the format.
 
-    ``.csv`` is CSV with a sniffed delimiter, ``.parquet`` is Parquet.  Anything else is
-    Parquet on Azure and Google storage and CSV elsewhere.  ``http(s)`` URLs are comma CSV.
+    ``.parquet`` is Parquet, and so is anything but ``.csv`` on Azure and Google storage.  The
+    rest is CSV: with commas behind a URL and for ``.csv`` objects of a store, else with a
+    sniffed delimiter.
     """
     scheme, path = urlparse(uri).scheme.lower(), urlparse(uri).path.lower()
     if scheme in ("http", "https"):
         return read_url(spark, uri)
-    parquet_by_default = scheme in ("abfs", "abfss", "wasb", "wasbs", "gs")
-    if path.endswith(".parquet") or (parquet_by_default and not path.endswith(".csv")):
+    if path.endswith(".parquet") or (scheme in _PARQUET_STORES and not path.endswith(".csv")):
         return spark.read.options(**(options or {})).parquet(uri)
+    if scheme in (*_PARQUET_STORES, "s3", "s3a") and path.endswith(".csv"):
+        csv = {"sep": ","} | csv
     return read_csv(spark, uri, options=options, **csv)
 
 
+_PARQUET_STORES = ("abfs", "abfss", "wasb", "wasbs", "gs")
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
