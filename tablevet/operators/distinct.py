@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from tablevet.functions.values import digest, quote_name, round1_sql, row_digest, sql_text
 
@@ -39,7 +41,7 @@ def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> Da
     digests = df.selectExpr(*keys)
 
     records = [
-        f"{n}, IF(f{i}, h{i}, NULL), l{i}"
+        f"struct({n} AS i, IF(f{i}, h{i}, NULL) AS high, l{i} AS low)"
         for n, i in enumerate(numbers[cell] for cell in every.values())
     ]
     if whole_rows:
@@ -47,11 +49,11 @@ def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> Da
         parts = [(f"IF(f{i}, 1, NULL)", f"h{i}", f"l{i}") for i in at]
         high, low = row_digest(parts)
         digests = digests.selectExpr("*", f"{high} AS hr", f"{low} AS lr")
-        records.append(f"{len(records)}, hr, lr")
+        records.append(f"struct({len(records)} AS i, hr AS high, lr AS low)")
     names = [*every, *([ROW] if whole_rows else [])]
 
     counted = (
-        digests.selectExpr(f"stack({len(records)}, {', '.join(records)}) AS (i, high, low)")
+        digests.selectExpr(f"inline(array({', '.join(records)}))")
         .filter("high IS NOT NULL")
         .distinct()
         .groupBy("i")
@@ -68,11 +70,38 @@ def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> Da
     ).selectExpr(f"inline(array({rows}))")
 
 
-def distinct_counts(df: DataFrame, cells: Cells, whole_rows: bool = False) -> dict[str, int]:
-    return {
-        r["key"]: r["distinct_count"]
-        for r in distinct_values(df, cells, whole_rows).collect()
-    }
+def distinct_counts(
+    df: DataFrame, cells: Cells, whole_rows: bool = False, rows: int | None = None
+) -> dict[str, int]:
+    """:func:`distinct_values` on the driver; ``rows`` lets the shuffle be sized first."""
+    counted = distinct_values(df, cells, whole_rows)
+    records = (rows or 0) * (len(cells) + whole_rows)
+    with _enough_partitions(df.sparkSession, records):
+        return {r["key"]: r["distinct_count"] for r in counted.collect()}
+
+
+_RECORD_BYTES = 32
+_PARTITION_BYTES = 512 * 1024 * 1024
+_MAX_PARTITIONS = 20_000
+
+
+@contextmanager
+def _enough_partitions(spark: SparkSession, records: int) -> Iterator[None]:
+    """Raise ``spark.sql.shuffle.partitions`` while a shuffle of many records is planned.
+
+    The default suits gigabytes; adaptive execution merges partitions but cannot add any.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = int(spark.conf.get(key))
+    wanted = min(_MAX_PARTITIONS, math.ceil(records * _RECORD_BYTES / _PARTITION_BYTES))
+    if wanted <= before:
+        yield
+        return
+    spark.conf.set(key, str(wanted))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Iterable
+from collections.abc import Callable, Hashable, Iterable
 from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 
 from tablevet.functions.values import sql_text
@@ -42,6 +43,28 @@ class FusedScan:
         return found
 
 
+def together(*actions: Callable[[], dict]) -> list[dict]:
+    """Submit independent Spark actions side by side and wait for all of them."""
+    outcomes: list[dict | BaseException] = [{} for _ in actions]
+
+    def run(i: int) -> None:
+        try:
+            outcomes[i] = actions[i]()
+        except BaseException as e:  # raised below, in the calling thread
+            outcomes[i] = e
+
+    threads = [InheritableThread(target=run, args=(i,)) for i in range(1, len(actions))]
+    for thread in threads:
+        thread.start()
+    run(0)
+    for thread in threads:
+        thread.join()
+    for outcome in outcomes:
+        if isinstance(outcome, BaseException):
+            raise outcome
+    return outcomes
+
+
 @dataclass(frozen=True)
 class Check:
     """A row predicate with the rows it applies to.

@@ -54,6 +54,7 @@ def suggest_rules(
     texts = string_columns(df)
 
     scan = FusedScan()
+    scan.want("rows", "count(1)")
     for c in numeric_columns(df):
         q = quote_name(c)
         scan.want((c, "filled"), f"count({q})")
@@ -65,7 +66,7 @@ def suggest_rules(
 
     cells = {f"raw {c}": (quote_name(c), T.StringType()) for c in texts}
     cells |= {f"lower {c}": (f"lower({quote_name(c)})", T.StringType()) for c in texts}
-    distinct = distinct_counts(df, cells)
+    distinct = distinct_counts(df, cells, rows=found["rows"])
     raw = {c: distinct[f"raw {c}"] for c in texts}
     lower = {c: distinct[f"lower {c}"] for c in texts}
     listed = [c for c in texts if _has_value_list(found[c, "filled"], raw[c])]

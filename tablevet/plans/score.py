@@ -4,19 +4,18 @@ The number of Spark actions does not grow with the number of columns:
 
 1. counts    one fused aggregate: nulls, formats, rules, negatives, dates, text flaws
 2. distinct  distinct rows and distinct values of every column, one shuffle
-3. quartiles none to a few scans of the numeric columns (see ``operators.quartiles``)
-4. fences    one fused aggregate: outliers, ordered pairs, spellings of short value lists
+   quartiles a few scans of the numeric columns beside it (see ``operators.quartiles``)
+3. fences    one fused aggregate: outliers and ordered pairs, and beside it the normalised
+             values of short value lists
 
 Only per-column scalars reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from tablevet.functions.text import folded
@@ -42,7 +41,7 @@ from tablevet.operators.checks import (
     string_columns,
 )
 from tablevet.operators.distinct import ROW, distinct_counts, typed_columns
-from tablevet.operators.fused import Check, FusedScan
+from tablevet.operators.fused import Check, FusedScan, together
 from tablevet.operators.quartiles import approximate_quartiles, quartiles
 from tablevet.operators.roles import (
     ColumnRoles,
@@ -191,12 +190,6 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     open_columns = [] if roles else undecided(schema, names)
     by_schema = roles or assemble_roles(schema, {}, names)
 
-    # The shuffle of the distinct counts runs beside the scans that do not need it.
-    counting = _Background(
-        lambda: distinct_counts(df, typed_columns(df) if exact else {}, whole_rows=True)
-    )
-    # Sketches are no part of whole-stage code: apart, they do not slow the counts down.
-    sketching = _Background(lambda: {} if exact else _sketches(df).run(df))
     scan = FusedScan()
     scan.want("rows", "count(1)")
     scan.want("now", "max(localtimestamp())")
@@ -218,7 +211,10 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         *compiled.checks,
     ]:
         check.add_to(scan)
-    found = scan.run(compiled.df) | sketching.result()
+    # Sketches are no part of whole-stage code: apart, they do not slow the counts down.
+    found, sketched = together(
+        lambda: scan.run(compiled.df), lambda: {} if exact else _sketches(df).run(df)
+    )
     rows = found["rows"]
     if roles is None:
         content = {
@@ -234,23 +230,25 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
             *[f"CAST({quote_name(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(measurable)]
         )
         wanted = {c: (f"x{i}", n) for i, (c, n) in enumerate(measurable.items())}
-        fences = quartiles(numbers, wanted)
+        # The one shuffle runs beside the scans that look for quartiles.
+        fences, distinct = together(
+            lambda: quartiles(numbers, wanted),
+            lambda: distinct_counts(df, typed_columns(df), whole_rows=True, rows=rows),
+        )
     else:
-        fences = {c: tuple(found[c, "quartiles"]) for c in measurable}
-
-    distinct = counting.result()
-    if not exact:
-        distinct.update({f.name: found[f.name, "distinct"] for f in schema.fields})
+        fences = {c: tuple(sketched[c, "quartiles"]) for c in measurable}
+        distinct = distinct_counts(df, {}, whole_rows=True, rows=rows)
+        distinct |= {f.name: sketched[f.name, "distinct"] for f in schema.fields}
 
     short = {
         c: quote_name(c) for c in string_columns(df) if 2 <= distinct[c] <= MAX_SPELLINGS
     }
-    folding = _Background(lambda: _value_counts(df, short))
     outliers = outlier_checks(df, fences)
     scan = FusedScan()
     for check in [*outliers, *pair_checks(df, roles.pairs)]:
         check.add_to(scan)
-    found |= scan.run(df) | folding.result()
+    counted, folded_values = together(lambda: scan.run(df), lambda: _value_counts(df, short))
+    found |= counted | folded_values
     return _Measured(
         rows,
         found,
@@ -286,28 +284,6 @@ def _value_counts(df: DataFrame, short: dict[str, str]) -> dict:
     return scan.run(df)
 
 
-class _Background:
-    """One Spark action submitted from a second thread."""
-
-    def __init__(self, action: Callable[[], dict]) -> None:
-        self._outcome: dict | BaseException | None = None
-
-        def run() -> None:
-            try:
-                self._outcome = action()
-            except BaseException as e:  # handed to the caller of result()
-                self._outcome = e
-
-        self._thread = InheritableThread(target=run)
-        self._thread.start()
-
-    def result(self) -> dict:
-        self._thread.join()
-        if isinstance(self._outcome, BaseException):
-            raise self._outcome
-        return self._outcome
-
-
 # ------------------------------------------------------------------ dimensions
 
 
