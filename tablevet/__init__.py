@@ -6,6 +6,7 @@ from tablevet.operators.suggest import Suggestion, suggest_rules
 from tablevet.plans.score import ScoreResult, score
 from tablevet.sources.files import read_csv, read_source
 from tablevet.sources.reports import write_report
+from tablevet.sources.scratch import staged
 from tablevet.sources.tables import list_tables, preview, read_table
 
 __all__ = [
@@ -25,6 +26,7 @@ __all__ = [
     "read_table",
     "remove_rule",
     "score",
+    "staged",
     "suggest_rules",
     "write_report",
 ]

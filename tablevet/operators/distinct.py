@@ -104,6 +104,20 @@ def _enough_partitions(spark: SparkSession, records: int) -> Iterator[None]:
         spark.conf.set(key, str(before))
 
 
+def short_lists(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, v): the distinct values of string columns known to hold few; ``i`` is the place
+    of the column in the list.  Lazy.
+
+    Values are combined on the map side and shuffled by value, so that even long ones never
+    meet in one buffer as ``collect_set`` over all tasks would make them.
+    """
+    records = [f"struct({i} AS i, {quote_name(c)} AS v)" for i, c in enumerate(columns)]
+    if not records:
+        return df.sparkSession.createDataFrame([], "i int, v string")
+    pairs = df.selectExpr(f"inline(array({', '.join(records)}))")
+    return pairs.filter("v IS NOT NULL").distinct()
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(row_count, distinct_rows, dup_rows, score); lazy.
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablevet.functions.values import is_string, normalize, quote_name, sql_text
 from tablevet.operators.checks import numeric_columns, string_columns
-from tablevet.operators.distinct import distinct_counts
-from tablevet.operators.fused import FusedScan, rows_of
+from tablevet.operators.distinct import distinct_counts, short_lists
+from tablevet.operators.fused import FusedScan
 from tablevet.operators.roles import ColumnRoles, NameLists, detect_roles, name_has
 from tablevet.operators.rules import Rule
 
@@ -70,10 +70,8 @@ def suggest_rules(
     raw = {c: distinct[f"raw {c}"] for c in texts}
     lower = {c: distinct[f"lower {c}"] for c in texts}
     listed = [c for c in texts if _has_value_list(found[c, "filled"], raw[c])]
-    scan = FusedScan()
-    for c in listed:
-        scan.want(c, f"sort_array(collect_set({quote_name(c)}))")
-    values = scan.run(df)
+    lists = short_lists(df, listed).groupBy("i").agg(F.expr("sort_array(collect_list(v)) AS v"))
+    values = {listed[r["i"]]: r["v"] for r in lists.collect()}
 
     out = [_email(c) for c in roles.emails]
     for c in numeric_columns(df):
@@ -162,16 +160,15 @@ def allowed_values(df: DataFrame) -> DataFrame:
         scan.want(c, f"count({quote_name(c)})")
     filled = scan.run(df)
     distinct = distinct_counts(df, {c: (quote_name(c), T.StringType()) for c in texts})
-    return rows_of(
-        df,
-        [
-            {
-                "column": sql_text(c),
-                "n_values": f"size(collect_set({quote_name(c)}))",
-                "allowed_values": f"array_join(sort_array(collect_set({quote_name(c)})), ',')",
-            }
-            for c in texts
-            if _has_value_list(filled[c], distinct[c])
-        ],
-        "column:string, n_values:int, allowed_values:string",
+    listed = [c for c in texts if _has_value_list(filled[c], distinct[c])]
+    names = ", ".join(map(sql_text, listed)) or "''"
+    return (
+        short_lists(df, listed)
+        .groupBy("i")
+        .agg(F.expr("sort_array(collect_list(v)) AS v"))
+        .selectExpr(
+            f"element_at(array({names}), i + 1) AS column",
+            "size(v) AS n_values",
+            "array_join(v, ',') AS allowed_values",
+        )
     )

@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.functions.text import folded
 from tablevet.functions.values import (
@@ -40,7 +40,7 @@ from tablevet.operators.checks import (
     phone_checks,
     string_columns,
 )
-from tablevet.operators.distinct import ROW, distinct_counts, typed_columns
+from tablevet.operators.distinct import ROW, distinct_counts, short_lists, typed_columns
 from tablevet.operators.fused import Check, FusedScan, together
 from tablevet.operators.quartiles import approximate_quartiles, quartiles
 from tablevet.operators.roles import (
@@ -240,9 +240,7 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         distinct = distinct_counts(df, {}, whole_rows=True, rows=rows)
         distinct |= {f.name: sketched[f.name, "distinct"] for f in schema.fields}
 
-    short = {
-        c: quote_name(c) for c in string_columns(df) if 2 <= distinct[c] <= MAX_SPELLINGS
-    }
+    short = [c for c in string_columns(df) if 2 <= distinct[c] <= MAX_SPELLINGS]
     outliers = outlier_checks(df, fences)
     scan = FusedScan()
     for check in [*outliers, *pair_checks(df, roles.pairs)]:
@@ -272,16 +270,12 @@ def _sketches(df: DataFrame) -> FusedScan:
     return scan
 
 
-def _value_counts(df: DataFrame, short: dict[str, str]) -> dict:
+def _value_counts(df: DataFrame, short: list[str]) -> dict:
     """Distinct normalised values of columns known to hold at most MAX_SPELLINGS spellings."""
-    scan = FusedScan()
-    for name, c in short.items():
-        scan.want(
-            (name, "values"),
-            f"collect_set({c})",
-            f"size(array_distinct(transform({{0}}, s -> {folded('s')})))",
-        )
-    return scan.run(df)
+    if not short:
+        return {}
+    values = short_lists(df, short).groupBy("i").agg(F.expr(f"count(DISTINCT {folded('v')}) AS n"))
+    return {(short[r["i"]], "values"): r["n"] for r in values.collect()}
 
 
 # ------------------------------------------------------------------ dimensions

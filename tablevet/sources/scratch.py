@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -18,3 +18,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tablevet-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame once as Parquet to the shared scratch folder and read it from there.
+
+    A score scans its table several times.  For a database query, a CSV file or a long plan
+    that would repeat the whole read each time; a staged copy also stays the same meanwhile.
+    """
+    path = scratch_dir(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,7 +5,16 @@ from datetime import datetime
 
 import pytest
 
-from tablevet import list_tables, preview, read_csv, read_source, read_table, score, write_report
+from tablevet import (
+    list_tables,
+    preview,
+    read_csv,
+    read_source,
+    read_table,
+    score,
+    staged,
+    write_report,
+)
 from tablevet.sources import files
 from tablevet.sources.databases import ReadSplit, jdbc_options
 from tablevet.sources.demo import demo_table
@@ -110,6 +119,13 @@ def test_scratch_follows_the_session(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
 
 
+def test_staged_copy_is_the_same_table(spark):
+    df = demo_table(spark)
+    copy = staged(df)
+    assert copy.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(str, copy.collect())) == sorted(map(str, df.collect()))
+
+
 def test_demo_table(spark):
     df = demo_table(spark)
     assert df.count() == 625
