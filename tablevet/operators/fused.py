@@ -23,13 +23,21 @@ class FusedScan:
 
     def __init__(self) -> None:
         self._wanted: dict[Hashable, tuple[str, str]] = {}
+        self._groups: dict[str, list[Hashable]] = {}
 
-    def want(self, key: Hashable, aggregate: str, finish: str = "{0}") -> None:
-        """Ask for an aggregate; ``finish`` derives the answer from its one final value."""
-        self._wanted.setdefault(key, (aggregate, finish))
+    def want(
+        self, key: Hashable, aggregate: str, finish: str = "{0}", group: str = ""
+    ) -> None:
+        """Ask for an aggregate; ``finish`` derives the answer from its one final value.
+
+        Aggregates of one ``group`` (a column) stay together when a wide scan is cut.
+        """
+        if key not in self._wanted:
+            self._wanted[key] = (aggregate, finish)
+            self._groups.setdefault(group, []).append(key)
 
     def run(self, df: DataFrame) -> dict:
-        items = list(self._wanted.items())
+        items = [(k, self._wanted[k]) for keys in self._groups.values() for k in keys]
         found: dict = {}
         for start in range(0, len(items), MAX_AGGREGATES):
             part = items[start : start + MAX_AGGREGATES]
@@ -93,8 +101,8 @@ class Check:
         return "count(1)" if self.checked == "true" else f"count_if({self.checked})"
 
     def add_to(self, scan: FusedScan) -> None:
-        scan.want((*self.key, "violations"), self.violations_agg)
-        scan.want((*self.key, "checked"), self.checked_agg)
+        scan.want((*self.key, "violations"), self.violations_agg, group=self.column)
+        scan.want((*self.key, "checked"), self.checked_agg, group=self.column)
 
     def counts(self, found: dict) -> tuple[int, int]:
         return found[(*self.key, "violations")], found[(*self.key, "checked")]

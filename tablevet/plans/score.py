@@ -195,13 +195,14 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     scan.want("now", "max(localtimestamp())")
     for f in schema.fields:
         c = quote_name(f.name)
-        scan.want((f.name, "nulls"), f"count_if({c} IS NULL)")
+        scan.want((f.name, "nulls"), f"count_if({c} IS NULL)", group=f.name)
         if f.name in open_columns:
             for part, agg in content_counts(c).items():
-                scan.want((f.name, part), agg)
+                scan.want((f.name, part), agg, group=f.name)
         if f.name in open_columns or f.name in by_schema.dates:
             if is_string(f.dataType) or is_temporal(f.dataType):
-                scan.want((f.name, "latest"), f"max({as_wall_time(c, f.dataType)})")
+                latest = f"max({as_wall_time(c, f.dataType)})"
+                scan.want((f.name, "latest"), latest, group=f.name)
     for check in [
         *negative_checks(df),
         *email_checks(df, by_schema),

@@ -282,6 +282,22 @@ def test_jobs_do_not_grow_with_columns(spark, tmp_path):
     assert few == many
 
 
+def test_wide_scans_are_cut_by_column(spark, monkeypatch):
+    from tablevet.operators import fused
+
+    df = spark.range(30).selectExpr(*[f"concat('v', id % {i + 2}) AS s{i}" for i in range(12)])
+    whole = score(df, as_of=AS_OF)
+    read = []
+    select = type(df).selectExpr
+    monkeypatch.setattr(fused, "MAX_AGGREGATES", 16)
+    monkeypatch.setattr(type(df), "selectExpr", lambda self, *e: (read.append(e), select(self, *e))[1])
+    cut = score(df, as_of=AS_OF)
+    assert (cut.scores, cut.columns) == (whole.scores, whole.columns)
+    scans = [" ".join(e) for e in read if len(e) == 16]
+    assert scans
+    assert all(sum(f"`s{i}`" in scan for i in range(12)) <= 4 for scan in scans)
+
+
 def test_pure_python_workers_are_not_used(spark, sf_dir):
     from tablevet.operators.distinct import distinct_values, typed_columns
 
