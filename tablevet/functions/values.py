@@ -86,6 +86,7 @@ def as_wall_time(c: str, data_type: T.DataType) -> str:
         iso = rf"regexp_replace({month_first}, r'^\s*(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
         return (
             f"CASE WHEN octet_length({c}) BETWEEN {_DATE_BYTES[0]} AND {_DATE_BYTES[1]}"
+            f" AND (contains({c}, '-') OR contains({c}, '/'))"
             rf" AND {c} RLIKE r'^\s*(?!0+[-/]\d+[-/])\d{{1,4}}[-/]\d'"
             f" THEN try_cast(CASE WHEN contains({c}, '/') THEN {iso} ELSE {c} END"
             " AS TIMESTAMP_NTZ) END"
@@ -99,7 +100,7 @@ def as_wall_time(c: str, data_type: T.DataType) -> str:
 # ------------------------------------------------------------------ digests
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.CalendarIntervalType)
 _JSON_OPTIONS = (
     "map('ignoreNullFields', 'false',"
     " 'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS',"
@@ -135,6 +136,8 @@ def _hash_inputs(c: str, data_type: T.DataType) -> str:
     Hashes skip nulls and array bounds: arrays add their size and null flags, and deeper
     nesting goes through JSON text.
     """
+    if isinstance(data_type, T.CalendarIntervalType):
+        return f"CAST({c} AS STRING)"  # its hash leaves out the days
     if isinstance(data_type, T.ArrayType) and not isinstance(data_type.elementType, _NESTED):
         flags = f", transform({c}, e -> e IS NULL)" if data_type.containsNull else ""
         return f"size({c}){flags}, {c}"
@@ -166,4 +169,6 @@ def _canonical(c: str, data_type: T.DataType, depth: int = 0) -> str:
         return f"CASE WHEN {c} IS NOT NULL THEN named_struct({fields}) END"
     if isinstance(data_type, T.VariantType):
         return f"to_json({c})"
+    if isinstance(data_type, T.CalendarIntervalType):
+        return f"CAST({c} AS STRING)"
     return c

@@ -445,7 +445,7 @@ def column_score(name: str, rows: int, nulls: int, distinct: int) -> ColumnScore
     if rows == 0:
         return ColumnScore(name, 0.0, 0.0, 0.0)
     filled = round1((1 - nulls / rows) * 100)
-    unique = round1(distinct / rows * 100)
+    unique = round1(min(100.0, distinct / rows * 100))  # a sketch may overshoot
     overall = min(100.0, round1(filled * 0.6 + min(unique * 1.5, 100.0) * 0.4))
     return ColumnScore(name, filled, unique, overall)
 

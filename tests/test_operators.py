@@ -288,3 +288,25 @@ def test_active_rules_are_not_suggested_again(spark, shop):
         suggestions_table(shop, suggest_rules(shop)), rules_frame(spark, active)
     )
     assert {r.name for r in joined.collect()} == {s.name for s in kept}
+
+
+# ---------------------------------------------------------------- empty tables
+
+
+def test_profiles_of_an_empty_table(spark, sf_dir):
+    from datetime import datetime
+
+    from tablevet.operators import checks, suggest
+    from tablevet.operators.freshness import freshness
+    from tablevet.operators.roles import role_shares
+
+    empty = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("false")
+    assert {r.completeness for r in checks.null_profile(empty).collect()} == {0.0}
+    assert checks.completeness(empty).first() == (0.0, 0, 0)
+    assert checks.numeric_profile(empty).first().neg_share is None
+    assert role_shares(empty).first().date_ratio is None
+    assert freshness(empty, ["o_orderdate"], datetime(2024, 1, 1)).first().score is None
+    assert suggest.allowed_values(empty).collect() == []
+    assert suggest.suggest_rules(empty) == []
+    counts = distinct_counts(empty, typed_columns(empty), whole_rows=True)
+    assert set(counts.values()) == {0}

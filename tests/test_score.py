@@ -146,6 +146,23 @@ def test_nested_columns_and_small_numbers(spark):
     assert ("negative", "stock_s", "high") in issue_kinds(result)
 
 
+def test_rare_types(spark):
+    df = spark.sql(
+        """SELECT NULL AS nothing, INTERVAL '1' DAY * id AS span, make_interval(0, 0, 0, id) AS cal,
+                  array(make_interval(0, 0, 0, id)) AS cals, TIME'10:00:00' AS clock,
+                  CAST(id AS VARCHAR(5)) AS vc, named_struct() AS hollow,
+                  TIMESTAMP'+12024-01-01 00:00:00' AS far_date
+           FROM (SELECT CAST(id AS INT) AS id FROM range(30))"""
+    )
+    result = score(df, as_of=AS_OF)
+    unique = {c.name: round(c.uniqueness / 100 * 30) for c in result.columns}
+    assert unique == {
+        "nothing": 0, "span": 30, "cal": 30, "cals": 30, "clock": 1, "vc": 30, "hollow": 1,
+        "far_date": 1,
+    }
+    assert result.scores["freshness"] == 75.0  # no readable date
+
+
 def test_map_order_does_not_make_rows_distinct(spark):
     df = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1)")
     assert score(df, as_of=AS_OF).scores["uniqueness"] == 0.0
