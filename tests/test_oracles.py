@@ -2,10 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tablevet.registry.oracles import all_oracles
+from tablevet.registry.queries import all_queries
 from tests.oracle import connect, spark_result, sql_result
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 # Sketches and arbitrary rows have no SQL answer; their own tests are in test_operators.py.
 WITHOUT_SQL = {"quartiles_approx", "approx_distinct", "sketched_dimensions", "preview"}
 
