@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tablevet.llm import bpe
 from tablevet.llm.parity_join import similar_documents
 
 
@@ -17,9 +19,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
 
 
+def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.with_digests(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op7_bpe_roundtrip": op7_bpe_roundtrip,
     }
 
 
