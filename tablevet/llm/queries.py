@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablevet.llm import bpe
 from tablevet.llm.parity_join import similar_documents
+from tablevet.llm.ppm import score_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,6 +33,7 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_lm_scoring": op2_lm_scoring,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
     }
 
