@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.llm import bpe
+from tablevet.llm.decontaminate import benchmark_hits
+from tablevet.llm.fuzzy_lines import line_components
+from tablevet.llm.kneser_ney import rated
 from tablevet.llm.parity_join import similar_documents
 from tablevet.llm.ppm import score_documents
 
@@ -24,17 +27,35 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "perplexity", "threshold", "accepted")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_components(_table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "line_no", "kept", "first_doc_id", "first_line_no")
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_digests(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("item_ids").cast("bigint").alias("n_items"), "item_ids")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_lm_scoring": op2_lm_scoring,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op6_line_dedup": op6_line_dedup,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
     }
 
 
