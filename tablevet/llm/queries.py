@@ -11,8 +11,10 @@ from tablevet.llm import bpe
 from tablevet.llm.decontaminate import benchmark_hits
 from tablevet.llm.fuzzy_lines import line_components
 from tablevet.llm.kneser_ney import rated
+from tablevet.llm.licences import scan_licences
 from tablevet.llm.parity_join import similar_documents
 from tablevet.llm.ppm import score_documents
+from tablevet.llm.templates import main_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,30 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", F.size("item_ids").cast("bigint").alias("n_items"), "item_ids")
 
 
+def _as_files(docs: DataFrame) -> DataFrame:
+    """The documents laid out as a tree, for the table has no paths.
+
+    Directories are source, language and the number's hundreds.  Every tenth document is the
+    licence file of its directory, every hundredth of its language, every thousandth of its source.
+    """
+    path = """CASE WHEN doc_id % 1000 = 0 THEN concat_ws('/', source, concat('LICENSE-', doc_id))
+        WHEN doc_id % 100 = 0 THEN concat_ws('/', source, lang, concat('LICENSE-', doc_id))
+        WHEN doc_id % 10 = 0 THEN concat_ws('/', source, lang, CAST(doc_id DIV 100 AS STRING), concat('LICENSE-', doc_id))
+        ELSE concat_ws('/', source, lang, CAST(doc_id DIV 100 AS STRING), concat(doc_id, '.txt')) END"""
+    return docs.selectExpr("doc_id", f"{path} AS path", "text", "doc_id % 10 = 0 AS is_licence_file")
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(_as_files(_table(spark, sf_dir, "documents")))
+    doc_id = F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("bigint").alias("doc_id")
+    return found.select(doc_id, "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "source_path")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_texts(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -56,6 +82,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_license_scans": op9_license_scans,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
