@@ -31,8 +31,9 @@ PIECES = regex.compile(
     r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?[^\p{White_Space}\p{L}\p{N}]+| ?\p{N}+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORD_CACHE = 500_000
-PAIR_CACHE = 1_000_000
+WORD_CACHE = 250_000
+PIECE_CACHE = 200_000
+PAIR_CACHE = 400_000
 _NEVER = 1 << 40
 
 
@@ -54,8 +55,6 @@ class Vocabulary:
         byte_of = _byte_of_char()
         raw = {"".join(chr(byte_of[c]) for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: t.encode("latin-1") for t, i in raw.items()}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.rank: dict[int, int] = {}  # of the merge of two tokens, by left << 32 | right
         self.parts: dict[int, tuple[int, int, int]] = {}  # rank, left and right of the merge that makes a token
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -70,6 +69,7 @@ class Vocabulary:
                 self.endings.add_word(text, (i, len(text)))
         self.endings.make_automaton()
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.piece_ids = lru_cache(PIECE_CACHE)(self.encode_piece)
         self.words: dict[str, list[int]] = {}  # ids of a space and the word
         self.older: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
@@ -137,7 +137,7 @@ class Vocabulary:
         return ids
 
     def _pieces(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.encode_piece, PIECES.findall(text))))
+        return list(chain.from_iterable(map(self.piece_ids, PIECES.findall(text))))
 
     def _learn(self, words: list[str]) -> bool:
         """Take the words into the cache; false if one of them is not cut off by single spaces."""
@@ -174,9 +174,20 @@ class Vocabulary:
             out += [self.special[part]] if part in self.special else self._ids(part)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of a list of ids, special tokens included; broken UTF-8 gives U+FFFD."""
-        return b"".join(map(self.bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
+
+def token_bytes(source: bytes) -> dict[int, bytes]:
+    """The bytes of every token of a vocabulary file; a special token is its text."""
+    spec, byte_of = json.loads(source), _byte_of_char()
+    out = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    return out | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decode_ids(ids: list[int], bytes_of: dict[int, bytes]) -> str:
+    """Text of a list of ids, special tokens included; broken UTF-8 gives U+FFFD."""
+    return b"".join(map(bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
+
+
+_token_bytes = lru_cache(maxsize=1)(token_bytes)
 
 
 @lru_cache(maxsize=1)
@@ -184,7 +195,7 @@ def _vocabulary(source: bytes) -> Vocabulary:
     return Vocabulary(source)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], source: bytes) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], source: bytes, decoded: bool = False) -> Iterator[pa.RecordBatch]:
     vocabulary = _vocabulary(source)
     for batch in batches:
         rest = batch.drop_columns("text")
@@ -192,18 +203,21 @@ def _encode(batches: Iterator[pa.RecordBatch], source: bytes) -> Iterator[pa.Rec
             raw, cuts = data.tobytes(), at.tolist()
             rows = [vocabulary.encode(raw[a:b].decode()) for a, b in zip(cuts, cuts[1:])]
             ids = np.fromiter(chain.from_iterable(rows), np.int32)
-            lists = list_column(ids, np.array([len(r) for r in rows]))
             own = rest.slice(first, len(rows))
-            yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*own.schema.names, "ids"])
+            columns, names = [*own.columns, list_column(ids, np.array([len(r) for r in rows]))], [*own.schema.names, "ids"]
+            if decoded:
+                columns.append(pa.array([decode_ids(r, _token_bytes(source)) for r in rows], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], source: bytes) -> Iterator[pa.RecordBatch]:
-    vocabulary = _vocabulary(source)
+    bytes_of = _token_bytes(source)
     for batch in batches:
         column = batch.column("ids")
         for first in range(0, batch.num_rows, 256):
             own = batch.slice(first, 256)
-            texts = pa.array([vocabulary.decode(ids or []) for ids in column.slice(first, 256).to_pylist()], pa.string())
+            texts = pa.array([decode_ids(ids or [], bytes_of) for ids in column.slice(first, 256).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*own.columns, texts], names=[*own.schema.names, "decoded"])
 
 
@@ -224,6 +238,14 @@ def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     return kept.mapInArrow(partial(_encode, source=vocabulary), f"{fields}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, vocabulary: bytes) -> DataFrame:
+    """:func:`encode` followed by :func:`decode`, in one pass."""
+    kept = docs.drop("ids", "decoded")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
+    task = partial(_encode, source=vocabulary, decoded=True)
+    return kept.mapInArrow(task, f"{fields}, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
     """``encoded`` with ``decoded``: the text of its ``ids``; null or no ids give an empty text."""
     kept = encoded.drop("decoded")

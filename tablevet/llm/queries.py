@@ -42,7 +42,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.with_digests(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
+    return bpe.with_digests(bpe.round_trip(docs, vocabulary))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
