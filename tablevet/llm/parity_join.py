@@ -226,3 +226,11 @@ def _unjoined(members: DataFrame, links: DataFrame, sketched: DataFrame, percent
     total = F.col("a_n") + F.col("b_n")
     close = (F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & (_hamming() * (100 + percent) <= total * (100 - percent))
     return left.join(right, "key").filter(close).select("a", "b").distinct()
+
+
+def one_of_each_component(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each component, once; a null doc_id is kept."""
+    found = similar_documents(docs, shingle_words, percent)
+    leaders = staged(found.filter("doc_id = component_id").select("doc_id").distinct())
+    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
