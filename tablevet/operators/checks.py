@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from tablevet.functions.text import is_email, is_fake_null, is_padded, is_phone
@@ -148,8 +150,10 @@ def outlier_checks(
         if spread == 0:
             continue
         x = f"CAST({quote_name(name)} AS DOUBLE)"
-        low, high = sql_double(q1 - reach * spread), sql_double(q3 + reach * spread)
-        beyond = f"{x} < {low} OR {x} > {high}"
+        fences = ((x, "<", q1 - reach * spread), (x, ">", q3 + reach * spread))
+        # infinite quartiles leave a fence that is no number: nothing lies beyond it
+        tests = [f"{x} {sign} {sql_double(at)}" for x, sign, at in fences if not math.isnan(at)]
+        beyond = " OR ".join(tests) or "false"
         checks.append(
             Check("distribution", "outlier", name, beyond, f"{quote_name(name)} IS NOT NULL")
         )

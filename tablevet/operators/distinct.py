@@ -8,9 +8,19 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tablevet.functions.settings import held_setting
 from tablevet.functions.values import digest, quote_name, round1_sql, row_digest, sql_text
 
-ROW = "*"  # key of the whole-row count
+
+
+class _WholeRow:
+    """Key of the whole-row count: no column can have it as its name."""
+
+    def __repr__(self) -> str:
+        return "*"
+
+
+ROW = _WholeRow()
 
 Cells = Mapping[str, tuple[str, T.DataType]]  # key -> SQL expression and its type
 
@@ -20,16 +30,16 @@ def typed_columns(df: DataFrame) -> dict[str, tuple[str, T.DataType]]:
 
 
 def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> DataFrame:
-    """(key, distinct_count): distinct non-null values per entry of ``cells``; lazy.
+    """(entry, key, distinct_count): distinct non-null values per entry of ``cells``; lazy.
 
     Each row becomes one narrow record per cell (entry number and 128-bit key).  Grouping by
     the key spreads the values of every column over all partitions and the map side keeps one
     record per value and task, so neither a hot value nor a wide row makes a heavy task.  With
-    ``whole_rows`` the row itself is one more cell, under the key ``*``.
+    ``whole_rows`` the row itself is one more cell, the last entry, under the key ``*``.
     """
     every = dict(cells)
     if not every and not whole_rows:
-        return df.sparkSession.createDataFrame([], "key string, distinct_count bigint")
+        return df.sparkSession.createDataFrame([], "entry int, key string, distinct_count bigint")
     row_cells = typed_columns(df) if whole_rows else {}
     keyed = [*every.values(), *(cell for cell in row_cells.values())]
     numbers = {cell: i for i, cell in enumerate(dict.fromkeys(keyed))}  # shared cells once
@@ -61,7 +71,7 @@ def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> Da
     )
     # Entries without any value have no group: they get 0.
     rows = ", ".join(
-        f"named_struct('key', {sql_text(name)},"
+        f"named_struct('entry', {n}, 'key', {sql_text(str(name))},"
         f" 'distinct_count', coalesce(try_element_at(found, {n}), 0L))"
         for n, name in enumerate(names)
     )
@@ -75,14 +85,14 @@ def distinct_counts(
 ) -> dict[str, int]:
     """:func:`distinct_values` on the driver; ``rows`` lets the shuffle be sized first."""
     counted = distinct_values(df, cells, whole_rows)
+    keys = [*cells, *([ROW] if whole_rows else [])]
     records = (rows or 0) * (len(cells) + whole_rows)
     with _enough_partitions(df.sparkSession, records):
-        return {r["key"]: r["distinct_count"] for r in counted.collect()}
+        return {keys[r["entry"]]: r["distinct_count"] for r in counted.collect()}
 
 
 _RECORD_BYTES = 32
 _PARTITION_BYTES = 512 * 1024 * 1024
-_MAX_PARTITIONS = 20_000
 
 
 @contextmanager
@@ -93,15 +103,12 @@ def _enough_partitions(spark: SparkSession, records: int) -> Iterator[None]:
     """
     key = "spark.sql.shuffle.partitions"
     before = int(spark.conf.get(key))
-    wanted = min(_MAX_PARTITIONS, math.ceil(records * _RECORD_BYTES / _PARTITION_BYTES))
+    wanted = math.ceil(records * _RECORD_BYTES / _PARTITION_BYTES)
     if wanted <= before:
         yield
         return
-    spark.conf.set(key, str(wanted))
-    try:
+    with held_setting(spark, key, str(wanted)):
         yield
-    finally:
-        spark.conf.set(key, str(before))
 
 
 def short_lists(df: DataFrame, columns: list[str]) -> DataFrame:

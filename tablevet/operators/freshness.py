@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from tablevet.functions.values import as_wall_time, is_string, is_temporal, quote_name, sql_text
+from tablevet.functions.values import as_wall_time, is_string, is_temporal, quote_name, sql_double, sql_text
 from tablevet.operators.fused import rows_of
 
 
@@ -25,7 +25,7 @@ def freshness(
             wall = as_wall_time(quote_name(name), types[name])
             latest = f"max({wall})"
             lag = f"timestampdiff(MICROSECOND, {latest}, {now}) / 3.6e9"
-            score = f"least(100e0, greatest(0e0, 100 - {lag} / {float(threshold_hours)!r}e0 * 100))"
+            score = f"least(100e0, greatest(0e0, 100 - {lag} / {sql_double(float(threshold_hours))} * 100))"
             records.append(
                 {
                     "column": sql_text(name),

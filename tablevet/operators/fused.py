@@ -35,6 +35,8 @@ class FusedScan:
         if key not in self._wanted:
             self._wanted[key] = (aggregate, finish)
             self._groups.setdefault(group, []).append(key)
+        elif self._wanted[key] != (aggregate, finish):
+            raise ValueError(f"two different aggregates are asked for as {key!r}")
 
     def run(self, df: DataFrame) -> dict:
         items = [(k, self._wanted[k]) for keys in self._groups.values() for k in keys]
@@ -89,8 +91,9 @@ class Check:
     name: str = ""
 
     @property
-    def key(self) -> tuple[str, str, str]:
-        return (self.kind, self.column, self.name)
+    def key(self) -> tuple[str, str, str, str, str]:
+        """Checks with one name and column are told apart by what they test."""
+        return (self.kind, self.column, self.name, self.violation, self.checked)
 
     @property
     def violations_agg(self) -> str:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from tablevet.functions.settings import held_setting
 from tablevet.functions.values import as_number, is_numeric, quote_name, sql_double, sql_text
 from tablevet.operators.fused import Check
 
@@ -151,9 +152,5 @@ def _lenient_casts(spark: SparkSession) -> Iterator[None]:
     Under ANSI rules ``status > 5`` on a text column would end the whole fused scan at its
     first word.  The setting takes effect while the condition is analysed and is put back.
     """
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
+    with held_setting(spark, "spark.sql.ansi.enabled", "false"):
         yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)

@@ -383,10 +383,11 @@ def _validity(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
         if (name, "emails") in m.found:  # e-mail by content: counted while detecting
             c = m.found[name, "filled"]
             v = c - m.found[name, "emails"]
-        elif ("email", name, "", "checked") in m.found:
-            v, c = m.found["email", name, "", "violations"], m.found["email", name, "", "checked"]
         else:
-            continue
+            tallied = _tally(email_checks(df, ColumnRoles(emails=[name])), m)
+            if not tallied:
+                continue
+            _, v, c = tallied[0]
         violations, checked = violations + v, checked + c
         if v:
             pct = v / c * 100

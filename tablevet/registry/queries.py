@@ -240,7 +240,8 @@ def case_variants(spark, sf_dir):
 
 def distinct_per_column(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    return distinct.distinct_values(df, distinct.typed_columns(df), whole_rows=True)
+    found = distinct.distinct_values(df, distinct.typed_columns(df), whole_rows=True)
+    return found.select("key", "distinct_count")
 
 
 def approx_distinct(spark, sf_dir):

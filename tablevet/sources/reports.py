@@ -16,6 +16,7 @@ def report_tables(result: ScoreResult) -> dict[str, DataFrame]:
         "dimensions": views.dimension_scores(result),
         "issues": views.issues(result),
         "rules": views.rules(result),
+        "column_scores": views.column_scores(result),
         "worst_columns": views.worst_columns(result),
     }
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.functions.values import quote_name
 
-MAX_LISTED = 50
 PREVIEW_ROWS = 50
 
 
@@ -25,12 +24,16 @@ def table_size(df: DataFrame) -> DataFrame:
 
 
 def list_tables(
-    spark: SparkSession, schema: str = "default", catalog: str | None = None
+    spark: SparkSession,
+    schema: str = "default",
+    catalog: str | None = None,
+    most: int | None = None,
 ) -> DataFrame:
-    """(table_name) of up to 50 tables of a schema."""
+    """(table_name) of all tables of a schema in order, or of the first ``most``."""
     where = ".".join(quote_name(p) for p in (catalog, schema) if p)
     shown = spark.sql(f"SHOW TABLES IN {where}")
-    return shown.selectExpr("tableName AS table_name").orderBy("table_name").limit(MAX_LISTED)
+    names = shown.selectExpr("tableName AS table_name").orderBy("table_name")
+    return names if most is None else names.limit(most)
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablevet import Rule, add_rule, build_rule, detect_roles, remove_rule, suggest_rules
 from tablevet.functions.text import is_email, is_phone
 from tablevet.operators import quartiles as Q
-from tablevet.operators.distinct import distinct_counts, duplicate_rows, typed_columns
+from tablevet.operators.distinct import ROW, distinct_counts, duplicate_rows, typed_columns
 from tablevet.operators.fused import count_checks
 from tablevet.operators.roles import assemble_roles
 from tablevet.operators.rules import compile_rules
@@ -105,9 +105,9 @@ def test_distinct_counts_equal_brute_force(spark):
     columns = list(zip(*rows))
     assert found == {
         **{c: len({v for v in columns[k] if v is not None}) for k, c in enumerate("isx")},
-        "*": len(set(rows)),
+        ROW: len(set(rows)),
     }
-    assert duplicate_rows(df).first().distinct_rows == found["*"]
+    assert duplicate_rows(df).first().distinct_rows == found[ROW]
 
 
 def test_distinct_counts_with_one_hot_value(spark):
