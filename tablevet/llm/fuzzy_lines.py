@@ -102,36 +102,49 @@ def _signed_lines(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows
             )
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the lines numbered ``line_nos`` of each text, under their ``ids``."""
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines numbered ``line_nos`` of each text, under their ``ids``."""
     for batch in batches:
         wanted, names = batch.column("line_nos").to_pylist(), batch.column("ids").to_pylist()
-        for first, data, at in slices(batch.column("text"), 1 << 19):
-            own = _Lines(data, at, size)
-            start = np.cumsum(own.counts) - own.counts
-            edge = np.r_[0, np.cumsum(own.shingles)]
-            ids, sets = [], []
-            for i in range(len(at) - 1):
-                for number, name in zip(wanted[first + i], names[first + i]):
-                    line = start[i] + number
-                    ids.append(name)
-                    sets.append(np.unique(own.hashes[edge[line] : edge[line + 1]]))
-            if ids:
-                lists = list_column(signed(np.concatenate(sets)), np.array([len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "elements"])
+        ids, found = [], []
+        for row, text in enumerate(batch.column("text")):
+            lines = (text.as_py() or "").split("\n")
+            ids += names[row]
+            found += [lines[i] for i in wanted[row]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "line"])
+
+
+def _of_pairs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a column of lines, each under a hash with its row: (hashes, rows, numbers by row)."""
+    parts = []
+    for first, data, at in slices(column, 1 << 19):
+        own = _Lines(data, at, size)
+        parts.append((own.hashes, own.line_of + first))
+    hashes, rows = (np.concatenate(x) for x in zip(*parts))
+    keys, first = np.unique(mix(hashes ^ mix(rows.astype(np.uint64))), return_index=True)
+    return keys, rows[first], np.bincount(rows[first], minlength=len(column))
+
+
+def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` of lines whose Jaccard similarity is large enough."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            own = batch.slice(start, 2048)
+            left, rows, sizes = _of_pairs(own.column("a_line"), size)
+            right, _, others = _of_pairs(own.column("b_line"), size)
+            common = np.bincount(rows[np.isin(left, right, assume_unique=True)], minlength=own.num_rows)
+            good = pa.array(common * 100 >= (sizes + others - common) * percent)
+            yield own.select(["a", "b"]).filter(good)
 
 
 def _text_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("text_key")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(sets.selectExpr(f"id AS {side}", f"elements AS {side}_set"), side)
-    fits = F.least(F.size("a_set"), F.size("b_set")) * 100 >= F.greatest(F.size("a_set"), F.size("b_set")) * percent
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    union = F.size("a_set") + F.size("b_set") - common
-    return pairs.filter(fits).filter(common.cast("bigint") * 100 >= union * percent).select("a", "b")
+        pairs = pairs.join(lines.selectExpr(f"id AS {side}", f"line AS {side}_line"), side)
+    return pairs.mapInArrow(partial(_verified, size=size, percent=percent), "a bigint, b bigint")
 
 
 def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -169,10 +182,10 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     wanted = members.select("id").distinct().join(leaders, "id")
     wanted = wanted.groupBy("text_key").agg(F.collect_list("line_no").alias("line_nos"), F.collect_list("id").alias("ids"))
     wanted = staged(wanted)
-    found = texts.join(wanted, "text_key").dropDuplicates(["text_key"]).select("text", "line_nos", "ids")
-    sets = staged(found.mapInArrow(partial(_wanted_sets, size=size), "id bigint, elements array<bigint>"))
+    found = texts.join(wanted, "text_key").select("text", "line_nos", "ids")
+    found = staged(found.mapInArrow(_wanted_lines, "id bigint, line string").dropDuplicates(["id"]))
 
-    links = staged(_similar(stars, sets, percent))
+    links = staged(_similar(stars, found, size, percent))
     joined = components(links).withColumnRenamed("node", "id")
     named = staged(members.drop("pivot").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of")))
     several = named.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
@@ -180,7 +193,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     left, right = open_.selectExpr("key", "id AS a", "of AS a_of"), open_.selectExpr("key", "id AS b", "of AS b_of")
     rest = left.join(right, "key").filter("a < b AND a_of != b_of").select("a", "b").distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"))
-    links = links.union(_similar(rest, sets, percent))
+    links = staged(links.union(_similar(rest, found, size, percent)))
 
     joined = staged(components(links)).withColumnRenamed("node", "id")
     named = staged(classes.join(joined, "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component"))
