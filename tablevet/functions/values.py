@@ -69,32 +69,78 @@ def as_number(c: str, data_type: T.DataType) -> str:
     return f"nanvl(try_cast({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-# A written date is never shorter (2024-1) or longer: other text is not worth parsing.
-_DATE_BYTES = (6, 64)
 _FIRST_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 _LAST_TIME = "TIMESTAMP_NTZ'9999-12-31 23:59:59.999999'"
+_MONTHS = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+    "|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+)
+_MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_REST = r"(?:[T ].*)?\s*$"  # a time, or nothing
+# The forms of written dates beside ISO text, by what their three numbers are.
+_SLASHED = rf"^\s*(\d{{1,2}})(?:([/-])(\d{{1,2}})\2(\d{{4}}|\d{{2}})|\.(\d{{1,2}})\.(\d{{4}})){_REST}"
+_YEAR_FIRST = rf"^\s*(\d{{4}})([/.])(\d{{1,2}})\2(\d{{1,2}}){_REST}"
+_COMPACT = rf"^\s*((?:19|20)\d\d)(\d\d)(\d\d){_REST}"
+_DAY_MONTH = rf"(?i)^\s*(\d{{1,2}})[ -]({_MONTHS})\.?,?[ -]+(\d{{4}}){_REST}"
+_MONTH_DAY = rf"(?i)^\s*({_MONTHS})\.? +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}}){_REST}"
+_ISO = r"^\s*(?!0+[-/]\d+[-/])\d{1,4}-\d"
+_DAY_OVER_12 = r"^\s*(?:1[3-9]|2\d|3[01])([/.-])\d{1,2}\1(?:\d{4}|\d{2})(?:[T ]|\s*$)"
+
 
+def is_day_first(c: str) -> str:
+    """The cell can only be read with the day before the month."""
+    return f"{c} RLIKE r'{_DAY_OVER_12}'"
 
-def as_wall_time(c: str, data_type: T.DataType) -> str:
+
+def as_wall_time(c: str, data_type: T.DataType, day_first: bool = False) -> str:
     """TIMESTAMP_NTZ view of a cell; unreadable values and years past 9999 become null.
 
-    Strings need a date separator: a bare ``75001`` is a postcode, not a year.
-    ``y/m/d`` and month-first ``m/d/y`` are accepted beside ISO text.
+    Texts may be ISO, ``y/m/d``, ``y.m.d``, ``yyyymmdd``, ``5 Jan 2024``, ``Jan 5, 2024``, and, by
+    ``day_first``, ``d/m/y`` or ``m/d/y`` with slashes, dashes or dots; two-digit years (not with dots)
+    are 1969 to 2068.  A time may follow, with AM or PM; its offset from UTC is left out.  A bare ``75001`` is a
+    postcode, not a year.
     """
-    if is_string(data_type):
-        month_first = rf"regexp_replace({c}, r'^\s*(\d{{1,2}})/(\d{{1,2}})/([1-9]\d{{3}})', '$3-$1-$2')"
-        iso = rf"regexp_replace({month_first}, r'^\s*(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
-        return (
-            f"CASE WHEN octet_length({c}) BETWEEN {_DATE_BYTES[0]} AND {_DATE_BYTES[1]}"
-            f" AND (contains({c}, '-') OR contains({c}, '/'))"
-            rf" AND {c} RLIKE r'^\s*(?!0+[-/]\d+[-/])\d{{1,4}}[-/]\d'"
-            f" THEN try_cast(CASE WHEN contains({c}, '/') THEN {iso} ELSE {c} END"
-            " AS TIMESTAMP_NTZ) END"
-        )
     if is_temporal(data_type):
         wall = f"CAST({c} AS TIMESTAMP_NTZ)"
         return f"CASE WHEN {wall} BETWEEN {_FIRST_TIME} AND {_LAST_TIME} THEN {wall} END"
-    return "CAST(NULL AS TIMESTAMP_NTZ)"
+    if not is_string(data_type):
+        return "CAST(NULL AS TIMESTAMP_NTZ)"
+
+    numbers = "$4$6-$3$5-$1" if day_first else "$4$6-$1-$3$5"
+    two_digits = f"regexp_replace({c}, r'{_SLASHED}', '{numbers}')"
+    two_digits = f"regexp_replace({two_digits}, r'^((?:[0-5]\\d|6[0-8])-)', '20$1')"
+    named = {_DAY_MONTH: (3, 2, 1), _MONTH_DAY: (3, 1, 2)}
+    date = (
+        rf"CASE WHEN {c} RLIKE r'{_SLASHED}' THEN regexp_replace({two_digits}, r'^(\d\d-)', '19$1')"
+        f" WHEN {c} RLIKE r'{_YEAR_FIRST}' THEN regexp_replace({c}, r'{_YEAR_FIRST}', '$1-$3-$4')"
+        f" WHEN {c} RLIKE r'{_COMPACT}' THEN regexp_replace({c}, r'{_COMPACT}', '$1-$2-$3')"
+    )
+    for pattern, groups in named.items():
+        year, month, day = (f"regexp_extract({c}, r'{pattern}', {g})" for g in groups)
+        number = f"(instr('{_MONTH_STARTS}', lower(substring({month}, 1, 3))) + 2) DIV 3"
+        date += f" WHEN {c} RLIKE r'{pattern}' THEN concat_ws('-', {year}, {number}, {day})"
+    date += rf" WHEN {c} RLIKE r'{_ISO}' THEN regexp_extract({c}, r'^\s*([\d-]+)', 1) END"
+    hour = rf"try_cast(regexp_extract({c}, r'[T ]\s*(\d{{1,2}}):', 1) AS INT)"
+    afternoon = rf"{c} RLIKE r'(?i)p\.?m\.?\s*$'"
+    morning = rf"{c} RLIKE r'(?i)a\.?m\.?\s*$'"
+    hour = f"CASE WHEN {afternoon} THEN {hour} % 12 + 12 WHEN {morning} THEN {hour} % 12 ELSE {hour} END"
+    minutes = rf"regexp_extract({c}, r'(?i)[T ]\s*\d{{1,2}}(:\d.*?)\s*(?:[ap]\.?m\.?)?\s*$', 1)"
+    clock = rf"CASE WHEN {c} RLIKE r'[T ]\s*\d{{1,2}}:\d' THEN concat(' ', {hour}, {minutes}) ELSE '' END"
+    # Long texts and words are told apart by their first characters, before any of the forms is tried.
+    looks = rf"{c} RLIKE r'(?i)^\s*(?:\d{{1,8}}(?:\D|$)|(?:{_MONTHS})\.? +\d)'"
+    return f"CASE WHEN {looks} THEN try_cast(concat({date}, {clock}) AS TIMESTAMP_NTZ) END"
+
+
+def of_times(aggregate: str, c: str, data_type: T.DataType) -> str:
+    """An aggregate over the times of a column, ``{0}`` in ``aggregate``.
+
+    One cell whose first number is over 12 tells that all of the column have the day first.
+    """
+    month_first = aggregate.format(as_wall_time(c, data_type))
+    if not is_string(data_type):
+        return month_first
+    day_first = aggregate.format(as_wall_time(c, data_type, day_first=True))
+    return f"CASE WHEN count_if({is_day_first(c)}) > 0 THEN {day_first} ELSE {month_first} END"
 
 
 # ------------------------------------------------------------------ digests

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 
@@ -99,8 +100,13 @@ def _format_check(kind: str, name: str, valid: str) -> Check:
     return Check("validity", kind, name, f"{filled} AND NOT ({valid})", filled)
 
 
-def pair_checks(df: DataFrame, pairs: list[Pair]) -> list[Check]:
-    """Both sides are compared as times if both are dates, else as numbers."""
+def pair_checks(
+    df: DataFrame, pairs: list[Pair], day_first: Collection[str] = ()
+) -> list[Check]:
+    """Sides are compared as numbers if one is a number, else as times.
+
+    ``day_first`` names the text columns whose dates have the day before the month.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     checks = []
     for pair in pairs:
@@ -109,8 +115,11 @@ def pair_checks(df: DataFrame, pairs: list[Pair]) -> list[Check]:
         if pair.operator not in _NEGATED:
             raise ValueError(f"operator must be one of {tuple(_NEGATED)}: {pair.operator!r}")
         sides = [(quote_name(c), types[c]) for c in (pair.col_a, pair.col_b)]
-        view = as_number if any(is_numeric(t) for _, t in sides) else as_wall_time
-        a, b = (view(c, t) for c, t in sides)
+        if any(is_numeric(t) for _, t in sides):
+            a, b = (as_number(c, t) for c, t in sides)
+        else:
+            names = (pair.col_a, pair.col_b)
+            a, b = (as_wall_time(c, t, n in day_first) for n, (c, t) in zip(names, sides))
         checks.append(
             Check(
                 "correlation",

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from tablevet.functions.values import as_wall_time, is_string, is_temporal, quote_name, sql_double, sql_text
+from tablevet.functions.values import is_string, is_temporal, of_times, quote_name, sql_double, sql_text
 from tablevet.operators.fused import rows_of
 
 
@@ -22,15 +22,15 @@ def freshness(
     records = []
     for name in dates:
         if name in types and (is_string(types[name]) or is_temporal(types[name])):
-            wall = as_wall_time(quote_name(name), types[name])
-            latest = f"max({wall})"
+            column = quote_name(name)
+            latest = of_times("max({0})", column, types[name])
             lag = f"timestampdiff(MICROSECOND, {latest}, {now}) / 3.6e9"
             score = f"least(100e0, greatest(0e0, 100 - {lag} / {sql_double(float(threshold_hours))} * 100))"
             records.append(
                 {
                     "column": sql_text(name),
                     "max_ts": latest,
-                    "unparsable": f"count({quote_name(name)}) - count({wall})",
+                    "unparsable": f"count({column}) - {of_times('count({0})', column, types[name])}",
                     "lag_hours": lag,
                     "score": f"CASE WHEN {latest} IS NOT NULL THEN {score} END",
                 }

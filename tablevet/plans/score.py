@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.functions.text import folded
 from tablevet.functions.values import (
-    as_wall_time,
     digest,
+    is_day_first,
     is_numeric,
     is_string,
     is_temporal,
     normalize,
+    of_times,
     quote_name,
     round1,
 )
@@ -123,6 +124,7 @@ class _Measured:
     rule_checks: list[Check]
     rejected: list[tuple[Rule, str]]
     outliers: list[Check] = field(default_factory=list)
+    day_first: set[str] = field(default_factory=set)
     as_of: datetime | None = None
 
 
@@ -201,8 +203,9 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
                 scan.want((f.name, part), agg, group=f.name)
         if f.name in open_columns or f.name in by_schema.dates:
             if is_string(f.dataType) or is_temporal(f.dataType):
-                latest = f"max({as_wall_time(c, f.dataType)})"
-                scan.want((f.name, "latest"), latest, group=f.name)
+                scan.want((f.name, "latest"), of_times("max({0})", c, f.dataType), group=f.name)
+                if is_string(f.dataType):
+                    scan.want((f.name, "day first"), f"count_if({is_day_first(c)})", group=f.name)
     for check in [
         *negative_checks(df),
         *email_checks(df, by_schema),
@@ -244,7 +247,8 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
     short = [c for c in string_columns(df) if 2 <= distinct[c] <= MAX_SPELLINGS]
     outliers = outlier_checks(df, fences)
     scan = FusedScan()
-    for check in [*outliers, *pair_checks(df, roles.pairs)]:
+    day_first = {f.name for f in schema.fields if found.get((f.name, "day first"))}
+    for check in [*outliers, *pair_checks(df, roles.pairs, day_first)]:
         check.add_to(scan)
     counted, folded_values = together(lambda: scan.run(df), lambda: _value_counts(df, short))
     found |= counted | folded_values
@@ -256,6 +260,7 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         compiled.checks,
         compiled.rejected,
         outliers,
+        day_first,
         as_of or found["now"] or datetime.now(),
     )
 
@@ -403,7 +408,7 @@ def _validity(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
 
 def _correlation(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
     violations = checked = 0
-    for check, v, c in _tally(pair_checks(df, m.roles.pairs), m):
+    for check, v, c in _tally(pair_checks(df, m.roles.pairs, m.day_first), m):
         violations, checked = violations + v, checked + c
         if v:
             issues.append(_issue(check, v, c, f"{v:,} violations of '{check.name}'"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tablevet.operators.fused import FusedScan
 from tablevet.sources.scratch import scratch_dir
 
 SNIFF_CHARS = 4096
+DELIMITERS = (",", ";", "\t", "|")
 # Cell texts a CSV reader takes for a missing value.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -26,16 +28,19 @@ def read_source(
     """Read one file, folder or URL; the suffix tells the format.
 
     ``.parquet`` is Parquet, and so is anything but ``.csv`` on Azure and Google storage.  The
-    rest is CSV: with commas behind a URL and for ``.csv`` objects of a store, else with a
-    sniffed delimiter.
+    rest is CSV: with commas behind a URL and for ``.csv`` objects of a store, with any usual
+    delimiter for its other objects, else with commas or semicolons as the head of the file says.
     """
     scheme, path = urlparse(uri).scheme.lower(), urlparse(uri).path.lower()
     if scheme in ("http", "https"):
         return read_url(spark, uri)
     if path.endswith(".parquet") or (scheme in _PARQUET_STORES and not path.endswith(".csv")):
         return spark.read.options(**(options or {})).parquet(uri)
-    if scheme in (*_PARQUET_STORES, "s3", "s3a") and path.endswith(".csv"):
-        csv = {"sep": ","} | csv
+    if scheme in (*_PARQUET_STORES, "s3", "s3a"):
+        if path.endswith(".csv"):
+            csv = {"sep": ","} | csv
+        elif "sep" not in csv:
+            csv["sep"] = sniff_delimiter(spark, uri, options, DELIMITERS)
     return read_csv(spark, uri, options=options, **csv)
 
 
@@ -48,16 +53,19 @@ def read_csv(
     sep: str | None = None,
     schema: str | None = None,
     na_tokens: tuple[str, ...] = NA_TOKENS,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
     """CSV with a header line.
 
     Without ``schema`` one scan finds the type of every column: whole numbers, numbers,
     booleans or text.  ``na_tokens`` read as null.  ``multi_line`` allows line breaks inside
-    quotes; such files cannot be split, so leave it off for large ones.
+    quotes; by default a scan for lines with an odd number of quotes decides, for such files
+    cannot be split and are read by one task each.
     """
     sep = sep or sniff_delimiter(spark, path, options)
+    if multi_line is None:
+        multi_line = _has_broken_lines(spark, path, options)
     reader = spark.read.options(**(options or {})).options(
         header=True, sep=sep, quote='"', escape='"', multiLine=multi_line
     )
@@ -97,16 +105,39 @@ def _column_type(found: dict, c: str) -> str:
     return "{0}"
 
 
+def _has_broken_lines(spark: SparkSession, path: str, options: dict[str, str] | None) -> bool:
+    lines = spark.read.options(**(options or {})).text(path)
+    return not lines.filter(f"{occurrences('value', chr(34))} % 2 = 1").isEmpty()
+
+
 def sniff_delimiter(
-    spark: SparkSession, path: str, options: dict[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    options: dict[str, str] | None = None,
+    among: tuple[str, ...] = (";", ","),
 ) -> str:
-    """``;`` if the head of the file holds more of them than commas, else ``,``."""
-    lines = spark.read.options(**(options or {})).text(path).limit(100)
-    head = ""
-    for row in lines.selectExpr(f"substring(value, 1, {SNIFF_CHARS}) AS line").collect():
-        head += row["line"] + "\n"
-    head = head[:SNIFF_CHARS]
-    return ";" if head.count(";") > head.count(",") else ","
+    """The delimiter that the first ``SNIFF_CHARS`` characters hold most of; ``,`` where none does.
+
+    Of a folder, the file with the smallest path is looked at.  With more than two delimiters to
+    choose from, text in quotes is left out, for a sentence holds commas whatever cuts its cells.
+    """
+    reader = spark.read.options(**(options or {}))
+    files = sorted(reader.text(path).inputFiles())
+    if not files:
+        return ","
+    # every line has its line feed, so this many lines always reach the number of characters
+    lines = reader.text(files[0]).limit(SNIFF_CHARS)
+    head, size = [], 0
+    for row in lines.selectExpr(f"substring(value, 1, {SNIFF_CHARS}) AS line").toLocalIterator():
+        head.append(row["line"])
+        size += len(row["line"]) + 1
+        if size >= SNIFF_CHARS:
+            break
+    text = "\n".join(head)[:SNIFF_CHARS]
+    if len(among) > 2:
+        text = re.sub(r'"[^"]*"?', "", text)
+    found = {d: text.count(d) for d in among}
+    return max(found, key=lambda d: (found[d], d == ","))
 
 
 def delimiter_counts(df: DataFrame, column_name: str) -> DataFrame:
