@@ -23,6 +23,7 @@ from tablevet.sources.scratch import staged
 SHINGLE = 8
 PERCENT = 80
 BANDS, ROWS = 8, 3  # a pair of similarity 0.8 shares a band with probability 0.997
+SKETCH_BITS = 512
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -102,8 +103,22 @@ def _signed_lines(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows
             )
 
 
-def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines numbered ``line_nos`` of each text, under their ``ids``."""
+def _sketches(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of distinct shingles of lines, and the parity of those that hash to each bit."""
+    sizes, sketches = [], []
+    for _, data, at in slices(column, 1 << 18):
+        own, n = _Lines(data, at, size), len(at) - 1
+        hashes = own.hashes ^ mix(own.line_of.astype(np.uint64))
+        _, first = np.unique(hashes, return_index=True)
+        line, bit = own.line_of[first], (own.hashes[first] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        bits = np.bincount(line * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
+        sizes.append(np.bincount(line, minlength=n))
+        sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+    return np.concatenate(sizes), np.concatenate(sketches)
+
+
+def _wanted_lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The lines numbered ``line_nos`` of each text, under their ``ids``, with sizes and sketches."""
     for batch in batches:
         wanted, names = batch.column("line_nos").to_pylist(), batch.column("ids").to_pylist()
         ids, found = [], []
@@ -111,7 +126,11 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lines = (text.as_py() or "").split("\n")
             ids += names[row]
             found += [lines[i] for i in wanted[row]]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "line"])
+        if ids:
+            column = pa.array(found, pa.string())
+            sizes, sketches = _sketches(column, size)
+            columns = [pa.array(ids, pa.int64()), column, pa.array(sizes), list_column(sketches, np.full(len(ids), SKETCH_BITS // 64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "n", "sketch"])
 
 
 def _of_pairs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,9 +160,25 @@ def _text_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("text_key")
 
 
+def _may_link(percent: int) -> Column:
+    """Not ruled out by sizes and sketches: a sketch differs in at most as many bits as its set."""
+    a, b = F.col("a_n"), F.col("b_n")
+    differing = sum(
+        (F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)
+    )
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (differing * (100 + percent) <= (a + b) * (100 - percent))
+
+
+def _side(lines: DataFrame, side: str, *columns: str) -> DataFrame:
+    return lines.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+
 def _similar(pairs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(lines.selectExpr(f"id AS {side}", f"line AS {side}_line"), side)
+        pairs = pairs.join(_side(lines, side, "n", "sketch"), side)
+    pairs = staged(pairs.filter(_may_link(percent)).select("a", "b"))
+    for side in "ab":
+        pairs = pairs.join(_side(lines, side, "line"), side)
     return pairs.mapInArrow(partial(_verified, size=size, percent=percent), "a bigint, b bigint")
 
 
@@ -157,7 +192,8 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     blank line.  ``text_key`` is a hash of doc_id and text: equal rows count once.
 
     In a band, lines are first compared with the one that has most equal copies; where several
-    components are left in a band, all its pairs of different components are compared.
+    components are left in a band, all its pairs of different components are compared, by parity
+    sketches that rule out nearly all pairs below the similarity, and never one that reaches it.
     """
     texts = docs.select("doc_id", "text", _text_key())
     task = partial(_signed_lines, size=size, bands=bands, rows=rows)
@@ -167,31 +203,33 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         )
     )
     place = F.struct("doc_id", "text_key", "line_no")
-    classes = lines.filter("NOT blank").groupBy("one", "two").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
+    classes = lines.filter("NOT blank").groupBy("one", "two").agg(
+        F.min(place).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands")
+    )
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()))
-    leaders = classes.select("id", "copies", "at.*")
-    signed_leaders = lines.select("text_key", "line_no", "bands").join(leaders.drop("doc_id"), ["text_key", "line_no"])
-
-    parts = staged(signed_leaders.select("id", "copies", "bands")).select(F.explode("bands").alias("key"), "id", "copies")
+    parts = classes.select(F.explode("bands").alias("key"), "id", "copies")
     shared = parts.groupBy("key").agg(F.max_by("id", "copies").alias("pivot"), F.count("*").alias("n"))
     shared = staged(shared.filter("n > 1").select("key", "pivot"))
     members = staged(parts.select("key", "id").join(shared, "key"))
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
     stars = staged(members.filter("id != pivot").select(*pair).distinct())
 
-    wanted = members.select("id").distinct().join(leaders, "id")
+    wanted = members.select("id").distinct().join(classes.select("id", "at.text_key", "at.line_no"), "id")
     wanted = wanted.groupBy("text_key").agg(F.collect_list("line_no").alias("line_nos"), F.collect_list("id").alias("ids"))
     wanted = staged(wanted)
     found = texts.join(wanted, "text_key").select("text", "line_nos", "ids")
-    found = staged(found.mapInArrow(_wanted_lines, "id bigint, line string").dropDuplicates(["id"]))
+    found = found.mapInArrow(partial(_wanted_lines, size=size), "id bigint, line string, n bigint, sketch array<bigint>")
+    found = staged(found.dropDuplicates(["id"]))
 
     links = staged(_similar(stars, found, size, percent))
     joined = components(links).withColumnRenamed("node", "id")
     named = staged(members.drop("pivot").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of")))
     several = named.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
-    open_ = staged(named.join(staged(several), "key"))
-    left, right = open_.selectExpr("key", "id AS a", "of AS a_of"), open_.selectExpr("key", "id AS b", "of AS b_of")
-    rest = left.join(right, "key").filter("a < b AND a_of != b_of").select("a", "b").distinct()
+    open_ = named.join(staged(several), "key").join(found.select("id", "n", "sketch"), "id")
+    open_ = staged(open_)
+    left, right = (_side(open_, side, "key", "of", "n", "sketch") for side in "ab")
+    both = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of"))
+    rest = left.join(right, both & _may_link(percent)).select("a", "b").distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"))
     links = staged(links.union(_similar(rest, found, size, percent)))
 
@@ -211,12 +249,12 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
+        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("__dropped").to_pylist()):
             if dropped:
                 gone = set(dropped)
                 text = "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)
             texts.append(text)
-        kept = batch.drop_columns("dropped")
+        kept = batch.drop_columns("__dropped")
         yield kept.set_column(kept.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
@@ -227,14 +265,14 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     repeat both doc_id and text are kept once.  Columns of the input keep their order.
     """
     lines = line_components(docs, **options)
-    dropped = lines.filter("NOT kept").groupBy("text_key").agg(F.collect_set("line_no").alias("dropped"))
-    dropped = staged(dropped.withColumnRenamed("text_key", "_text_key"))
-    keyed = docs.withColumn("_text_key", _text_key()).join(dropped, "_text_key", "left")
-    out = keyed.dropDuplicates(["_text_key"]).select(*docs.columns, "dropped")
+    dropped = lines.filter("NOT kept").groupBy("text_key").agg(F.collect_set("line_no").alias("__dropped"))
+    dropped = staged(dropped.withColumnRenamed("text_key", "__text_key"))
+    keyed = docs.withColumn("__text_key", _text_key()).join(dropped, "__text_key", "left")
+    out = keyed.dropDuplicates(["__text_key"]).select(*docs.columns, "__dropped")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    was = F.col("dropped").isNotNull()
-    out = out.withColumn("_cut", was).mapInArrow(_without, f"{fields}, _cut boolean")
-    out = out.filter(~(F.col("_cut") & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")))
+    was = F.col("__dropped").isNotNull()
+    out = out.withColumn("__cut", was).mapInArrow(_without, f"{fields}, `__cut` boolean")
+    out = out.filter(~(F.col("__cut") & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.drop("_cut")
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return out.drop("__cut")
