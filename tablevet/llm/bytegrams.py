@@ -176,9 +176,9 @@ def with_scores(docs: DataFrame, model: DataFrame, order: int, column: str, bloc
 
     if blocks == 1:
         return scored(docs, 0)
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [staged(scored(rows.select("_row", "text"), b).select("_row", column)) for b in range(blocks)]
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    parts = [staged(scored(rows.select("__row", "text"), b).select("__row", column)) for b in range(blocks)]
     total = parts[0]
     for part in parts[1:]:
         total = total.unionByName(part)
-    return rows.join(total.groupBy("_row").agg(F.sum(column).alias(column)), "_row").drop("_row")
+    return rows.join(total.groupBy("__row").agg(F.sum(column).alias(column)), "__row").drop("__row")

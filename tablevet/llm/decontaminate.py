@@ -34,7 +34,8 @@ def folded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a slice's texts with white space made even, and the texts' offsets."""
     chars, at = characters(data, at)
     space = blanks(chars)
-    again = np.r_[False, space[1:] & space[:-1]]
+    again = np.zeros(len(chars), bool)
+    again[1:] = space[1:] & space[:-1]
     again[at[:-1][at[:-1] < len(chars)]] = False
     kept = np.r_[0, np.cumsum(~again)]
     return np.where(space, np.uint32(32), chars)[~again], kept[at]
@@ -146,7 +147,7 @@ def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> int:
 
 def _indexes(ids: list[int], texts: list[str]) -> list[_Index]:
     raw = [t.encode() for t in texts]
-    at = np.r_[0, np.cumsum([len(r) for r in raw])]
+    at = np.cumsum([0, *map(len, raw)])
     chars, cuts = folded(np.frombuffer(b"".join(raw), np.uint8), at)
     by_size: dict[int, list[int]] = {}
     items = []
@@ -210,11 +211,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLO
 
     if blocks == 1:
         return searched(docs, 0)
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
     total = None
     for number in range(blocks):
-        part = staged(searched(rows.select("_row", "text"), number).filter("size(item_ids) > 0").select("_row", "item_ids"))
+        part = staged(searched(rows.select("__row", "text"), number).filter("size(item_ids) > 0").select("__row", "item_ids"))
         total = part if total is None else total.unionByName(part)
-    total = total.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    out = rows.join(total, "_row", "left").drop("_row")
+    total = total.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    out = rows.join(total, "__row", "left").drop("__row")
     return out.withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<bigint>")))

@@ -15,8 +15,9 @@ from tablevet.sources.scratch import staged
 
 ORDER = 4
 TRAIN_DOCUMENTS = 20_000
-QUANTILE = 0.995
+QUANTILE = 0.999
 LEAST_TRUSTED = 50
+_LOGP, _LANG, _CUT = "__logp", "__lang", "__cut"
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -60,7 +61,7 @@ def kneser_ney_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _surprise() -> Column:
     """Mean -log10 of the probability of a text's signs."""
-    return -F.col("logp") / (F.octet_length(F.coalesce("text", F.lit(""))) + 1)
+    return -F.col(_LOGP) / (F.octet_length(F.coalesce("text", F.lit(""))) + 1)
 
 
 def rated(
@@ -81,7 +82,7 @@ def rated(
     A null or empty text is judged by the probability that a text ends at once.  Repeated rows are
     rated alike; other columns stay as they are; columns of the three names are replaced.
     """
-    docs = docs.drop("perplexity", "threshold", "accepted", "logp", "learn")
+    docs = docs.drop("perplexity", "threshold", "accepted", _LOGP)
     trusted = (
         labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
         .select("doc_id", F.xxhash64("doc_id").alias("order_by")).distinct()
@@ -91,21 +92,21 @@ def rated(
     learn = docs.select("doc_id", "text").join(F.broadcast(train.withColumn("learn", F.lit(True))), "doc_id", "left")
     model = kneser_ney_model(gram_counts(learn, F.col("learn"), order), order)
 
-    scores = with_scores(docs.select("doc_id", "lang", "text"), model, order, "logp")
+    scores = with_scores(docs.select("doc_id", "lang", "text"), model, order, _LOGP)
     scores = staged(scores.select("doc_id", "lang", _surprise().alias("surprise")))
     judges = trusted.join(F.broadcast(train), "doc_id", "left_anti").select("doc_id")
     judged = scores.join(judges, "doc_id")
     cut = F.percentile_approx("surprise", quantile, 10_000).alias("cut")
     by_lang = judged.groupBy("lang").agg(cut, F.count("*").alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
-    by_lang = staged(by_lang.filter("lang IS NOT NULL").select(F.col("lang").alias("_lang"), "cut"))
+    by_lang = staged(by_lang.filter("lang IS NOT NULL").select(F.col("lang").alias(_LANG), F.col("cut").alias(_CUT)))
     overall = judged.agg(cut).first()[0]
     overall = float("inf") if overall is None else float(overall)
 
-    out = with_scores(docs, model, order, "logp").join(by_lang, F.col("lang") == F.col("_lang"), "left")
-    limit = F.coalesce("cut", F.lit(overall))
+    out = with_scores(docs, model, order, _LOGP).join(by_lang, F.col("lang") == F.col(_LANG), "left")
+    limit = F.coalesce(_CUT, F.lit(overall))
     return (
         out.withColumn("perplexity", F.pow(F.lit(10.0), _surprise()))
         .withColumn("threshold", F.pow(F.lit(10.0), limit))
         .withColumn("accepted", _surprise() <= limit)
-        .drop("logp", "_lang", "cut")
+        .drop(_LOGP, _LANG, _CUT)
     )
