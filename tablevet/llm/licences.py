@@ -98,7 +98,8 @@ def line_licences(
 
     low = F.translate("line", _UPPER, _LOWER)
     pattern = "|".join(re.escape(w) for w in telling) or "(?!)"
-    lines = _lines(files.select(key, "text"), key).filter(low.rlike(f"(?:{pattern})"))
+    whole = f"(?<![a-z0-9])(?:{pattern})(?![a-z0-9])"
+    lines = _lines(files.select(key, "text"), key).filter(low.rlike(whole))
     text_id = F.xxhash64("line")  # repeated rows of one key may differ in their lines
     lines = lines.dropDuplicates([key, "line_no", "line"])
     lines = lines.select(key, "line_no", text_id.alias("line_id"), F.explode(_words(F.col("line"))).alias("word"))
