@@ -118,7 +118,9 @@ def parse(page: str) -> _Node:
                 if stack[depth].tag == tag:
                     del stack[depth:]
                     break
-                if stack[depth].tag in _BLOCKS and tag not in _BLOCKS:
+                if stack[depth].tag in _BLOCKS and (tag not in _BLOCKS or tag == "p"):
+                    if tag == "p":  # as browsers do: an end without a start is an empty paragraph
+                        stack[-1].parts.append(_Node("p"))
                     break  # an inline end does not close blocks
             continue
         tag = (found[2] or found[4] or "").lower()
@@ -239,11 +241,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = batch.drop_columns(["html", "subtrees"])
+        kept = batch.drop_columns(["html", "__subtrees"])
         for start in range(0, batch.num_rows, 512):
             own = batch.slice(start, 512)
             texts = []
-            for page, hashes in zip(own.column("html"), own.column("subtrees").to_pylist()):
+            for page, hashes in zip(own.column("html"), own.column("__subtrees").to_pylist()):
                 texts.append(main_text(page.as_py() or "", set(hashes or ())))
             rest = kept.slice(start, 512)
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(texts, pa.string())], names=[*rest.schema.names, "text"])
@@ -273,7 +275,8 @@ def main_texts(pages: DataFrame, **options) -> DataFrame:
     empty host; pages are extracted one by one, so repeated rows stay, and so do other columns.
     """
     templates = template_subtrees(pages, **options)
-    salted = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "_host")
-    rows = pages.drop("text").withColumn("_host", _host()).withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(salted, ["_host", "_salt"], "left").drop("_host", "_salt")
-    return rows.mapInArrow(_extracted, f"{ddl(rows.drop('html', 'subtrees'))}, text string")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    salted = templates.select(F.col("host").alias("__host"), salts, F.col("subtrees").alias("__subtrees"))
+    rows = pages.drop("text").withColumn("__host", _host()).withColumn("__salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(salted, ["__host", "__salt"], "left").drop("__host", "__salt")
+    return rows.mapInArrow(_extracted, f"{ddl(rows.drop('html', '__subtrees'))}, text string")
