@@ -146,6 +146,7 @@ def of_times(aggregate: str, c: str, data_type: T.DataType) -> str:
 # ------------------------------------------------------------------ digests
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_EIGHT_BYTES = (T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.CalendarIntervalType)
 _JSON_OPTIONS = (
     "map('ignoreNullFields', 'false',"
@@ -157,13 +158,15 @@ _JSON_OPTIONS = (
 def digest(c: str, data_type: T.DataType) -> tuple[str, str]:
     """128-bit key of a cell as two BIGINT fragments; equal cells have equal keys.
 
-    Integers are their own key.  Other values are hashed with two seeds: two of n distinct
+    Integers are their own key, and values of 8 bytes need one fragment.  Others are hashed with two seeds: two of n distinct
     values share a key with probability about n^2 / 2^129 (1.5e-15 for 10^12 values), and a
     long text costs 16 bytes in a shuffle.  The key of a null cell means nothing.
     """
     if isinstance(data_type, _INTEGRAL):
         return f"CAST({c} AS BIGINT)", "0L"
     inputs = _hash_inputs(c, data_type)
+    if isinstance(data_type, _EIGHT_BYTES):
+        return f"xxhash64({inputs})", "0L"  # this hash tells all values of 8 bytes apart
     return f"xxhash64(1, {inputs})", f"xxhash64(2, {inputs})"
 
 

@@ -143,19 +143,6 @@ def quartiles_exact(spark, sf_dir):
     return spark.createDataFrame(rows, "column string, q1 double, q3 double, iqr double")
 
 
-def quartiles_approx(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    records = [
-        {
-            "column": f"'{c}'",
-            "q1": f"{approximate_quartiles(f'CAST({quote_name(c)} AS DOUBLE)')}[0]",
-            "q3": f"{approximate_quartiles(f'CAST({quote_name(c)} AS DOUBLE)')}[1]",
-        }
-        for c in checks.numeric_columns(df)
-    ]
-    return rows_of(df, records, "column:string, q1:double, q3:double")
-
-
 def _filled_numbers(df: DataFrame) -> dict[str, tuple[str, int]]:
     scan = FusedScan()
     for c in checks.numeric_columns(df):
@@ -244,15 +231,6 @@ def distinct_per_column(spark, sf_dir):
     return found.select("key", "distinct_count")
 
 
-def approx_distinct(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    records = [
-        {"column": f"'{c}'", "approx": f"approx_count_distinct({quote_name(c)})"}
-        for c in df.columns
-    ]
-    return rows_of(df, records, "column:string, approx:bigint")
-
-
 def dirty_score(spark: SparkSession, sf_dir: str, active: list | None = None) -> ScoreResult:
     return score(dirty_orders(spark, sf_dir), "dirty_orders", active, 720, DIRTY_AS_OF)
 
@@ -320,13 +298,6 @@ def table_columns(spark, sf_dir, name):
     return views.column_scores(result)
 
 
-def sketched_dimensions(spark, sf_dir):
-    result = score(
-        table(spark, sf_dir, "lineitem"), "lineitem", None, 168, EVENTS_AS_OF, exact=False
-    )
-    return views.dimension_scores(result)
-
-
 def roles_by_content(spark, sf_dir):
     return role_shares(dirty_orders(spark, sf_dir))
 
@@ -404,10 +375,6 @@ def table_sizes(spark, sf_dir):
     return out
 
 
-def preview_rows(spark, sf_dir):
-    return preview(table(spark, sf_dir, "lineitem"))
-
-
 def document_delimiters(spark, sf_dir):
     return delimiter_counts(table(spark, sf_dir, "documents"), "text")
 
@@ -425,7 +392,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_coerced_compare": rule_coerced_compare,
         "rule_not_applicable": rule_not_applicable,
         "quartiles": quartiles_exact,
-        "quartiles_approx": quartiles_approx,
         "outliers": outliers,
         "email_validity": email_validity,
         "phone_validity": phone_validity,
@@ -435,7 +401,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "padded_texts": padded_texts,
         "case_variants": case_variants,
         "distinct_per_column": distinct_per_column,
-        "approx_distinct": approx_distinct,
         "standardization_score": standardization_score,
         "dimension_scores": dimension_scores,
         "dimension_scores_with_rule": dimension_scores_with_rule,
@@ -445,7 +410,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_summary": run_summary,
         "column_scores": column_scores,
         "worst_columns": worst_columns,
-        "sketched_dimensions": sketched_dimensions,
         "roles_by_content": roles_by_content,
         "detected_roles": detected_roles,
         "numeric_profile": numeric_profile,
@@ -457,7 +421,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_roundtrip": csv_roundtrip,
         "table_roundtrip": table_roundtrip,
         "table_sizes": table_sizes,
-        "preview": preview_rows,
         "document_delimiters": document_delimiters,
     }
     for name in SCORED_TABLES:

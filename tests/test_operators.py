@@ -70,25 +70,20 @@ def test_quartile_budget_splits_scans(spark, monkeypatch):
 
 
 def test_approximate_quartiles_stay_within_one_percent_of_rank(spark, sf_dir):
-    from tablevet.registry.queries import quartiles_approx
+    from tablevet.registry.variants import quartiles_approx
 
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    n = df.count()
-    for r in quartiles_approx(spark, sf_dir).collect():
-        for q, value in ((0.25, r.q1), (0.75, r.q3)):
-            below, upto = df.agg(
-                F.count_if(F.col(r.column) < value), F.count_if(F.col(r.column) <= value)
-            ).first()
-            assert below / n - 0.011 <= q <= upto / n + 0.011
+    found = quartiles_approx(spark, sf_dir).collect()
+    assert len(found) == 8 and all(r.q1_close and r.q3_close for r in found)
 
 
 def test_approximate_distinct_is_close(spark, sf_dir):
-    from tablevet.registry.queries import approx_distinct
+    from tablevet.registry.variants import approx_distinct
 
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     exact = distinct_counts(df, typed_columns(df))
-    for r in approx_distinct(spark, sf_dir).collect():
-        assert abs(r.approx - exact[r.column]) <= 0.15 * exact[r.column]
+    found = approx_distinct(spark, sf_dir).collect()
+    assert all(r.close for r in found)
+    assert {r.column: r.exact for r in found} == exact
 
 
 # ---------------------------------------------------------------- distinct
@@ -310,3 +305,72 @@ def test_profiles_of_an_empty_table(spark, sf_dir):
     assert suggest.suggest_rules(empty) == []
     counts = distinct_counts(empty, typed_columns(empty), whole_rows=True)
     assert set(counts.values()) == {0}
+
+
+# ---------------------------------------------------------------- names, fences, settings
+
+
+def test_one_key_cannot_stand_for_two_aggregates():
+    from tablevet.operators.fused import FusedScan
+
+    scan = FusedScan()
+    scan.want("n", "count(1)")
+    scan.want("n", "count(1)")
+    with pytest.raises(ValueError, match="two different"):
+        scan.want("n", "count(2)")
+
+
+def test_a_column_named_like_the_whole_row(spark):
+    df = spark.createDataFrame([(i // 10, i) for i in range(100)], "`*` int, x int")
+    assert distinct_counts(df, typed_columns(df), whole_rows=True) == {"*": 10, "x": 100, ROW: 100}
+
+
+def test_infinite_quartiles_leave_no_outliers(spark):
+    from tablevet.operators.checks import outlier_checks
+
+    df = spark.createDataFrame([(float("inf"),)] * 90 + [(float(i),) for i in range(10)], "x double")
+    fences = {"x": (float("inf"), float("inf"))}
+    row = count_checks(df, outlier_checks(df, fences)).first()
+    assert (row.violations, row.checked) == (0, 100)
+
+
+def test_two_scores_in_threads_leave_the_settings_as_found(spark):
+    import threading
+
+    from tablevet import score
+    from tablevet.functions.settings import held_setting
+
+    keys = ("spark.sql.ansi.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in keys]
+    df = spark.range(200).selectExpr("id", "CAST(id AS STRING) AS s")
+    rules = [build_rule("r", "s", ">", "5")]
+    threads = [threading.Thread(target=score, args=(df, "t", rules)) for _ in range(3)]
+    with held_setting(spark, keys[1], "50"):
+        with held_setting(spark, keys[1], "9"):
+            assert spark.conf.get(keys[1]) == "50"
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_written_dates(spark):
+    from pyspark.sql import types as T
+
+    from tablevet.functions.values import as_wall_time, of_times
+
+    texts = {
+        "25/12/2023": (None, "2023-12-25 00:00:00"), "01/05/24": ("2024-01-05 00:00:00", "2024-05-01 00:00:00"),
+        "20240105": ("2024-01-05 00:00:00",) * 2, "5 Jan 2024": ("2024-01-05 00:00:00",) * 2,
+        "Jan 5, 2024 3:04 pm": ("2024-01-05 15:04:00",) * 2, "2024.01.05": ("2024-01-05 00:00:00",) * 2,
+        " " * 90 + "2024-01-05T10:00:00+02:00": ("2024-01-05 10:00:00",) * 2, "75001": (None, None),
+        "12/31/1999 12:05 AM": ("1999-12-31 00:05:00", None), "1.2.30": (None, None), "May the 4th": (None, None),
+        "31-12-70": (None, "1970-12-31 00:00:00"), "30/02/2024": (None, None), "": (None, None),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    found = df.selectExpr("c", *(f"{as_wall_time('c', T.StringType(), d)} AS t{d:d}" for d in (False, True))).collect()
+    assert {r.c: (r.t0 and str(r.t0), r.t1 and str(r.t1)) for r in found} == texts
+    for last, latest in (("01/12/2024", "2024-01-12"), ("13/01/2024", "2024-12-01")):
+        df = spark.createDataFrame([("01/12/2024",), (last,)], "c string")
+        assert str(df.selectExpr(of_times("max({0})", "c", T.StringType())).first()[0])[:10] == latest

@@ -5,11 +5,11 @@ import pytest
 from __spark_entry__ import entry
 from tablevet.registry.oracles import all_oracles
 from tablevet.registry.queries import all_queries
+from tablevet.registry.variants import variant_oracles, variant_queries
 from tests.oracle import connect, spark_result, sql_result
 
-QUERIES, ORACLES = all_queries(), all_oracles()
-# Sketches and arbitrary rows have no SQL answer; their own tests are in test_operators.py.
-WITHOUT_SQL = {"quartiles_approx", "approx_distinct", "sketched_dimensions", "preview"}
+QUERIES = all_queries() | variant_queries()
+ORACLES = all_oracles() | variant_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +18,7 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -31,10 +30,5 @@ def test_matches_sql(name, spark, sf_dir, con):
     assert rows
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_runs(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).collect()
-
-
 def test_entry(spark):
     assert entry(spark).count() == 9

@@ -143,7 +143,7 @@ def test_report_is_written_by_table_and_run(spark, tmp_path, fmt):
     at = datetime(2024, 1, 2, 3, 4, 5)
     result = score(demo_table(spark), "demo.table", as_of=at)
     written = write_report(result, str(tmp_path), at, fmt)
-    assert set(written) == {"summary", "dimensions", "issues", "rules", "worst_columns"}
+    assert set(written) == {"summary", "dimensions", "issues", "rules", "column_scores", "worst_columns"}
     back = spark.read.format(fmt).load(written["dimensions"])
     assert back.count() == 9
     assert {(r.table_name, r.run) for r in back.collect()} == {("demo_table", "20240102_030405")}
