@@ -53,6 +53,7 @@ from tablevet.operators.roles import (
     undecided,
 )
 from tablevet.operators.rules import Rule, compile_rules
+from tablevet.sources.scratch import staged
 
 # The weight of each dimension in the global score, in adding order.
 WEIGHTS = {
@@ -138,17 +139,20 @@ def score(
     exact: bool = True,
     null_policy: str = "violation",
     names: NameLists = NameLists(),
+    stage: bool = False,
 ) -> ScoreResult:
     """Score one table.
 
     ``as_of`` is the wall-clock time freshness counts from (default: now, in the session time
     zone).  ``roles`` replaces role detection.  ``exact=False`` estimates quartiles and
     distinct values per column by sketches; duplicate rows are always counted exactly.
+    ``stage`` writes the table once as Parquet to the shared scratch folder and scans that copy:
+    for CSV, database queries and long plans, which every scan would read again.
     """
     if not 1 <= freshness_threshold_hours <= 720:
         raise ValueError("freshness_threshold_hours must lie between 1 and 720")
     all_rules = [Rule.of(r) for r in rules or []]
-    df = normalize(df)
+    df = staged(normalize(df)) if stage else normalize(df)
     m = _measure(df, all_rules, as_of, roles, exact, null_policy, names)
 
     issues: list[Issue] = []

@@ -232,7 +232,8 @@ def distinct_per_column(spark, sf_dir):
 
 
 def dirty_score(spark: SparkSession, sf_dir: str, active: list | None = None) -> ScoreResult:
-    return score(dirty_orders(spark, sf_dir), "dirty_orders", active, 720, DIRTY_AS_OF)
+    df = dirty_orders(spark, sf_dir)
+    return score(df, "dirty_orders", active, 720, DIRTY_AS_OF, stage=True)
 
 
 def dimension_scores(spark, sf_dir):

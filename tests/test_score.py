@@ -335,3 +335,23 @@ def test_sketches_come_close(spark, sf_dir):
         assert a.completeness == b.completeness
         assert abs(a.uniqueness - b.uniqueness) <= 10
     assert json.dumps(rough.scores)
+
+
+def test_a_staged_source_is_read_once(spark, tmp_path):
+    """The file is read by one job when it is staged, by every scan when it is not."""
+    path = str(tmp_path / "t.csv")
+    spark.range(500).selectExpr("id", "CAST(id % 7 AS STRING) AS s", "id * 0.5 AS x").write.csv(path, header=True)
+    df = spark.read.schema("id bigint, s string, x double").csv(path, header=True)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = df.mapInArrow(count, df.schema)
+    plain = score(counted, as_of=AS_OF)
+    assert seen.value > 500
+    before = seen.value
+    assert score(counted, as_of=AS_OF, stage=True).scores == plain.scores
+    assert seen.value == before + 500
