@@ -23,7 +23,7 @@ from tablevet.llm.bytegrams import SIGNS, Lookup, context, ddl, gram_counts, wit
 from tablevet.llm.textcodes import list_column, signed, slices, word_hashes
 from tablevet.sources.scratch import staged
 
-ORDER = 4
+ORDER = 5
 HOT_WORDS = 1 << 18
 
 
