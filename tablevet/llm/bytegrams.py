@@ -11,6 +11,7 @@ at most ``BLOCK_ROWS`` rows: what is broadcast is bounded whatever the corpus ho
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -171,7 +172,7 @@ def with_scores(docs: DataFrame, model: DataFrame, order: int, column: str, bloc
         keys = own.column("gram").to_numpy().tobytes()
         values = own.column("value").to_numpy().tobytes()
         sent = spark.sparkContext.broadcast((keys, values))
-        task = partial(_scored, name=f"{sent._jbroadcast.id()}-{block}", table=sent, order=order, column=column)
+        task = partial(_scored, name=uuid.uuid4().hex, table=sent, order=order, column=column)
         return texts.mapInArrow(task, f"{ddl(texts)}, `{column}` double")
 
     if blocks == 1:

@@ -11,6 +11,7 @@ Texts and items are compared with A-Z as a-z and each run of ASCII white space a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -206,7 +207,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLO
     def searched(texts: DataFrame, number: int) -> DataFrame:
         own = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).toArrow()
         sent = spark.sparkContext.broadcast((own.column("item_id").to_pylist(), own.column("text").to_pylist()))
-        task = partial(_searched, name=f"{sent._jbroadcast.id()}-{number}", block=sent)
+        task = partial(_searched, name=uuid.uuid4().hex, block=sent)
         return texts.mapInArrow(task, f"{ddl(texts)}, item_ids array<bigint>")
 
     if blocks == 1:

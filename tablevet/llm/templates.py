@@ -14,7 +14,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
