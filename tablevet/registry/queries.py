@@ -12,14 +12,14 @@ from tablevet.functions.text import folded
 from tablevet.functions.values import normalize, quote_name, round1_sql
 from tablevet.operators import checks, distinct, rules, suggest
 from tablevet.operators.freshness import freshness
-from tablevet.operators.fused import Check, FusedScan, count_checks, rows_of
-from tablevet.operators.quartiles import approximate_quartiles, quartiles
+from tablevet.operators.fused import Check, FusedScan, count_checks
+from tablevet.operators.quartiles import quartiles
 from tablevet.operators.roles import ColumnRoles, detect_roles, role_shares, roles_table
 from tablevet.plans import views
 from tablevet.plans.score import MIN_VALUES_FOR_OUTLIERS, ScoreResult, score
 from tablevet.sources.files import delimiter_counts, read_csv
 from tablevet.sources.scratch import scratch_dir
-from tablevet.sources.tables import preview, table_size
+from tablevet.sources.tables import table_size
 
 DIRTY_AS_OF = datetime(2002, 1, 2)
 EVENTS_AS_OF = datetime(2024, 2, 1)

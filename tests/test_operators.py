@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tablevet import Rule, add_rule, build_rule, detect_roles, remove_rule, suggest_rules
 from tablevet.functions.text import is_email, is_phone
