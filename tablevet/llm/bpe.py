@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tablevet.llm.textcodes import list_column, slices
+from tablevet.llm.textcodes import held, list_column, slices
 
 #: Fixed value: how the vocabulary's texts are cut before merging; alternatives that begin
 #: with different characters may come in any order.
@@ -31,9 +31,7 @@ PIECES = regex.compile(
     r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?[^\p{White_Space}\p{L}\p{N}]+| ?\p{N}+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORD_CACHE = 250_000
-PIECE_CACHE = 200_000
-PAIR_CACHE = 400_000
+CACHED_WORDS = 250_000
 _NEVER = 1 << 40
 
 
@@ -50,7 +48,8 @@ class Vocabulary:
     Words and token pairs that were met are kept in caches of bounded size.
     """
 
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, cached_words: int = CACHED_WORDS):
+        self.most_words, self.most_pairs = cached_words, 2 * cached_words
         spec = json.loads(source)
         byte_of = _byte_of_char()
         raw = {"".join(chr(byte_of[c]) for c in t): i for t, i in spec["model"]["vocab"].items()}
@@ -69,7 +68,7 @@ class Vocabulary:
                 self.endings.add_word(text, (i, len(text)))
         self.endings.make_automaton()
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.piece_ids = lru_cache(PIECE_CACHE)(self.encode_piece)
+        self.piece_ids = lru_cache(cached_words)(self.encode_piece)
         self.words: dict[str, list[int]] = {}  # ids of a space and the word
         self.older: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
@@ -111,7 +110,7 @@ class Vocabulary:
         key = first << 32 | second
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= PAIR_CACHE:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[key] = self._apart(first, second)
         return known
@@ -153,7 +152,7 @@ class Vocabulary:
     def _ids(self, text: str) -> list[int]:
         """A piece never goes on over a space that has other signs on both sides."""
         head, *words = text.split(" ")
-        if len(self.words) > WORD_CACHE:
+        if len(self.words) > self.most_words:
             self.words, self.older = {}, self.words
         try:
             rest = list(chain.from_iterable(map(self.words.__getitem__, words)))
@@ -187,16 +186,10 @@ def decode_ids(ids: list[int], bytes_of: dict[int, bytes]) -> str:
     return b"".join(map(bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
 
 
-_token_bytes = lru_cache(maxsize=1)(token_bytes)
-
-
-@lru_cache(maxsize=1)
-def _vocabulary(source: bytes) -> Vocabulary:
-    return Vocabulary(source)
-
-
-def _encode(batches: Iterator[pa.RecordBatch], source: bytes, decoded: bool = False) -> Iterator[pa.RecordBatch]:
-    vocabulary = _vocabulary(source)
+def _encode(
+    batches: Iterator[pa.RecordBatch], source: bytes, cached_words: int, decoded: bool = False
+) -> Iterator[pa.RecordBatch]:
+    vocabulary, bytes_of = held(("encode", source, cached_words), lambda: (Vocabulary(source, cached_words), token_bytes(source)))
     for batch in batches:
         rest = batch.drop_columns("text")
         for first, data, at in slices(batch.column("text")):
@@ -206,13 +199,13 @@ def _encode(batches: Iterator[pa.RecordBatch], source: bytes, decoded: bool = Fa
             own = rest.slice(first, len(rows))
             columns, names = [*own.columns, list_column(ids, np.array([len(r) for r in rows]))], [*own.schema.names, "ids"]
             if decoded:
-                columns.append(pa.array([decode_ids(r, _token_bytes(source)) for r in rows], pa.string()))
+                columns.append(pa.array([decode_ids(r, bytes_of) for r in rows], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], source: bytes) -> Iterator[pa.RecordBatch]:
-    bytes_of = _token_bytes(source)
+    bytes_of = held(("decode", source), lambda: token_bytes(source))
     for batch in batches:
         column = batch.column("ids")
         for first in range(0, batch.num_rows, 256):
@@ -226,23 +219,24 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, cached_words: int = CACHED_WORDS) -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of ``text``: its exact encoding, special tokens parsed.
 
     ``vocabulary`` is the content of a vocabulary file (:func:`read_vocabulary`), of a size that is
     fixed by the file.  A null text counts as empty and has no ids.  Every row is encoded
-    on its own, so repeated rows give repeated results.  A column ``ids`` of the input is replaced.
+    on its own, so repeated rows give repeated results.  A worker keeps the ids of up to
+    three times ``cached_words`` words and pieces, about 250 bytes each.  A column ``ids`` of the input is replaced.
     """
     kept = docs.drop("ids")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(partial(_encode, source=vocabulary), f"{fields}, ids array<int>")
+    return kept.mapInArrow(partial(_encode, source=vocabulary, cached_words=cached_words), f"{fields}, ids array<int>")
 
 
-def round_trip(docs: DataFrame, vocabulary: bytes) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: bytes, cached_words: int = CACHED_WORDS) -> DataFrame:
     """:func:`encode` followed by :func:`decode`, in one pass."""
     kept = docs.drop("ids", "decoded")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    task = partial(_encode, source=vocabulary, decoded=True)
+    task = partial(_encode, source=vocabulary, cached_words=cached_words, decoded=True)
     return kept.mapInArrow(task, f"{fields}, ids array<int>, decoded string")
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablevet.llm.textcodes import LOWER, mix, signed, slices
+from tablevet.llm.textcodes import LOWER, held, mix, signed, slices
 from tablevet.sources.scratch import staged
 
 SIGN_BITS = 9
@@ -136,15 +136,12 @@ class Lookup:
         return out
 
 
-_tables: dict[str, Lookup] = {}
-
-
 def _scored(batches: Iterator[pa.RecordBatch], name: str, table, order: int, column: str) -> Iterator[pa.RecordBatch]:
-    if name not in _tables:
-        _tables.clear()
+    def build() -> Lookup:
         keys, values = table.value
-        _tables[name] = Lookup(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float64))
-    lookup = _tables[name]
+        return Lookup(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float64))
+
+    lookup = held(name, build)
     for batch in batches:
         sums = np.zeros(batch.num_rows)
         for first, data, at in slices(batch.column("text"), 1 << 20):

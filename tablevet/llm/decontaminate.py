@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablevet.llm.bytegrams import ddl
-from tablevet.llm.textcodes import blanks, character_hash, characters, mix, slices
+from tablevet.llm.textcodes import blanks, character_hash, characters, held, mix, slices
 from tablevet.sources.scratch import staged
 
 GRAM = 12
@@ -161,18 +161,13 @@ def _indexes(ids: list[int], texts: list[str]) -> list[_Index]:
     return [_Index.of(size, np.array([ids[i] for i in rows]), [items[i] for i in rows]) for size, rows in by_size.items()]
 
 
-_built: dict[str, list] = {}
-
-
 def _searched(batches: Iterator[pa.RecordBatch], name: str, block) -> Iterator[pa.RecordBatch]:
-    if name not in _built:
-        _built.clear()
-        _built[name] = [(index, index.seen()) for index in _indexes(*block.value)]
+    indexes = held(name, lambda: [(index, index.seen()) for index in _indexes(*block.value)])
     for batch in batches:
         found: list[list[int]] = [[] for _ in range(batch.num_rows)]
         for first, data, at in slices(batch.column("text"), 1 << 20):
             chars, cuts = folded(data, at)
-            for index, seen in _built[name]:
+            for index, seen in indexes:
                 done = set()
                 for text, item, diagonal in index.bands(*_gram_hashes(chars, cuts, index.size), seen):
                     if (text, item) in done:

@@ -6,7 +6,7 @@ text, or a single text that is longer than that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +15,17 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
+_held: dict = {}
+
+
+def held(name: object, build: Callable):
+    """A large object that a worker keeps between tasks; asking for another one lets it go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
+
+
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
