@@ -18,6 +18,7 @@ from tablevet.llm.parity_join import one_of_each_component
 from tablevet.sources.scratch import staged
 
 VOCABULARY = "byte_bpe_50k.json"
+CACHED_WORDS = 60_000  # workers have run other stages before and keep some of their memory
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
-    found = bpe.round_trip(docs.withColumn("source_text", F.coalesce("text", F.lit(""))), vocabulary)
+    found = bpe.round_trip(docs.withColumn("source_text", F.coalesce("text", F.lit(""))), vocabulary, CACHED_WORDS)
     same = (F.col("decoded") == F.col("source_text")).alias("round_trip")
     return found.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("bigint").alias("n_tokens"), same)
 
