@@ -24,7 +24,7 @@ from tablevet.llm.textcodes import list_column, signed, slices, word_hashes
 from tablevet.sources.scratch import staged
 
 ORDER = 5
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -114,8 +114,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, hot_words: int = HOT_WO
     null text is empty, a null doc_id is held out; rows are scored one by one, so repeated rows
     stay; without documents to learn from, all signs are equally likely.  Other columns are left out.
 
-    The ``hot_words`` most frequent words travel to the tasks, a table of that fixed size; all
-    other words are joined with their counts, so no key of that join is frequent.
+    Words that make up at least one in ``hot_words`` of all, of which there can be no more than that,
+    travel to the tasks; all other words are joined with their counts, so no key of that join is
+    frequent.
     """
     plus = 0.1
     docs = docs.select("doc_id", "text", held_out().alias("held_out"))
@@ -126,7 +127,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, hot_words: int = HOT_WO
     ends = docs.filter("NOT held_out").count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
-    hot = counts.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
+    hot = counts.filter(F.col("n") * hot_words >= total).toArrow()
     logs = np.log10(hot.column("n").to_numpy() + plus)
     task = partial(_looked_up, words=hot.column("word").to_numpy().tobytes(), logs=logs.tobytes())
     looked = docs.mapInArrow(task, f"{ddl(docs)}, n_tokens bigint, hot_known bigint, hot_sum double, rest array<bigint>")
