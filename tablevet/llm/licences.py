@@ -4,7 +4,8 @@ A line of a file and a licence template are sparse TF-IDF vectors over words; a
 template with the largest cosine to any of its lines, if that is large enough.  Files without
 one inherit from the nearest directory above them that has a licence file which carries one.
 
-Word weights come from all lines.  Of a template's words, the most frequent ones in the corpus
+Word weights come from all lines: of each word, from the number of lines that hold it (``line_frequencies``).
+Of a template's words, the most frequent ones in the corpus
 together weigh less than the least cosine, so by Cauchy and Schwarz a line that shares only these
 cannot reach it: lines without any of the other words need no vector.
 """
@@ -36,6 +37,7 @@ TEMPLATES = {
 }
 LEAST_COSINE = 0.7
 SALTS = 16
+COMMON_SHARE = 10_000
 WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,6 +66,38 @@ def word_weights(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> tup
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in known}, math.log(n + 1)
 
 
+def line_frequencies(files: DataFrame, key: str = "path") -> DataFrame:
+    """``word, lines``: how many lines of the files that have a key hold each word; the empty word stands for all lines."""
+    lines = _lines(files.filter(F.col(key).isNotNull()))
+    own = F.concat(F.array_distinct(_words(F.col("line"))), F.array(F.lit("")))
+    return staged(lines.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("lines")))
+
+
+def _counted_weights(frequencies: DataFrame, templates: dict[str, str]) -> tuple[dict[str, float], float]:
+    """What ``word_weights`` gives, from counts at hand."""
+    known = sorted({w for words in _template_words(templates).values() for w in words})
+    counts = {r["word"]: r["lines"] for r in frequencies.filter(F.col("word").isin([*known, ""])).collect()}
+    n = counts.get("", 0)
+    return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in known}, math.log(n + 1)
+
+
+def _weighed(terms: DataFrame, frequencies: DataFrame, unseen: float) -> DataFrame:
+    """``terms`` with ``own``, count times weight of the word.
+
+    Words with a ``COMMON_SHARE``-th of the terms or more, so at most that many, are sent to the tasks; the
+    others are joined by word, so that no word brings a task more than that share.
+    """
+    used = terms.groupBy("word").agg(F.count("*").alias("uses"))
+    weights = used.join(frequencies, "word", "left")
+    weight = F.lit(unseen) - F.log(F.coalesce("lines", F.lit(0)) + 1)
+    weights = staged(weights.select("word", "uses", weight.alias("weight")))
+    least = (weights.agg(F.sum("uses")).first()[0] or 0) / COMMON_SHARE
+    common = F.broadcast(weights.filter(F.col("uses") >= least).select("word", "weight"))
+    rare = weights.filter(F.col("uses") < least).select("word", "weight")
+    one, two = terms.join(common, "word"), terms.join(common, "word", "left_anti").join(rare, "word")
+    return one.unionByName(two).withColumn("own", F.col("n") * F.col("weight")).drop("weight")
+
+
 def _telling(words: Counter, weights: dict[str, float], least: float) -> set[str]:
     """The words of a template of which a line needs one to reach the least cosine."""
     total = sum((n * weights[w]) ** 2 for w, n in words.items())
@@ -77,16 +111,22 @@ def _telling(words: Counter, weights: dict[str, float], least: float) -> set[str
 
 
 def line_licences(
-    files: DataFrame, key: str = "path", templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE
+    files: DataFrame,
+    key: str = "path",
+    templates: dict[str, str] = TEMPLATES,
+    least: float = LEAST_COSINE,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """``key, licence, cosine``: the best template of every file that carries one.
 
     Of equal cosines the first name wins.  A null text is empty.  A file is named by ``key``:
-    rows that share it are one file, rows whose key is null are none.
+    rows that share it are one file, rows whose key is null are none.  ``frequencies`` are those of
+    ``line_frequencies``; without them only the templates' words are counted, and each other word
+    weighs as much as one that no line holds.
     """
     spark = files.sparkSession
     files = files.filter(F.col(key).isNotNull())
-    weights, unseen = word_weights(files, templates)
+    weights, unseen = word_weights(files, templates) if frequencies is None else _counted_weights(frequencies, templates)
     words = _template_words(templates)
     telling = sorted(set().union(*(_telling(w, weights, least) for w in words.values())))
     rows = []
@@ -104,8 +144,12 @@ def line_licences(
     lines = lines.dropDuplicates([key, "line_no", "line"])
     lines = lines.select(key, "line_no", text_id.alias("line_id"), F.explode(_words(F.col("line"))).alias("word"))
     terms = lines.groupBy(key, "line_no", "line_id", "word").agg(F.count("*").alias("n"))
-    idf = F.create_map(*(x for w in sorted(weights) for x in (F.lit(w), F.lit(weights[w]))))
-    weighed = terms.withColumn("own", F.col("n") * F.coalesce(idf[F.col("word")], F.lit(unseen)))
+    if frequencies is None:
+        idf = F.create_map(*(x for w in sorted(weights) for x in (F.lit(w), F.lit(weights[w]))))
+        weighed = terms.withColumn("own", F.col("n") * F.coalesce(idf[F.col("word")], F.lit(unseen)))
+    else:
+        terms = staged(terms)
+        weighed = _weighed(terms, frequencies, unseen)
     place = [key, "line_no", "line_id"]
     norms = weighed.groupBy(*place).agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"))
     dots = terms.join(table, "word").groupBy(*place, "licence").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
@@ -152,5 +196,9 @@ def inherited_licences(files: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def scan_licences(files: DataFrame, **options) -> DataFrame:
-    """Licences of ``files`` (``path, text, is_licence_file``), own or inherited; see the two steps."""
+    """Licences of ``files`` (``path, text, is_licence_file``), own or inherited; see the two steps.
+
+    Every word weighs by the lines of ``files`` that hold it.
+    """
+    options = {"frequencies": line_frequencies(files)} | options
     return inherited_licences(files, staged(line_licences(files, **options)))

@@ -208,6 +208,47 @@ def test_licence_lines_near_a_template(spark):
     assert found == expected_licences(files)
 
 
+def true_idf_licences(files):
+    """As ``expected_licences``, but every word of every line has its own document frequency."""
+    import re
+    from collections import Counter
+
+    low = str.maketrans(licences._UPPER, licences._LOWER)
+    lines = [(p, Counter(re.findall(licences.WORD, line.translate(low)))) for p, text in files for line in (text or "").split("\n")]
+    df = Counter(w for _, own in lines for w in own)
+    vector = lambda own: {w: n * math.log((len(lines) + 1) / (df[w] + 1)) for w, n in own.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    wanted = {name: vector(Counter(re.findall(licences.WORD, t.translate(low)))) for name, t in licences.TEMPLATES.items()}
+    out = {}
+    for path, own in lines:
+        a = vector(own)
+        for name, b in wanted.items():
+            if norm(a) and norm(b):
+                cosine = sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b)
+                if cosine >= licences.LEAST_COSINE:
+                    out[path] = min(out.get(path, (0, "~")), (-round(cosine, 9), name))
+    return {p: (name, -c) for p, (c, name) in out.items()}
+
+
+@pytest.mark.parametrize("common_share", [licences.COMMON_SHARE, 20])
+def test_every_word_of_a_line_has_its_document_frequency(spark, monkeypatch, common_share):
+    monkeypatch.setattr(licences, "COMMON_SHARE", common_share)
+    rng = random.Random(9)
+    often = ["and", "that", "for", "it", "all", "with"]
+    files = [(f"p{i}", "\n".join(" ".join(rng.sample(often, 5)) + f" w{i}x{j}" for j in range(20))) for i in range(40)]
+    files.append(("mit", "Released under the MIT License, and with that it is for all."))
+    for i in range(80):
+        words = rng.choice(list(licences.TEMPLATES.values())).split()
+        for _ in range(rng.randrange(7)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice([*often, "river", "stone"]))
+        files.append((f"f{i}", "some text\n" + " ".join(words)))
+    expected = true_idf_licences(files)
+    assert expected["mit"][0] == "MIT" and "mit" not in expected_licences(files)
+    df = spark.createDataFrame([(*f, False) for f in files], "path string, text string, is_licence_file boolean")
+    found = {r.path: (r.licence, pytest.approx(r.cosine, abs=1e-6)) for r in licences.scan_licences(df).collect() if r.origin == "own"}
+    assert found == expected
+
+
 def test_licence_edge_cases(spark):
     mit = "Released under the MIT License"
     rows = [
