@@ -1,8 +1,11 @@
 """Licence scan of files, with DataFrame functions only.
 
-A line of a file and a licence template are sparse TF-IDF vectors over words; a file carries the
-template with the largest cosine to any of its lines, if that is large enough.  Files without
-one inherit from the nearest directory above them that has a licence file which carries one.
+A part of a file and a licence template are sparse TF-IDF vectors over words; a file carries the
+template with the largest cosine to any of its parts, if that is large enough.  Parts are its lines,
+its blocks (adjacent lines, all commented or none) and the whole file; templates are one-line
+headers, standard notices and full texts.  Only lines that have words of a one-line header, and blocks of files that share
+enough with any template, get vectors.  An SPDX line or a line or block that is just a licence's title counts as a cosine of 1.
+Files without one inherit from the nearest directory above them that has a licence file which carries one.
 
 Word weights come from all lines: of each word, from the number of lines that hold it (``line_frequencies``).
 Of a template's words, the most frequent ones in the corpus
@@ -18,6 +21,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablevet.llm.licence_texts import HEADERS, TITLES, full_texts
 from tablevet.sources.scratch import staged
 
 #: How common licences are named in a header, by SPDX identifier.
@@ -154,10 +158,78 @@ def line_licences(
     norms = weighed.groupBy(*place).agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"))
     dots = terms.join(table, "word").groupBy(*place, "licence").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, place).withColumn("cosine", F.try_divide("dot", "norm")).filter(F.col("cosine") >= least)
+    return _best(scored, key)
+
+
+def _best(scored: DataFrame, key: str) -> DataFrame:
     best = F.min(F.struct((-F.round("cosine", 9)).alias("c"), "licence"))
     return scored.groupBy(key).agg(best.alias("b")).select(key, "b.licence", (-F.col("b.c")).alias("cosine"))
 
 
+_COMMENT = r"(?:#|//|/\*|\*|;|--|%|<!--|\.\.)"
+
+
+def _blocks(text: Column) -> Column:
+    """Runs of lines that have words, all of them commented or none."""
+    text = F.regexp_replace(text, "(?m)^[^A-Za-z0-9\n]*$", "")
+    text = F.regexp_replace(text, rf"(?m)^([ \t]*{_COMMENT}.*)\n(?=[ \t]*[A-Za-z0-9])", "$1\n\n")
+    text = F.regexp_replace(text, rf"(?m)^([ \t]*[A-Za-z0-9].*)\n(?=[ \t]*{_COMMENT})", "$1\n\n")
+    return F.split(text, "\n\n+")
+
+
+def declared_licences(files: DataFrame, key: str = "path") -> DataFrame:
+    """``key, licence, cosine`` of files with an SPDX line or a line or block that is a title; the cosine is 1."""
+    low = F.translate("text", _UPPER, _LOWER)
+    named = files.filter(F.col(key).isNotNull()).filter(low.rlike("license|cc0 1.0|4.0 international"))
+    parts = named.select(key, F.explode(F.concat(F.split("text", "\n"), _blocks(F.col("text")))).alias("part"))
+    parts = parts.select(key, F.translate("part", _UPPER, _LOWER).alias("part"))
+    expression = F.regexp_extract("part", "spdx-license-identifier:([^\n]*)", 1)
+    ids = F.transform(F.regexp_extract_all(expression, F.lit(f"({WORD})"), 1), lambda w: F.regexp_replace(w, r"-only$|-or-later$", ""))
+    name = F.array_join(_words(F.col("part")), " ")
+    found = parts.select(key, F.explode(F.array_append(ids, F.when(F.length("part") < 200, name))).alias("title"))
+    known = {name.lower(): name for name in {*TEMPLATES, *HEADERS, *full_texts()}} | TITLES
+    titles = files.sparkSession.createDataFrame(sorted(known.items()), "title string, licence string")
+    return found.join(F.broadcast(titles), "title").select(key, "licence", F.lit(1.0).alias("cosine")).distinct()
+
+
+def part_licences(files: DataFrame, frequencies: DataFrame, key: str = "path", least: float = LEAST_COSINE) -> DataFrame:
+    """``key, licence, cosine``: the best template of every file of which a block, or the whole, is near to one.
+
+    By Cauchy and Schwarz no part reaches the least cosine to a template of which the whole file does not
+    share words with ``least`` squared of its squared norm; files for which that holds of all templates go.
+    """
+    spark = files.sparkSession
+    texts = [(name, t) for name, t in TEMPLATES.items()]
+    texts += [(name, t) for name, own in HEADERS.items() for t in own] + list(full_texts().items())
+    words = {f"{i}": _template_words({name: t})[name] for i, (name, t) in enumerate(texts)}
+    weights, unseen = _counted_weights(frequencies, {f"{i}": t for i, (_, t) in enumerate(texts)})
+    rows = []
+    for i, (name, _) in enumerate(texts):
+        own = words[f"{i}"]
+        norm = math.sqrt(sum((n * weights[w]) ** 2 for w, n in own.items())) or 1.0
+        rows += [(w, i, name, n * weights[w] / norm, weights[w]) for w, n in own.items()]
+    schema = "word string, template int, licence string, share double, weight double"
+    table = F.broadcast(spark.createDataFrame(rows, schema))  # as large as the templates
+    telling = sorted(set().union(*(_telling(w, weights, least) for w in words.values())))
+
+    files = files.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text").withColumn("file_id", F.xxhash64("text"))
+    held = F.array_distinct(_words(F.col("text")))
+    near = files.withColumn("held", held).filter(F.arrays_overlap("held", F.array(*map(F.lit, telling))))
+    shared = near.select(key, "file_id", F.explode("held").alias("word")).join(table, "word").groupBy(key, "file_id", "template")
+    shared = shared.agg(F.sum(F.col("share") * F.col("share")).alias("s")).filter(F.col("s") >= least * least - 1e-9)
+    near = staged(files.join(staged(shared.select(key, "file_id").distinct()), [key, "file_id"], "left_semi"))
+
+    parts = F.posexplode(F.concat(F.array("text"), _blocks(F.col("text")))).alias("part_no", "part")
+    place = [key, "file_id", "part_no"]
+    terms = near.dropDuplicates([key, "file_id"]).select(key, "file_id", parts)
+    terms = terms.select(*place, F.explode(_words(F.col("part"))).alias("word"))
+    terms = staged(terms.groupBy(*place, "word").agg(F.count("*").alias("n")))
+    weighed = _weighed(terms, frequencies, unseen)
+    norms = weighed.groupBy(*place).agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"))
+    dots = terms.join(table, "word").groupBy(*place, "template", "licence").agg(F.sum(F.col("n") * F.col("weight") * F.col("share")).alias("dot"))
+    return _best(dots.join(norms, place).withColumn("cosine", F.try_divide("dot", "norm")).filter(F.col("cosine") >= least), key)
+
+
 def _parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
@@ -201,4 +273,6 @@ def scan_licences(files: DataFrame, **options) -> DataFrame:
     Every word weighs by the lines of ``files`` that hold it.
     """
     options = {"frequencies": line_frequencies(files)} | options
-    return inherited_licences(files, staged(line_licences(files, **options)))
+    parts = part_licences(files, options["frequencies"], least=options.get("least", LEAST_COSINE))
+    own = line_licences(files, **options).unionByName(parts).unionByName(declared_licences(files))
+    return inherited_licences(files, staged(_best(own, "path")))

@@ -249,6 +249,41 @@ def test_every_word_of_a_line_has_its_document_frequency(spark, monkeypatch, com
     assert found == expected
 
 
+def commented(text, mark="# "):
+    return "\n".join(mark + line for line in text.split("\n"))
+
+
+def test_licence_texts_headers_and_titles(spark):
+    from tablevet.llm.licence_texts import full_texts
+
+    texts = full_texts()
+    rng = random.Random(10)
+    prose = ["the", "of", "to", "and", "in", "a", "river", "stone", "license", "mit", "software", "this", "is"]
+    files = [(f"p{i}", "\n".join(" ".join(rng.choices(prose, k=9)) + f" w{i}x{j}" for j in range(20)), None) for i in range(60)]
+    files += [(f"{name}/LICENSE", text, name) for name, text in texts.items()]
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\n"
+        "it under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    )
+    code = "import os\nprint(os.sep)\nfor x in range(9):\n    river(x)"
+    permission = texts["MIT"].split("\n\n")[2]
+    files += [
+        ("gpl.py", f"{commented(gpl)}\n{code}", "GPL-3.0"),
+        ("agpl.py", f"{commented(gpl.replace('GNU', 'GNU Affero'))}\n{code}", "AGPL-3.0"),
+        ("lgpl.c", "/*\n" + commented(gpl.replace("GNU", "GNU Lesser"), " * ") + "\n */\n" + code, "LGPL-3.0"),
+        ("mit.py", " ".join(permission.split()) + "\n\n" + code, "MIT"),
+        ("title.md", "# Notes\n\nstone and river\n\nMIT License\n", "MIT"),
+        ("spdx.py", f"# SPDX-License-Identifier: Apache-2.0\n{code}", "Apache-2.0"),
+        ("spdx.c", f"// SPDX-License-Identifier: GPL-2.0-or-later\n{code}", "GPL-2.0"),
+        ("isc.c", f"// SPDX-License-Identifier: ISC\n{code}", None),
+        ("word.txt", "license", None),
+    ]
+    df = spark.createDataFrame([(p, t, p.endswith("LICENSE")) for p, t, _ in files], "path string, text string, is_licence_file boolean")
+    found = {r.path: r.licence for r in licences.scan_licences(df).collect()}
+    assert found == {p: name for p, _, name in files}
+
+
 def test_licence_edge_cases(spark):
     mit = "Released under the MIT License"
     rows = [
