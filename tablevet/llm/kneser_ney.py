@@ -15,9 +15,10 @@ from tablevet.sources.scratch import staged
 
 ORDER = 4
 TRAIN_DOCUMENTS = 20_000
-QUANTILE = 0.999
+#: Lower and upper quantiles of trusted perplexity to choose from; a lower one of 0 is no cut.
+QUANTILES = ((0.0, 0.001, 0.005, 0.01, 0.02, 0.05), (0.95, 0.98, 0.99, 0.995, 0.999))
 LEAST_TRUSTED = 50
-_LOGP, _LANG, _CUT = "__logp", "__lang", "__cut"
+_LOGP, _LANG, _CUT, _FLOOR = "__logp", "__lang", "__cut", "__floor"
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -64,25 +65,46 @@ def _surprise() -> Column:
     return -F.col(_LOGP) / (F.octet_length(F.coalesce("text", F.lit(""))) + 1)
 
 
+def _chosen(labelled: DataFrame, quantiles: tuple[tuple[float, ...], tuple[float, ...]]) -> tuple[int, int]:
+    """The pair of quantiles with the least sum of two rates: junk accepted, trusted refused; of equal ones the widest.
+
+    ``labelled`` has ``good, surprise, cuts``, of which the last has the cuts of all lower and then all upper quantiles.
+    """
+    lows, highs = quantiles
+    good, rates = F.col("good"), []
+    for i, low in enumerate(lows):
+        for j in range(len(highs)):
+            inside = F.col("surprise") <= F.col("cuts")[len(lows) + j]
+            if low > 0:
+                inside &= F.col("surprise") >= F.col("cuts")[i]
+            misses = F.coalesce(F.try_divide(F.count_if(~good & inside), F.count_if(~good)), F.lit(0.0))
+            alarms = F.coalesce(F.try_divide(F.count_if(good & ~inside), F.count_if(good)), F.lit(0.0))
+            rates.append((misses + alarms).alias(f"{i}_{j}"))
+    row = labelled.agg(*rates).first()
+    return min(((i, j) for i in range(len(lows)) for j in range(len(highs))), key=lambda k: (row[f"{k[0]}_{k[1]}"], lows[k[0]], -highs[k[1]]))
+
+
 def rated(
     docs: DataFrame,
     labels: DataFrame,
     order: int = ORDER,
     train_documents: int = TRAIN_DOCUMENTS,
-    quantile: float = QUANTILE,
+    quantiles: tuple[tuple[float, ...], tuple[float, ...]] = QUANTILES,
 ) -> DataFrame:
-    """``docs`` with ``perplexity, threshold, accepted``.
+    """``docs`` with ``perplexity, least_perplexity, threshold, accepted``.
 
     Trusted are the documents labelled ``quality = 1`` and not ``toxic = 1``.  Half of them by a
     hash of the id, at most ``train_documents``, train the model (a fixed bound on what is
-    learned); all others give each language's threshold, the ``quantile`` of their
-    perplexities.  A language with fewer than ``LEAST_TRUSTED`` of them, a null one too, takes the
+    learned); all others give each language's thresholds, a lower and an upper quantile of their
+    perplexities.  Which of the ``quantiles`` is chosen once for all languages by labels not trained on:
+    the share of documents with ``quality = 0`` accepted plus that of trusted ones refused is least.  Without a lower
+    cut ``least_perplexity`` is 0.  A language with fewer than ``LEAST_TRUSTED`` of them, a null one too, takes the
     threshold of all languages; without any, every document is accepted.
 
     A null or empty text is judged by the probability that a text ends at once.  Repeated rows are
-    rated alike; other columns stay as they are; columns of the three names are replaced.
+    rated alike; other columns stay as they are; columns of the four names are replaced.
     """
-    docs = docs.drop("perplexity", "threshold", "accepted", _LOGP)
+    docs = docs.drop("perplexity", "least_perplexity", "threshold", "accepted", _LOGP)
     trusted = (
         labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
         .select("doc_id", F.xxhash64("doc_id").alias("order_by")).distinct()
@@ -96,17 +118,27 @@ def rated(
     scores = staged(scores.select("doc_id", "lang", _surprise().alias("surprise")))
     judges = trusted.join(F.broadcast(train), "doc_id", "left_anti").select("doc_id")
     judged = scores.join(judges, "doc_id")
-    cut = F.percentile_approx("surprise", quantile, 10_000).alias("cut")
-    by_lang = judged.groupBy("lang").agg(cut, F.count("*").alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
-    by_lang = staged(by_lang.filter("lang IS NOT NULL").select(F.col("lang").alias(_LANG), F.col("cut").alias(_CUT)))
-    overall = judged.agg(cut).first()[0]
-    overall = float("inf") if overall is None else float(overall)
-
-    out = with_scores(docs, model, order, _LOGP).join(by_lang, F.col("lang") == F.col(_LANG), "left")
-    limit = F.coalesce(_CUT, F.lit(overall))
+    lows, highs = quantiles
+    cuts = F.percentile_approx("surprise", [*lows, *highs], 10_000).alias(_CUT)
+    by_lang = judged.groupBy("lang").agg(cuts, F.count("*").alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
+    by_lang = F.broadcast(staged(by_lang.filter("lang IS NOT NULL").select(F.col("lang").alias(_LANG), _CUT)))
+    overall = judged.agg(cuts).first()[0]
+    out, own = with_scores(docs, model, order, _LOGP), F.col("lang") == F.col(_LANG)
+    if overall is None:
+        out = out.withColumn(_FLOOR, F.lit(float("-inf"))).withColumn(_CUT, F.lit(float("inf")))
+    else:
+        all_cuts = F.coalesce(_CUT, F.array(*map(F.lit, overall))).alias("cuts")
+        junk = labels.filter("quality = 0").select("doc_id").distinct().join(trusted, "doc_id", "left_anti")
+        labelled = judges.withColumn("good", F.lit(True)).unionByName(junk.withColumn("good", F.lit(False)))
+        labelled = scores.join(labelled, "doc_id").join(by_lang, own, "left").select("good", "surprise", all_cuts)
+        low, high = _chosen(labelled, quantiles)
+        out = out.join(by_lang, own, "left").withColumn(_CUT, all_cuts)
+        floor = F.col(_CUT)[low] if lows[low] > 0 else F.lit(float("-inf"))
+        out = out.withColumn(_FLOOR, floor).withColumn(_CUT, F.col(_CUT)[len(lows) + high]).drop(_LANG)
     return (
         out.withColumn("perplexity", F.pow(F.lit(10.0), _surprise()))
-        .withColumn("threshold", F.pow(F.lit(10.0), limit))
-        .withColumn("accepted", _surprise() <= limit)
-        .drop(_LOGP, _LANG, _CUT)
+        .withColumn("least_perplexity", F.pow(F.lit(10.0), F.col(_FLOOR)))
+        .withColumn("threshold", F.pow(F.lit(10.0), F.col(_CUT)))
+        .withColumn("accepted", _surprise().between(F.col(_FLOOR), F.col(_CUT)))
+        .drop(_LOGP, _CUT, _FLOOR)
     )

@@ -88,7 +88,7 @@ FROM placed WHERE page_id % 997 = 5 OR one != two
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "perplexity", "threshold", "accepted")
+    return found.select("doc_id", "lang", "perplexity", "least_perplexity", "threshold", "accepted")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,6 +289,29 @@ def test_op4_keeps_trusted_and_drops_junk(spark, sf_dir):
     assert all(r.accepted == (r.perplexity <= r.threshold * (1 + 1e-12)) for r in found.values())
 
 
+def test_both_tails_are_cut_where_labels_say_so(spark):
+    rng = random.Random(12)
+    words = ["the", "the", "the", "the", "river", "stone", "garden", "light", "under", "seven", "quick", "house"]
+    good = [" ".join(rng.choices(words, k=60)) for _ in range(400)]
+    repeated = ["the " * rng.randrange(40, 90) for _ in range(50)]
+    noise = ["".join(rng.choices("qxzjkvw#%", k=300)) for _ in range(50)]
+    texts = good + repeated + noise
+    labels = spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in kneser_ney.rated(frame(spark, texts), labels).collect()}
+    kept = [found[i].accepted for i in range(len(texts))]
+    assert sum(kept[: len(good)]) / len(good) > 0.95
+    assert not any(kept[len(good) :])
+    assert all(found[i].perplexity < found[i].least_perplexity < found[i].threshold for i in range(400, 450))
+
+
+def test_rates_of_the_quality_classifier(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    found = llm_queries()["op4_quality_classifier"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    kind = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("trusted").alias("kind")
+    rates = {r.kind: r.share for r in found.groupBy(kind).agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
+    assert rates["trusted"] > 0.92 and rates["junk"] < 0.13 and rates["toxic"] < 0.6
+
+
 def test_quality_edge_cases(spark):
     texts = [None, "", "a plain text of words", "a plain text of words", "q" * 200_000]
     df = frame(spark, texts, extra=True).withColumn("cut", F.lit(1))
