@@ -69,22 +69,30 @@ _PARTS = frozenset(
     "popup promo promoted promotion recommended related respond share sharing sidebar sidebars sitemap skip social "
     "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: With these a class is still a part: "site-footer", "sidebar-left"; "content-sidebar-wrap" or "has-navbar" is none.
+_PLACES = frozenset("area bar block bottom box container global left list main page primary right secondary section side site slot top".split())
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "name", "plain", "parts", "hash")
+    __slots__ = ("tag", "name", "plain", "aside", "parts", "hash")
 
-    def __init__(self, tag: str, name: str = "", plain: bool = True):
-        self.tag, self.name, self.plain = tag, name, plain
+    def __init__(self, tag: str, name: str = "", plain: bool = True, aside: bool = False):
+        self.tag, self.name, self.plain, self.aside = tag, name, plain, aside
         self.parts: list = []
         self.hash = 0
 
 
-def _look(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(class and id, whether the element may be content, whether it is a main region)."""
+def _is_part(token: str) -> bool:
+    """Whether a whole class or id names a part of a page beside its content."""
+    words = set(_WORD.findall(token))
+    return not _PARTS.isdisjoint(words) and words <= _PARTS | _PLACES
+
+
+def _look(tag: str, raw: str) -> tuple[str, bool, bool, bool]:
+    """(class and id, whether the element may be content, whether its name tells otherwise, whether it is a main region)."""
     if not raw or raw.isspace():
-        return "", tag not in _NEVER, tag in _MAIN
+        return "", tag not in _NEVER, False, tag in _MAIN
     found = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(raw)}
     name = f"{found.get('id', '')} {found.get('class', '')}".strip()
     role = found.get("role", "").lower()
@@ -94,9 +102,9 @@ def _look(tag: str, raw: str) -> tuple[str, bool, bool]:
         or "hidden" in found
         or found.get("aria-hidden", "").lower() == "true"
         or "display:none" in found.get("style", "").replace(" ", "").lower()
-        or (name and tag not in ("html", "body") and not _PARTS.isdisjoint(_WORD.findall(name.lower())))
     )
-    return name, plain, tag in _MAIN or role == "main"
+    aside = tag not in ("html", "body") and any(map(_is_part, name.lower().split()))
+    return name, plain, aside, tag in _MAIN or role == "main"
 
 
 def parse(page: str) -> _Node:
@@ -132,8 +140,8 @@ def parse(page: str) -> _Node:
         if tag in _ENDS:
             _end(stack, *_ENDS[tag])
         raw = found[3] if found[2] else found[5]
-        name, plain, main = _look(tag, raw or "")
-        node = _Node("main" if main else tag, name, plain)
+        name, plain, aside, main = _look(tag, raw or "")
+        node = _Node("main" if main else tag, name, plain, aside)
         stack[-1].parts.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -176,17 +184,47 @@ def _subtrees(page: str) -> set[int]:
     return {n.hash for n in _hashed(parse(page)) if n.tag not in ("", "html", "body", "head") and n.parts}
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """The text of a page's blocks, one to a line, without the template's subtrees."""
-    root = parse(page)
-    _hashed(root)
+def _regions(root: _Node) -> list[_Node]:
     regions, todo = [], [root]
     while todo:
         here = todo.pop()
-        if here.tag in _MAIN and here.plain:
+        if not here.plain or here.aside:
+            continue
+        if here.tag in _MAIN:
             regions.append(here)
-        elif here.plain:
+        else:
             todo.extend(p for p in reversed(here.parts) if isinstance(p, _Node))
+    return regions
+
+
+def _keep_wrappers(order: list[_Node]) -> None:
+    """Names count for nothing on elements that are or hold an article, or else more than half of the page's text."""
+    held: dict[int, tuple[int, bool]] = {}
+    for here in reversed(order):
+        size, main = 0, here.tag in _MAIN
+        for p in here.parts if here.plain else ():
+            own = held[id(p)] if isinstance(p, _Node) else (len(p.strip()), False)
+            size, main = size + own[0], main or own[1]
+        held[id(here)] = size, main and here.plain
+    size, main = held[id(order[0])]
+    for here in order:
+        own = held[id(here)]
+        if own[1] or (not main and 2 * own[0] > size):
+            here.aside = False
+
+
+def main_text(page: str, template: set[int]) -> str:
+    """The text of a page's blocks, one to a line, without the template's subtrees.
+
+    Elements named as a part beside the content go, but not if all of the page's articles, or most
+    of the text of a page without one, are inside.
+    """
+    root = parse(page)
+    order = _hashed(root)
+    regions = _regions(root)
+    if not regions:
+        _keep_wrappers(order)
+        regions = _regions(root)
     blocks: list[str] = []
     pieces: list[str] = []
 
@@ -211,7 +249,7 @@ def main_text(page: str, template: set[int]) -> str:
             else:
                 if here is not region:
                     recurs = here.hash in template and here.tag not in ("html", "body")
-                    if not here.plain or (recurs and not (inside and here.tag in _CONTENT)):
+                    if not here.plain or here.aside or (recurs and not (inside and here.tag in _CONTENT)):
                         continue
                     if here.tag == "header" and not (inside and _has_heading(here)):
                         continue

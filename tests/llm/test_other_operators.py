@@ -336,6 +336,23 @@ def test_main_text_of_a_messy_page():
     assert templates.main_text("<a title='1 > 0'>x</a><![CDATA[y]]><p>" + "<b>" * 3000 + "z", set()) == "xy\nz"
 
 
+def test_wrappers_named_like_parts_do_not_lose_the_article():
+    side = '<div class="sidebar-left"><p>side</p></div><div id="site-footer">foot</div><div class="ad slot">buy</div>'
+    article = "<article{}><h1>Head</h1><p>Text of the story</article>"
+    for page in (
+        '<div class="content-sidebar-wrap">' + article.format("") + side + "</div>",
+        '<div class="site has-navbar">' + article.format("") + side + "</div>",
+        article.format(' class="post category-social"') + side,
+        article.format(' class="post tag-banner"') + side,
+        article.format(' class="widget"') + side,
+        '<div class="widget">' + article.format("") + "</div>" + side,
+        '<div class="promo"><h1>Head</h1><p>Text of the story</div>' + side,
+        '<div class="post tag-banner"><h1>Head</h1><p>Text of the story</div>' + side,
+        article.format("") + '<div class="comments"><article class="comment"><p>' + "first " * 90 + "</article></div>",
+    ):
+        assert templates.main_text(f"<html><body class='has-sidebar'>{page}</body></html>", set()) == "Head\nText of the story", page
+
+
 def test_recurring_subtrees_are_deleted_but_not_quoted_passages(spark):
     page = "<body><div><span>Welcome to {h}</span></div>{main}<div>Terms apply</div></body>"
     rows = []
