@@ -11,22 +11,22 @@ at most ``BLOCK_ROWS`` rows: what is broadcast is bounded whatever the corpus ho
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablevet.llm.textcodes import LOWER, held, mix, signed, slices
+from tablevet.llm.textcodes import LOWER, let_go, mix, signed, slices
 from tablevet.sources.scratch import staged
 
 SIGN_BITS = 9
 END, START = 256, 257
 SIGNS = 257  # bytes and the end sign: what a model gives a probability
 BLOCK_ROWS = 4_000_000
-_HELD_ROWS = 3_000_000
+_HELD_ROWS = 1_000_000
 
 
 def gram_codes(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -53,6 +53,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rows = 0
 
@@ -72,7 +73,7 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
         learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
         for use in (True, False):
             texts = batch.column("text").filter(pa.array(learn == use))
-            for _, data, at in slices(texts):
+            for _, data, at in slices(texts, 1 << 20):
                 codes = gram_codes(data, at, order)
                 codes.sort()
                 first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
@@ -136,12 +137,9 @@ class Lookup:
         return out
 
 
-def _scored(batches: Iterator[pa.RecordBatch], name: str, table, order: int, column: str) -> Iterator[pa.RecordBatch]:
-    def build() -> Lookup:
-        keys, values = table.value
-        return Lookup(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float64))
-
-    lookup = held(name, build)
+def _scored(batches: Iterator[pa.RecordBatch], table: Broadcast, order: int, column: str) -> Iterator[pa.RecordBatch]:
+    let_go()
+    lookup = table.value
     for batch in batches:
         sums = np.zeros(batch.num_rows)
         for first, data, at in slices(batch.column("text"), 1 << 20):
@@ -166,10 +164,9 @@ def with_scores(docs: DataFrame, model: DataFrame, order: int, column: str, bloc
 
     def scored(texts: DataFrame, block: int) -> DataFrame:
         own = model.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block).toArrow()
-        keys = own.column("gram").to_numpy().tobytes()
-        values = own.column("value").to_numpy().tobytes()
-        sent = spark.sparkContext.broadcast((keys, values))
-        task = partial(_scored, name=uuid.uuid4().hex, table=sent, order=order, column=column)
+        # sorted here once, so that a worker holds the table and nothing beside it
+        sent = spark.sparkContext.broadcast(Lookup(own.column("gram").to_numpy().view(np.uint64), own.column("value").to_numpy()))
+        task = partial(_scored, table=sent, order=order, column=column)
         return texts.mapInArrow(task, f"{ddl(texts)}, `{column}` double")
 
     if blocks == 1:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablevet.llm.components import components
-from tablevet.llm.textcodes import blanks, character_hash, characters, list_column, mix, signed, slices
+from tablevet.llm.textcodes import blanks, character_hash, characters, let_go, list_column, mix, signed, slices
 from tablevet.sources.scratch import staged
 
 SHINGLE = 8
@@ -85,6 +85,7 @@ class _Lines:
 
 
 def _signed_lines(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     names = ["doc_id", "text_key", "line_no", "one", "two", "blank", "bands"]
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("text_key")
@@ -119,6 +120,7 @@ def _sketches(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The lines numbered ``line_nos`` of each text, under their ``ids``, with sizes and sketches."""
+    let_go()
     for batch in batches:
         wanted, names = batch.column("line_nos").to_pylist(), batch.column("ids").to_pylist()
         ids, found = [], []
@@ -146,6 +148,7 @@ def _of_pairs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs ``a, b`` of lines whose Jaccard similarity is large enough."""
+    let_go()
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             own = batch.slice(start, 2048)
@@ -247,6 +250,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         texts = []
         for text, dropped in zip(batch.column("text").to_pylist(), batch.column("__dropped").to_pylist()):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablevet.llm.components import components
-from tablevet.llm.textcodes import list_column, mix, shingle_hashes, signed, slices, word_hashes
+from tablevet.llm.textcodes import let_go, list_column, mix, shingle_hashes, signed, slices, word_hashes
 from tablevet.sources.scratch import staged
 
 SKETCH_WORDS = 16
@@ -99,6 +99,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     likeness = Similarity(percent)
     for batch in batches:
         n = batch.num_rows
@@ -126,6 +127,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
 
 
 def _element_lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         found = [own for _, own in _sets(batch, size)]
         for start in range(0, len(found), 256):

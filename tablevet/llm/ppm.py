@@ -17,10 +17,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablevet.llm.bytegrams import SIGNS, Lookup, context, ddl, gram_counts, with_scores, without_oldest
-from tablevet.llm.textcodes import list_column, signed, slices, word_hashes
+from tablevet.llm.textcodes import let_go, list_column, signed, slices, word_hashes
 from tablevet.sources.scratch import staged
 
 ORDER = 5
@@ -72,6 +73,7 @@ def ppm_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of each batch's learned texts."""
+    let_go()
     for batch in batches:
         learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
         parts = [np.unique(word_hashes(data, at)[0], return_counts=True) for _, data, at in slices(batch.column("text").filter(pa.array(learn)))]
@@ -82,9 +84,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(counts)], names=["word", "n"])
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], words: bytes, logs: bytes) -> Iterator[pa.RecordBatch]:
+def _looked_up(batches: Iterator[pa.RecordBatch], words: Broadcast) -> Iterator[pa.RecordBatch]:
     """Adds token numbers of each text, sums over its frequent words, and its other words."""
-    frequent = Lookup(np.frombuffer(words, np.uint64), np.frombuffer(logs, np.float64))
+    let_go()
+    frequent = words.value
     for batch in batches:
         n = batch.num_rows
         tokens, known, sums, rest_n = (np.zeros(n, k) for k in (np.int64, np.int64, np.float64, np.int64))
@@ -129,7 +132,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, hot_words: int = HOT_WO
     total, kinds = total + ends, kinds + (ends > 0)
     hot = counts.filter(F.col("n") * hot_words >= total).toArrow()
     logs = np.log10(hot.column("n").to_numpy() + plus)
-    task = partial(_looked_up, words=hot.column("word").to_numpy().tobytes(), logs=logs.tobytes())
+    frequent = docs.sparkSession.sparkContext.broadcast(Lookup(hot.column("word").to_numpy().view(np.uint64), logs))
+    task = partial(_looked_up, words=frequent)
     looked = docs.mapInArrow(task, f"{ddl(docs)}, n_tokens bigint, hot_known bigint, hot_sum double, rest array<bigint>")
     scored = with_scores(looked, model, order, "score").drop("text")
     scored = staged(scored.withColumn("_row", F.monotonically_increasing_id()))

@@ -6,6 +6,8 @@ text, or a single text that is longer than that.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,10 +20,23 @@ SLICE_BYTES = 2 << 20
 _held: dict = {}
 
 
+def let_go() -> None:
+    """Drop what earlier tasks of other operators left in this worker, and give the memory back.
+
+    Every task function begins with this or with :func:`held`: workers outlive their tasks, and
+    what one operator held would otherwise be carried through the next.
+    """
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def held(name: object, build: Callable):
     """A large object that a worker keeps between tasks; asking for another one lets it go."""
     if name not in _held:
-        _held.clear()
+        let_go()
         _held[name] = build()
     return _held[name]
 
