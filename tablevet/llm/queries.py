@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.llm import bpe
+from tablevet.llm.adaptive_rules import judged, judged_sql
 from tablevet.llm.decontaminate import benchmark_hits
 from tablevet.llm.fuzzy_lines import line_components
 from tablevet.llm.graph_index import nearest
@@ -16,7 +17,9 @@ from tablevet.llm.licences import scan_licences
 from tablevet.llm.parity_join import similar_documents
 from tablevet.llm.ppm import score_documents
 from tablevet.llm.templates import main_texts
+from tablevet.llm.turn_repair import damaged, repaired_conversations, repaired_sql
 from tablevet.llm.warc_fixity import as_records, audit, record_text
+from tablevet.llm.word_variants import damaged_words, variants, variants_sql, vocabulary
 from tablevet.sources.scratch import staged
 
 
@@ -136,6 +139,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(vocabulary(damaged_words(_table(spark, sf_dir, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -148,8 +164,16 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_license_scans": op9_license_scans,
         "op10_html_extraction": op10_html_extraction,
+        "op11_quality_rules": op11_quality_rules,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_warc_merkle_fixity": OP3_SQL}
+    return {
+        "op3_warc_merkle_fixity": OP3_SQL,
+        "op11_quality_rules": judged_sql(),
+        "op12_spelling_variants": variants_sql(),
+        "op13_conversation_repair": repaired_sql(),
+    }

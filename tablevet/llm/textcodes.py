@@ -168,3 +168,20 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None
     if offsets[-1] >= 1 << 31:
         raise ValueError("a batch of lists holds more values than Arrow offsets can count")
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def _crc32_steps() -> list[int]:
+    """The 256 steps of the reflected CRC-32 with polynomial 0xEDB88320."""
+    steps = list(range(256))
+    for _ in range(8):
+        steps = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in steps]
+    return steps
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a string's UTF-8 bytes, for the SQL that queries are held against."""
+    digits = f"upper(hex(encode({text})))"
+    byte = "(instr('0123456789ABCDEF', substr({0}, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr({0}, 2 * i + 2, 1)) - 1"
+    data = f"list_transform(range(0, strlen({text})), lambda i: CAST({byte.format(digits)} AS BIGINT))"
+    step = f"xor(c >> 8, ({_crc32_steps()})[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: {step}), 4294967295)"
