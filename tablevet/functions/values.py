@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, types as T
 
@@ -76,71 +77,108 @@ _MONTHS = (
     "|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 )
 _MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_REST = r"(?:[T ].*)?\s*$"  # a time, or nothing
-# The forms of written dates beside ISO text, by what their three numbers are.
-_SLASHED = rf"^\s*(\d{{1,2}})(?:([/-])(\d{{1,2}})\2(\d{{4}}|\d{{2}})|\.(\d{{1,2}})\.(\d{{4}})){_REST}"
-_YEAR_FIRST = rf"^\s*(\d{{4}})([/.])(\d{{1,2}})\2(\d{{1,2}}){_REST}"
-_COMPACT = rf"^\s*((?:19|20)\d\d)(\d\d)(\d\d){_REST}"
-_DAY_MONTH = rf"(?i)^\s*(\d{{1,2}})[ -]({_MONTHS})\.?,?[ -]+(\d{{4}}){_REST}"
-_MONTH_DAY = rf"(?i)^\s*({_MONTHS})\.? +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}}){_REST}"
-_ISO = r"^\s*(?!0+[-/]\d+[-/])\d{1,4}-\d"
-_DAY_OVER_12 = r"^\s*(?:1[3-9]|2\d|3[01])([/.-])\d{1,2}\1(?:\d{4}|\d{2})(?:[T ]|\s*$)"
+# The forms of written dates as one pattern; its groups are, by form: day or month, separator, month
+# or day, year (twice) | year, separator, month, day | year, month, day | day, name, year | name, day,
+# year, what follows of all these | ISO text and what follows.
+_DATE_FORMS = (
+    r"(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})|(\d{1,2})\.(\d{1,2})\.(\d{4})"
+    r"|(\d{4})([/.])(\d{1,2})\9(\d{1,2})|((?:19|20)\d\d)(\d\d)(\d\d)"
+    rf"|(\d{{1,2}})[ -]({_MONTHS})\.?,?[ -]+(\d{{4}})|({_MONTHS})\.? +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}})"
+)
+_DATE = rf"(?i)^\s*(?:(?:{_DATE_FORMS})((?:[T ].*)?)\s*|(?!0+[-/]\d+[-/])(\d{{1,4}}-\d[\d-]*)([\s\S]*))$"
+_MATCHED = "\x01"  # stands first where the pattern matched
+# year | day or month | month or day | month | its name | day | ISO text | what follows
+_DATE_PARTS = f"{_MATCHED}|$4$7$8$12$17$20|$1$5|$3$6|$10$13|$16$18|$11$14$15$19|$22|$21$23"
+_CLOCK = r"(?i)^.*?[T ]\s*(\d{1,2})(:\d.*?)\s*(?:([ap])\.?m\.?)?\s*$"
+_ISO_TIME = r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?)?$"
+# Long texts and words are told apart by their first characters, before the forms are tried.
+_LOOKS_DATED = rf"(?i)^\s*(?:\d{{1,8}}(?:\D|$)|(?:{_MONTHS})\.? +\d)"
+_BOTH_ORDERS = "STRUCT<month_first: TIMESTAMP_NTZ, day_first: TIMESTAMP_NTZ>"
 
 
-def is_day_first(c: str) -> str:
-    """The cell can only be read with the day before the month."""
-    return f"{c} RLIKE r'{_DAY_OVER_12}'"
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def as_wall_time(c: str, data_type: T.DataType, day_first: bool = False) -> str:
-    """TIMESTAMP_NTZ view of a cell; unreadable values and years past 9999 become null.
+def _twice(x: str) -> str:
+    return f"named_struct('month_first', {x}, 'day_first', {x})"
+
 
-    Texts may be ISO, ``y/m/d``, ``y.m.d``, ``yyyymmdd``, ``5 Jan 2024``, ``Jan 5, 2024``, and, by
-    ``day_first``, ``d/m/y`` or ``m/d/y`` with slashes, dashes or dots; two-digit years (not with dots)
+def written_time(c: str) -> str:
+    """The time written in a text cell, ``STRUCT<month_first, day_first>``, by one match of one pattern.
+
+    Texts may be ISO, ``y/m/d``, ``y.m.d``, ``yyyymmdd``, ``5 Jan 2024``, ``Jan 5, 2024``, and two numbers
+    and a year with slashes, dashes or dots, where the two readings differ; two-digit years (not with dots)
     are 1969 to 2068.  A time may follow, with AM or PM; its offset from UTC is left out.  A bare ``75001`` is a
     postcode, not a year.
     """
+    year = "CASE WHEN length(f[1]) != 2 THEN f[1] WHEN f[1] < '69' THEN concat('20', f[1]) ELSE concat('19', f[1]) END"
+    month = f"IF(f[5] = '', f[4], CAST((instr('{_MONTH_STARTS}', lower(left(f[5], 3))) + 2) DIV 3 AS STRING))"
+    hour = "CASE lower(k[3]) WHEN 'p' THEN CAST(CAST(k[1] AS INT) % 12 + 12 AS STRING) WHEN 'a' THEN CAST(CAST(k[1] AS INT) % 12 AS STRING) ELSE k[1] END"
+    parts_of_clock = f"split(regexp_replace(f[8], r'{_CLOCK}', '{_MATCHED}|$1|$2|$3'), r'\\|')"
+    clock = _let(parts_of_clock, "k", f"IF(k[0] = '{_MATCHED}' AND size(k) = 4, concat(' ', {hour}, k[2]), '')")
+
+    def time(*numbers: str) -> str:
+        return f"try_cast(concat_ws('-', {', '.join(numbers)}) || t AS TIMESTAMP_NTZ)"
+
+    plain = f"CASE WHEN f[7] != '' THEN try_cast(f[7] || t AS TIMESTAMP_NTZ) ELSE {time(year, month, 'f[6]')} END"
+    two = f"named_struct('month_first', {time(year, 'f[2]', 'f[3]')}, 'day_first', {time(year, 'f[3]', 'f[2]')})"
+    either = f"IF(f[2] != '', {two}, {_let(plain, 'x', _twice('x'))})"
+    timed = _let(f"IF(f[8] = '', '', {clock})", "t", either)
+    parts = f"split(regexp_replace({c}, r'{_DATE}', '{_DATE_PARTS}'), r'\\|', 9)"
+    read = _let(parts, "f", f"IF(f[0] = '{_MATCHED}', {timed}, NULL)")
+    iso = _let(f"try_cast({c} AS TIMESTAMP_NTZ)", "x", _twice("x"))
+    return f"CAST(CASE WHEN {c} RLIKE r'{_ISO_TIME}' THEN {iso} WHEN {c} RLIKE r'{_LOOKS_DATED}' THEN {read} END AS {_BOTH_ORDERS})"
+
+
+def as_wall_time(c: str, data_type: T.DataType, day_first: bool = False) -> str:
+    """TIMESTAMP_NTZ view of a cell; unreadable values and years past 9999 become null.
+
+    Texts are read by :func:`written_time`.
+    """
     if is_temporal(data_type):
         wall = f"CAST({c} AS TIMESTAMP_NTZ)"
         return f"CASE WHEN {wall} BETWEEN {_FIRST_TIME} AND {_LAST_TIME} THEN {wall} END"
     if not is_string(data_type):
         return "CAST(NULL AS TIMESTAMP_NTZ)"
+    return f"({written_time(c)}).{'day_first' if day_first else 'month_first'}"
 
-    numbers = "$4$6-$3$5-$1" if day_first else "$4$6-$1-$3$5"
-    two_digits = f"regexp_replace({c}, r'{_SLASHED}', '{numbers}')"
-    two_digits = f"regexp_replace({two_digits}, r'^((?:[0-5]\\d|6[0-8])-)', '20$1')"
-    named = {_DAY_MONTH: (3, 2, 1), _MONTH_DAY: (3, 1, 2)}
-    date = (
-        rf"CASE WHEN {c} RLIKE r'{_SLASHED}' THEN regexp_replace({two_digits}, r'^(\d\d-)', '19$1')"
-        f" WHEN {c} RLIKE r'{_YEAR_FIRST}' THEN regexp_replace({c}, r'{_YEAR_FIRST}', '$1-$3-$4')"
-        f" WHEN {c} RLIKE r'{_COMPACT}' THEN regexp_replace({c}, r'{_COMPACT}', '$1-$2-$3')"
-    )
-    for pattern, groups in named.items():
-        year, month, day = (f"regexp_extract({c}, r'{pattern}', {g})" for g in groups)
-        number = f"(instr('{_MONTH_STARTS}', lower(substring({month}, 1, 3))) + 2) DIV 3"
-        date += f" WHEN {c} RLIKE r'{pattern}' THEN concat_ws('-', {year}, {number}, {day})"
-    date += rf" WHEN {c} RLIKE r'{_ISO}' THEN regexp_extract({c}, r'^\s*([\d-]+)', 1) END"
-    hour = rf"try_cast(regexp_extract({c}, r'[T ]\s*(\d{{1,2}}):', 1) AS INT)"
-    afternoon = rf"{c} RLIKE r'(?i)p\.?m\.?\s*$'"
-    morning = rf"{c} RLIKE r'(?i)a\.?m\.?\s*$'"
-    hour = f"CASE WHEN {afternoon} THEN {hour} % 12 + 12 WHEN {morning} THEN {hour} % 12 ELSE {hour} END"
-    minutes = rf"regexp_extract({c}, r'(?i)[T ]\s*\d{{1,2}}(:\d.*?)\s*(?:[ap]\.?m\.?)?\s*$', 1)"
-    clock = rf"CASE WHEN {c} RLIKE r'[T ]\s*\d{{1,2}}:\d' THEN concat(' ', {hour}, {minutes}) ELSE '' END"
-    # Long texts and words are told apart by their first characters, before any of the forms is tried.
-    looks = rf"{c} RLIKE r'(?i)^\s*(?:\d{{1,8}}(?:\D|$)|(?:{_MONTHS})\.? +\d)'"
-    return f"CASE WHEN {looks} THEN try_cast(concat({date}, {clock}) AS TIMESTAMP_NTZ) END"
-
-
-def of_times(aggregate: str, c: str, data_type: T.DataType) -> str:
+
+def with_written_times(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the :func:`written_time` of the named text columns, and where each is found.
+
+    As columns of their own they are parsed once a cell, however many aggregates use them.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    prefix = "__written_"
+    while any(n.startswith(prefix) for n in types):
+        prefix += "_"
+    texts = [n for n in dict.fromkeys(names) if n in types and is_string(types[n])]
+    at = {n: f"`{prefix}{i}`" for i, n in enumerate(texts)}
+    if not at:
+        return df, at
+    return df.selectExpr("*", *[f"{written_time(quote_name(n))} AS {t}" for n, t in at.items()]), at
+
+
+def day_comes_first(written: str) -> str:
+    """Aggregate: more cells of a column can be read only with the day first than only with the month first."""
+    day, month = f"{written}.day_first", f"{written}.month_first"
+    return f"count_if({month} IS NULL AND {day} IS NOT NULL) > count_if({day} IS NULL AND {month} IS NOT NULL)"
+
+
+def of_times(aggregate: str, c: str, data_type: T.DataType, written: str | None = None) -> str:
     """An aggregate over the times of a column, ``{0}`` in ``aggregate``.
 
-    One cell whose first number is over 12 tells that all of the column have the day first.
+    In a text column the order of day and month is that of most cells that can be read in one order only,
+    so a stray cell of the other order costs that cell.  ``written`` is where its times are found
+    (:func:`with_written_times`).
     """
-    month_first = aggregate.format(as_wall_time(c, data_type))
     if not is_string(data_type):
-        return month_first
-    day_first = aggregate.format(as_wall_time(c, data_type, day_first=True))
-    return f"CASE WHEN count_if({is_day_first(c)}) > 0 THEN {day_first} ELSE {month_first} END"
+        return aggregate.format(as_wall_time(c, data_type))
+    written = written or f"({written_time(c)})"
+    first, second = (aggregate.format(f"{written}.{order}") for order in ("day_first", "month_first"))
+    return f"CASE WHEN {day_comes_first(written)} THEN {first} ELSE {second} END"
 
 
 # ------------------------------------------------------------------ digests
@@ -170,6 +208,43 @@ def digest(c: str, data_type: T.DataType) -> tuple[str, str]:
     return f"xxhash64(1, {inputs})", f"xxhash64(2, {inputs})"
 
 
+def packed(c: str, data_type: T.DataType) -> tuple[str, str, str]:
+    """Key of a cell as (word, kind, bit): up to 64 neighbouring values share a word and kind, each with its bit.
+
+    Numbers with an order of their own are split so: integers, dates, times (by whole days, else whole
+    seconds, else microseconds), and doubles with at most two decimals, each of which is told apart from
+    all other values of its column.  ``bit_or`` of the bits counts the distinct values of a word, so a
+    dense column needs a 64th of the records and a sparse one no more than one a value.  All others have their
+    :func:`digest` and one bit.
+    """
+    if isinstance(data_type, _INTEGRAL):
+        return _word(f"CAST({c} AS BIGINT)", 0)
+    if isinstance(data_type, T.DateType):
+        return _word(f"CAST(unix_date({c}) AS BIGINT)", 0)
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        zero = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+        micros = f"unix_micros({c})" if isinstance(data_type, T.TimestampType) else f"timestampdiff(MICROSECOND, {zero}, {c})"
+        kinds = [(f"{micros} % {unit} = 0", _word(f"({micros} DIV {unit})", kind)) for kind, unit in ((1, 86_400_000_000), (2, 1_000_000))]
+        return _first_that_fits(kinds, _word(micros, 0))
+    if isinstance(data_type, T.DoubleType):
+        cents = f"rint({c} * 100)"
+        fits = f"abs({c}) < 1e15 AND {cents} / 100 = {c}"
+        return _first_that_fits([(fits, _word(f"CAST({cents} AS BIGINT)", 1))], (*digest(c, data_type), "1L"))
+    return *digest(c, data_type), "1L"
+
+
+def _word(x: str, kind: int) -> tuple[str, str, str]:
+    return f"shiftright({x}, 6)", f"{kind}L", f"shiftleft(1L, CAST({x} & 63 AS INT))"
+
+
+def _first_that_fits(kinds: list[tuple[str, tuple[str, str, str]]], other: tuple[str, str, str]) -> tuple[str, str, str]:
+    parts = []
+    for i in range(3):
+        whens = " ".join(f"WHEN {fits} THEN {key[i]}" for fits, key in kinds)
+        parts.append(f"CASE {whens} ELSE {other[i]} END")
+    return tuple(parts)
+
+
 def row_digest(keys: list[tuple[str, str, str]]) -> tuple[str, str]:
     """Key of a whole row from (cell, high, low) references to its cells and their keys.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Collection
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -101,11 +101,12 @@ def _format_check(kind: str, name: str, valid: str) -> Check:
 
 
 def pair_checks(
-    df: DataFrame, pairs: list[Pair], day_first: Collection[str] = ()
+    df: DataFrame, pairs: list[Pair], day_first: Collection[str] = (), written: Mapping[str, str] = {}
 ) -> list[Check]:
     """Sides are compared as numbers if one is a number, else as times.
 
-    ``day_first`` names the text columns whose dates have the day before the month.
+    ``day_first`` names the text columns whose dates have the day before the month, ``written`` where
+    the times of text columns are found (see ``with_written_times``).
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     checks = []
@@ -119,7 +120,10 @@ def pair_checks(
             a, b = (as_number(c, t) for c, t in sides)
         else:
             names = (pair.col_a, pair.col_b)
-            a, b = (as_wall_time(c, t, n in day_first) for n, (c, t) in zip(names, sides))
+            a, b = (
+                f"{written[n]}.{'day_first' if n in day_first else 'month_first'}" if n in written else as_wall_time(c, t, n in day_first)
+                for n, (c, t) in zip(names, sides)
+            )
         checks.append(
             Check(
                 "correlation",

@@ -6,10 +6,10 @@ import math
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablevet.functions.settings import held_setting
-from tablevet.functions.values import digest, quote_name, round1_sql, row_digest, sql_text
+from tablevet.functions.values import digest, packed, quote_name, round1_sql, row_digest, sql_text
 
 
 
@@ -32,9 +32,10 @@ def typed_columns(df: DataFrame) -> dict[str, tuple[str, T.DataType]]:
 def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> DataFrame:
     """(entry, key, distinct_count): distinct non-null values per entry of ``cells``; lazy.
 
-    Each row becomes one narrow record per cell (entry number and 128-bit key).  Grouping by
-    the key spreads the values of every column over all partitions and the map side keeps one
-    record per value and task, so neither a hot value nor a wide row makes a heavy task.  With
+    Each row becomes one narrow record per cell: entry number, 128-bit key, and bits.  Neighbouring
+    numbers share a key and differ in their bit (see ``packed``), all other values have a key of their own.
+    Grouping by the key spreads the values of every column over all partitions and the map side keeps
+    one record per key and task, so neither a hot value nor a wide row makes a heavy task.  With
     ``whole_rows`` the row itself is one more cell, the last entry, under the key ``*``.
     """
     every = dict(cells)
@@ -46,28 +47,32 @@ def distinct_values(df: DataFrame, cells: Cells, whole_rows: bool = False) -> Da
 
     keys = []
     for (expression, data_type), i in numbers.items():
-        high, low = digest(expression, data_type)
-        keys += [f"{expression} IS NOT NULL AS f{i}", f"{high} AS h{i}", f"{low} AS l{i}"]
+        keys.append(f"{expression} IS NOT NULL AS f{i}")
+        if (expression, data_type) in every.values():
+            keys += [f"{part} AS {name}{i}" for name, part in zip("hlb", packed(expression, data_type))]
+        if (expression, data_type) in row_cells.values():
+            keys += [f"{part} AS {name}{i}" for name, part in zip("rs", digest(expression, data_type))]
     digests = df.selectExpr(*keys)
 
     records = [
-        f"struct({n} AS i, IF(f{i}, h{i}, NULL) AS high, l{i} AS low)"
+        f"struct({n} AS i, IF(f{i}, h{i}, NULL) AS high, l{i} AS low, b{i} AS bits)"
         for n, i in enumerate(numbers[cell] for cell in every.values())
     ]
     if whole_rows:
         at = [numbers[cell] for cell in row_cells.values()]
-        parts = [(f"IF(f{i}, 1, NULL)", f"h{i}", f"l{i}") for i in at]
+        parts = [(f"IF(f{i}, 1, NULL)", f"r{i}", f"s{i}") for i in at]
         high, low = row_digest(parts)
         digests = digests.selectExpr("*", f"{high} AS hr", f"{low} AS lr")
-        records.append(f"struct({len(records)} AS i, hr AS high, lr AS low)")
+        records.append(f"struct({len(records)} AS i, hr AS high, lr AS low, 1L AS bits)")
     names = [*every, *([ROW] if whole_rows else [])]
 
     counted = (
         digests.selectExpr(f"inline(array({', '.join(records)}))")
         .filter("high IS NOT NULL")
-        .distinct()
+        .groupBy("i", "high", "low")
+        .agg(F.bit_or("bits").alias("bits"))
         .groupBy("i")
-        .count()
+        .agg(F.sum(F.bit_count("bits")).alias("count"))
     )
     # Entries without any value have no group: they get 0.
     rows = ", ".join(
@@ -91,7 +96,34 @@ def distinct_counts(
         return {keys[r["entry"]]: r["distinct_count"] for r in counted.collect()}
 
 
-_RECORD_BYTES = 32
+# Buckets of the row sketch, as a power of two: its standard error is 1.04 / sqrt(2**16) = 0.4 %.
+ROW_SKETCH_BITS = 16
+
+
+def row_key(df: DataFrame) -> str:
+    """SQL of one 64-bit hash of the whole row."""
+    parts = []
+    for name, (cell, data_type) in typed_columns(df).items():
+        high, low = digest(cell, data_type)
+        parts.append((f"IF({cell} IS NULL, NULL, 1)", f"IF({cell} IS NULL, NULL, {high})", f"IF({cell} IS NULL, NULL, {low})"))
+    return row_digest(parts)[0]
+
+
+def sketched_rows(df: DataFrame) -> str:
+    """Aggregate: the number of distinct rows, by a mergeable sketch of their hashes; no row is shuffled."""
+    return f"hll_sketch_estimate(hll_sketch_agg({row_key(df)}, {ROW_SKETCH_BITS}))"
+
+
+def duplicate_rows_approx(df: DataFrame) -> DataFrame:
+    """:func:`duplicate_rows` with the number of distinct rows from a sketch; lazy, one scan.
+
+    The standard error of ``distinct_rows`` is 0.4 %; it is never above the number of rows.
+    """
+    counted = df.selectExpr("count(1) AS row_count", f"least({sketched_rows(df)}, count(1)) AS distinct_rows")
+    return _with_score(counted)
+
+
+_RECORD_BYTES = 40
 _PARTITION_BYTES = 512 * 1024 * 1024
 
 
@@ -145,6 +177,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         .count()
         .selectExpr("coalesce(sum(count), 0) AS row_count", "count(1) AS distinct_rows")
     )
+    return _with_score(totals)
+
+
+def _with_score(totals: DataFrame) -> DataFrame:
     score = round1_sql("greatest(0e0, 100 - (row_count - distinct_rows) / row_count * 100 * 2)")
     return totals.selectExpr(
         "row_count",

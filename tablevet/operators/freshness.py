@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from tablevet.functions.values import is_string, is_temporal, of_times, quote_name, sql_double, sql_text
+from tablevet.functions.values import is_string, is_temporal, of_times, quote_name, sql_double, sql_text, with_written_times
 from tablevet.operators.fused import rows_of
 
 
@@ -20,23 +20,24 @@ def freshness(
     types = {f.name: f.dataType for f in df.schema.fields}
     now = f"TIMESTAMP_NTZ'{as_of.isoformat(' ')}'"
     records = []
+    timed, written = with_written_times(df, dates)
     for name in dates:
         if name in types and (is_string(types[name]) or is_temporal(types[name])):
             column = quote_name(name)
-            latest = of_times("max({0})", column, types[name])
+            latest = of_times("max({0})", column, types[name], written.get(name))
             lag = f"timestampdiff(MICROSECOND, {latest}, {now}) / 3.6e9"
             score = f"least(100e0, greatest(0e0, 100 - {lag} / {sql_double(float(threshold_hours))} * 100))"
             records.append(
                 {
                     "column": sql_text(name),
                     "max_ts": latest,
-                    "unparsable": f"count({column}) - {of_times('count({0})', column, types[name])}",
+                    "unparsable": f"count({column}) - {of_times('count({0})', column, types[name], written.get(name))}",
                     "lag_hours": lag,
                     "score": f"CASE WHEN {latest} IS NOT NULL THEN {score} END",
                 }
             )
     return rows_of(
-        df,
+        timed,
         records,
         "column:string, max_ts:timestamp_ntz, unparsable:bigint, lag_hours:double, score:double",
     )

@@ -6,10 +6,10 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from tablevet.functions.values import sql_double
-from tablevet.operators.fused import FusedScan
+from tablevet.operators.fused import MAX_AGGREGATES, FusedScan
 
 QUARTILES = (0.25, 0.75)
 # Interval size up to which one aggregate buffer may hold its values.
@@ -19,6 +19,11 @@ _BUFFER_BUDGET = 8_000_000
 _SAMPLE_SIZE = 100_000
 # Guide points around a wanted rank, in standard errors of the sample.
 _SPREAD = (-4.0, 4.0)
+# Size of the first sketch, and how far in rank its guides lie from a quartile: twice its error.
+_SKETCH_K = 1024
+_SKETCH_MARGIN = 0.008
+# A bracket is read whole when so many times the values expected in it fit the limit.
+_SLACK = 1.5
 _DRAW = "__draw"
 # Each round shrinks an interval by orders of magnitude; this many cannot be needed.
 _MAX_ROUNDS = 50
@@ -40,37 +45,57 @@ class _Search:
     low: float | None = None
     high: float | None = None
     below: int = 0  # values <= low
+    guides: tuple[float, float] | None = None  # values inside that should enclose it
+    span: float = 1.0  # share of the values inside expected between the guides
     value: float | None = None
 
-    def inside(self) -> str:
-        bounds = [f"{self.x} IS NOT NULL"]
-        if self.low is not None:
-            bounds.append(f"{self.x} > {sql_double(self.low)}")
-        if self.high is not None:
-            bounds.append(f"{self.x} < {sql_double(self.high)}")
-        return " AND ".join(bounds)
+    def move(self, bracket: tuple[float, float], found: Row) -> bool:
+        """Shrink to what the counts at the guides leave; true if that lies between them."""
+        (a, b), above = bracket, self.below + self.size
+        self.guides = None
+        if found["a_lt"] <= self.rank < found["a_le"]:
+            self.value = a
+        elif found["b_lt"] <= self.rank < found["b_le"]:
+            self.value = b
+        elif self.rank < found["a_lt"]:
+            self.high, above = a, found["a_lt"]
+        elif self.rank >= found["b_le"]:
+            self.low, self.below = b, found["b_le"]
+        else:
+            self.low, self.below, self.high, above = a, found["a_le"], b, found["b_lt"]
+            self.size = above - self.below
+            return True
+        self.size = above - self.below
+        return False
 
 
 def quartiles(
     df: DataFrame,
     columns: Mapping[str, tuple[str, int]],
     pick_limit: int = PICK_LIMIT,
+    guides: Mapping[str, list[float]] | None = None,
 ) -> dict[str, tuple[float, float]]:
     """Exact (q1, q3) per entry; ``columns`` gives a double expression and its non-null count.
 
-    Spark's ``percentile`` keeps every distinct value of a column in one task.  Here a random
-    sample proposes values near the wanted ranks, a scan over all rows counts how many values
-    lie below each, and the interval that holds the rank is searched again until its values
-    fit one buffer and are read out.  The sample only guides the search: every decision rests
-    on a count over all rows.  Nothing is shuffled but one row of counts per task.
+    Spark's ``percentile`` keeps every distinct value of a column in one task.  Here a quantile
+    sketch proposes values on both sides of the wanted ranks, and each scan over all rows counts how many
+    values lie below them while it takes the values in between: all of them if they fit one buffer,
+    else a sample that proposes the next ones.  So n rounds take n + 1 scans, that of the sketch included, which
+    ``guides`` (of :func:`guide_scan`) saves where it was made before.  Sketch and samples only guide
+    the search: every decision rests on a count over all rows.  Nothing is shuffled but one row a task.
     """
     present = {name: (x, n) for name, (x, n) in columns.items() if n > 0}
-    wanted = {
-        (name, rank): _Search(name, x, rank, n)
-        for name, (x, n) in present.items()
-        for q in QUARTILES
-        for rank in _neighbours(q, n)
-    }
+    large = {name: x for name, (x, n) in present.items() if n > pick_limit}
+    if guides is None:
+        guides = guide_scan(df, large) if large else {}
+    wanted = {}
+    for name, (x, n) in present.items():
+        for i, q in enumerate(QUARTILES):
+            for rank in _neighbours(q, n):
+                s = wanted[name, rank] = _Search(name, x, rank, n)
+                if name in guides:
+                    a, b = guides[name][2 * i : 2 * i + 2]
+                    s.guides, s.span = (a, b), 2 * _SKETCH_MARGIN
     _resolve(df, list(wanted.values()), pick_limit)
     return {
         name: tuple(
@@ -81,27 +106,6 @@ def quartiles(
     }
 
 
-def _by_interval(searches: list[_Search]) -> list[list[_Search]]:
-    """Searches of one column that are still in the same interval share their scan work."""
-    groups: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        groups.setdefault((s.name, s.low, s.high), []).append(s)
-    return list(groups.values())
-
-
-def _batches(groups: list[list[_Search]]) -> list[list[list[_Search]]]:
-    """Consecutive runs of intervals whose values fit the buffer budget together."""
-    out: list[list[list[_Search]]] = []
-    room = 0
-    for same in groups:
-        if not out or same[0].size > room:
-            out.append([])
-            room = _BUFFER_BUDGET
-        out[-1].append(same)
-        room -= same[0].size
-    return out
-
-
 def _neighbours(q: float, n: int) -> tuple[int, int]:
     lower = math.floor(q * (n - 1))
     return lower, min(lower + 1, n - 1)
@@ -115,92 +119,133 @@ def _interpolate(q: float, n: int, values: list[float]) -> float:
     return (1 - fraction) * values[0] + fraction * values[1]
 
 
+# ------------------------------------------------------------------ guides from a sketch
+
+
+def sketched_guides(x: str) -> str:
+    """Aggregate: values a little below and above each quartile, from a mergeable quantile sketch."""
+    shares = ", ".join(f"{q + side * _SKETCH_MARGIN}e0" for q in QUARTILES for side in (-1, 1))
+    return f"kll_sketch_get_quantile_double(kll_sketch_agg_double({x}, {_SKETCH_K}), array({shares}))"
+
+
+def guide_scan(df: DataFrame, columns: Mapping[str, str]) -> dict[str, list[float]]:
+    """:func:`sketched_guides` of every double expression, from one scan; columns without a value have none."""
+    scan = FusedScan()
+    for name, x in columns.items():
+        scan.want(name, f"IF(count({x}) > 0, {sketched_guides(x)}, NULL)", group=name)
+    return {name: guides for name, guides in scan.run(df).items() if guides}
+
+
+# ------------------------------------------------------------------ rounds
+
+
 def _resolve(df: DataFrame, searches: list[_Search], pick_limit: int) -> None:
     open_ = searches
     for round_ in range(_MAX_ROUNDS):
-        _pick(df, [s for s in open_ if s.size <= pick_limit])
-        open_ = [s for s in open_ if s.value is None]
         if not open_:
             return
-        _narrow(df, open_, seed=round_)
+        for batch in _batches([_Draw.of(same, pick_limit) for same in _by_bracket(open_, pick_limit)]):
+            _scan(df, batch, seed=round_)
         open_ = [s for s in open_ if s.value is None]
     raise RuntimeError("quartile search does not settle: the source changes between scans")
 
 
-def _pick(df: DataFrame, searches: list[_Search]) -> None:
-    """Read order statistics out of intervals whose size is known to fit one buffer."""
-    for batch in _batches(_by_interval(searches)):
-        scan = FusedScan()
-        for same in batch:
-            values = f"sort_array(collect_list(CASE WHEN {same[0].inside()} THEN {same[0].x} END))"
-            picks = ", ".join(f"element_at({{0}}, {s.rank - s.below + 1})" for s in same)
-            scan.want(id(same[0]), values, f"array({picks})")
-        # Rows outside every interval are dropped before the aggregate.
-        found = scan.run(df.filter(" OR ".join(f"({same[0].inside()})" for same in batch)))
-        for same in batch:
-            for s, value in zip(same, found[id(same[0])]):
-                s.value = value
-
-
-def _narrow(df: DataFrame, searches: list[_Search], seed: int) -> None:
-    """Shrink each interval around its rank, or hit the value itself."""
-    guides = _propose(df, searches, seed)
-    scan = FusedScan()
-    for s in searches:
-        for v in guides[id(s)]:
-            scan.want((s.name, v, "lt"), f"count_if({s.x} < {sql_double(v)})")
-            scan.want((s.name, v, "le"), f"count_if({s.x} <= {sql_double(v)})")
-    counts = scan.run(df)
+def _by_bracket(searches: list[_Search], pick_limit: int) -> list[list[_Search]]:
+    """Searches of one column that look into the same bracket share their scan work."""
+    groups: dict[tuple, list[_Search]] = {}
     for s in searches:
-        above = s.below + s.size  # values < high
-        for v in guides[id(s)]:
-            less, upto = counts[s.name, v, "lt"], counts[s.name, v, "le"]
-            if less <= s.rank < upto:
-                s.value = v
-                break
-            if upto <= s.rank:
-                s.low, s.below = v, upto
+        groups.setdefault((s.name, s.low, s.high, s.guides if s.size > pick_limit else None), []).append(s)
+    return list(groups.values())
+
+
+@dataclass
+class _Draw:
+    """What one scan takes from one column: values inside a bracket, and counts at bounds that are new."""
+
+    same: list[_Search]
+    bracket: tuple[float | None, float | None]
+    counted: bool  # the bracket's bounds are guides, whose ranks this scan counts
+    share: float  # of the values inside that are taken; 1 takes all
+    expected: int
+
+    @classmethod
+    def of(cls, same: list[_Search], pick_limit: int) -> _Draw:
+        s = same[0]
+        if s.size > pick_limit and s.guides:
+            inside = max(1, math.ceil(s.size * s.span))
+            share = 1.0 if inside * _SLACK <= pick_limit else min(1.0, _SAMPLE_SIZE / inside)
+            return cls(same, s.guides, True, share, math.ceil(inside * share))
+        share = 1.0 if s.size <= pick_limit else _SAMPLE_SIZE / s.size
+        return cls(same, (s.low, s.high), False, share, math.ceil(s.size * share))
+
+    def inside(self) -> str:
+        x, (a, b) = self.same[0].x, self.bracket
+        bounds = [f"{x} IS NOT NULL"]
+        bounds += [f"{x} > {sql_double(a)}"] if a is not None else []
+        bounds += [f"{x} < {sql_double(b)}"] if b is not None else []
+        return " AND ".join(bounds)
+
+    def aggregates(self, i: int) -> list[str]:
+        x, chosen = self.same[0].x, self.inside()
+        if self.share < 1:
+            chosen += f" AND {_DRAW} < {sql_double(self.share)}"
+        out = [f"sort_array(collect_list(CASE WHEN {chosen} THEN {x} END)) AS v{i}"]
+        if self.counted:
+            for name, bound in zip("ab", self.bracket):
+                out += [f"count_if({x} < {sql_double(bound)}) AS {name}{i}_lt", f"count_if({x} <= {sql_double(bound)}) AS {name}{i}_le"]
+        return out
+
+    def finish(self, i: int) -> str:
+        """One struct: the counts, and for each search its value (all were taken) or its next guides."""
+        s = self.same[0]
+        below, above = (f"a{i}_le", f"b{i}_lt") if self.counted else (f"{s.below}L", f"{s.below + s.size}L")
+        fields = [f"CAST(size(v{i}) AS BIGINT) AS taken"]
+        fields += [f"{c}{i}_{k} AS {c}_{k}" for c in "ab" for k in ("lt", "le")] if self.counted else []
+        for j, s in enumerate(self.same):
+            if self.share == 1:
+                fields.append(f"get(v{i}, CAST({s.rank}L - {below} AS INT)) AS at{j}")
             else:
-                s.high, above = v, less
-                break
-        s.size = above - s.below
-
-
-def _propose(df: DataFrame, searches: list[_Search], seed: int) -> dict[int, list[float]]:
-    """Sorted values near each wanted rank, read off a random sample of its interval."""
-    groups = _by_interval(searches)
-    per_scan = _BUFFER_BUDGET // _SAMPLE_SIZE
-    proposed: dict[int, list[float]] = {}
-    for start in range(0, len(groups), per_scan):
-        batch = groups[start : start + per_scan]
-        shares = [min(1.0, _SAMPLE_SIZE / same[0].size) for same in batch]
-        scan = FusedScan()
-        for same, share in zip(batch, shares):
-            chosen = f"{same[0].inside()} AND {_DRAW} < {sql_double(share)}"
-            points = ", ".join(f"array({_guides(s)})" for s in same)
-            scan.want(
-                id(same[0]),
-                f"sort_array(collect_list(CASE WHEN {chosen} THEN {same[0].x} END))",
-                f"array({points})",
-            )
-        # Rows no interval draws are dropped before the aggregate.
-        drawn = df.selectExpr("*", f"rand({seed}) AS {_DRAW}").filter(
-            f"{_DRAW} < {sql_double(max(shares))}"
-        )
-        found = scan.run(drawn)
-        for same in batch:
-            for s, values in zip(same, found[id(same[0])]):
-                proposed[id(s)] = sorted({v for v in values if v is not None})
-    return proposed
-
-
-def _guides(s: _Search) -> str:
-    """Sample elements around the wanted rank, as SQL over the sorted sample ``{0}``."""
-    taken = min(_SAMPLE_SIZE, s.size)
-    centre = (s.rank - s.below + 0.5) / s.size
-    error = math.sqrt(max(centre * (1 - centre), 1 / taken) / taken)
-    shares = [min(1.0, max(0.0, centre + k * error)) for k in _SPREAD]
-    return ", ".join(
-        f"get({{0}}, CAST(floor((size({{0}}) - 1) * {sql_double(share)}) AS INT))"
-        for share in shares
-    )
+                centre = f"(({s.rank}L - {below} + 0.5e0) / greatest({above} - {below}, 1L))"
+                error = f"sqrt(greatest({centre} * (1 - {centre}), 1e0 / greatest(size(v{i}), 1)) / greatest(size(v{i}), 1))"
+                points = [
+                    f"get(v{i}, CAST(floor((size(v{i}) - 1) * least(1e0, greatest(0e0, {centre} + {k} * {error}))) AS INT))" for k in _SPREAD
+                ]
+                fields += [f"array({', '.join(points)}) AS at{j}", f"2 * {_SPREAD[1]} * {error} AS span{j}"]
+        return f"struct({', '.join(fields)}) AS d{i}"
+
+    def learn(self, found: Row) -> None:
+        for j, s in enumerate(self.same):
+            if self.counted and not s.move(self.bracket, found):
+                continue
+            if self.share == 1:
+                s.value = found[f"at{j}"]
+            else:
+                low, high = found[f"at{j}"]
+                s.guides = (low, high) if low is not None and (s.low is None or low > s.low) and (s.high is None or high < s.high) else None
+                s.span = min(1.0, found[f"span{j}"] or 1.0)
+
+
+def _batches(draws: list[_Draw]) -> list[list[_Draw]]:
+    """Consecutive runs of draws whose values fit the buffer budget together."""
+    out: list[list[_Draw]] = []
+    room = 0
+    for draw in draws:
+        if not out or draw.expected > room or len(out[-1]) * 5 >= MAX_AGGREGATES:
+            out.append([])
+            room = _BUFFER_BUDGET
+        out[-1].append(draw)
+        room -= draw.expected
+    return out
+
+
+def _scan(df: DataFrame, draws: list[_Draw], seed: int) -> None:
+    """Counts and draws of one round, from one scan of the table."""
+    if not any(d.counted for d in draws):
+        # rows outside every bracket are dropped before the aggregate
+        df = df.filter(" OR ".join(f"({d.inside()})" for d in draws))
+    if any(d.share < 1 for d in draws):
+        df = df.selectExpr("*", f"rand({seed}) AS {_DRAW}")
+    measured = df.selectExpr(*[agg for i, d in enumerate(draws) for agg in d.aggregates(i)])
+    row = measured.selectExpr(*[d.finish(i) for i, d in enumerate(draws)]).collect()[0]
+    for i, d in enumerate(draws):
+        d.learn(row[i])

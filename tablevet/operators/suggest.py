@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablevet.functions.values import is_string, normalize, quote_name, sql_text
 from tablevet.operators.checks import numeric_columns, string_columns
+from tablevet.operators import sampling
 from tablevet.operators.distinct import distinct_counts, short_lists
 from tablevet.operators.fused import FusedScan
 from tablevet.operators.roles import ColumnRoles, NameLists, detect_roles, name_has
@@ -46,10 +47,10 @@ def suggest_rules(
 ) -> list[Suggestion]:
     """Suggested rules as Spark SQL conditions, without those whose name is already active.
 
-    Whole columns are profiled; ``sample_rows`` looks at any that many rows instead.  Value
+    Whole columns are profiled; ``sample_rows`` looks at that many instead, the same in every run.  Value
     lists are read only for columns known to hold at most ``MAX_ALLOWED_VALUES`` values.
     """
-    df = normalize(df.limit(sample_rows) if sample_rows else df)
+    df = normalize(sampling.sample_rows(df, sample_rows) if sample_rows else df)
     roles = roles or detect_roles(df, names)
     texts = string_columns(df)
 

@@ -13,6 +13,7 @@ Only per-column scalars reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.functions.text import folded
 from tablevet.functions.values import (
+    day_comes_first,
     digest,
-    is_day_first,
     is_numeric,
     is_string,
     is_temporal,
@@ -29,6 +30,7 @@ from tablevet.functions.values import (
     of_times,
     quote_name,
     round1,
+    with_written_times,
 )
 from tablevet.operators.checks import (
     email_checks,
@@ -41,7 +43,7 @@ from tablevet.operators.checks import (
     phone_checks,
     string_columns,
 )
-from tablevet.operators.distinct import ROW, distinct_counts, short_lists, typed_columns
+from tablevet.operators.distinct import ROW, distinct_counts, short_lists, sketched_rows, typed_columns
 from tablevet.operators.fused import Check, FusedScan, together
 from tablevet.operators.quartiles import approximate_quartiles, quartiles
 from tablevet.operators.roles import (
@@ -70,6 +72,8 @@ WEIGHTS = {
 NEUTRAL = 90.0  # score of a dimension with nothing to check
 NEUTRAL_FRESHNESS = 75.0
 VOLUMETRY = 80.0  # one table alone has no volume history
+HISTORY_RUNS = 7  # earlier runs that count for volumetry
+LEAST_HISTORY = 3  # with fewer there is no history to speak of
 MIN_VALUES_FOR_OUTLIERS = 10
 MAX_SPELLINGS = 50  # distinct values up to which case variants are looked for
 SPELLING_PENALTY = 10
@@ -115,7 +119,7 @@ class ScoreResult:
 
 
 @dataclass
-class _Measured:
+class Measured:
     """Everything the scans found out about the table."""
 
     rows: int
@@ -126,6 +130,7 @@ class _Measured:
     rejected: list[tuple[Rule, str]]
     outliers: list[Check] = field(default_factory=list)
     day_first: set[str] = field(default_factory=set)
+    written: dict[str, str] = field(default_factory=dict)
     as_of: datetime | None = None
 
 
@@ -140,21 +145,35 @@ def score(
     null_policy: str = "violation",
     names: NameLists = NameLists(),
     stage: bool = False,
+    earlier_row_counts: Sequence[int] = (),
 ) -> ScoreResult:
     """Score one table.
 
     ``as_of`` is the wall-clock time freshness counts from (default: now, in the session time
     zone).  ``roles`` replaces role detection.  ``exact=False`` estimates quartiles and
-    distinct values per column by sketches; duplicate rows are always counted exactly.
+    distinct values and rows by sketches, without any shuffle of rows (see ``sketched_rows`` for the error).
     ``stage`` writes the table once as Parquet to the shared scratch folder and scans that copy:
     for CSV, database queries and long plans, which every scan would read again.
+    ``earlier_row_counts``, oldest first, say how large the table was in earlier runs (see
+    ``plans.history``); without at least three of them volumetry is a neutral constant.
     """
     if not 1 <= freshness_threshold_hours <= 720:
         raise ValueError("freshness_threshold_hours must lie between 1 and 720")
     all_rules = [Rule.of(r) for r in rules or []]
     df = staged(normalize(df)) if stage else normalize(df)
     m = _measure(df, all_rules, as_of, roles, exact, null_policy, names)
+    return scored(df, m, table_name, all_rules, freshness_threshold_hours, earlier_row_counts)
 
+
+def scored(
+    df: DataFrame,
+    m: Measured,
+    table_name: str,
+    rules: list[Rule],
+    freshness_threshold_hours: float,
+    earlier_row_counts: Sequence[int] = (),
+) -> ScoreResult:
+    """The result of what was measured; of ``df`` only the schema is looked at."""
     issues: list[Issue] = []
     freshness = _freshness_by_column(m, freshness_threshold_hours)
     scores = {
@@ -165,7 +184,7 @@ def score(
         "distribution": _distribution(m, issues),
         "validity": _validity(df, m, issues),
         "correlation": _correlation(df, m, issues),
-        "volumetry": VOLUMETRY,
+        "volumetry": _volumetry(m, earlier_row_counts, issues),
         "standardization": _standardization(df, m, issues),
     }
     weighted = 0.0
@@ -180,7 +199,7 @@ def score(
         round1(weighted),
         issues,
         _column_scores(df, m),
-        all_rules,
+        rules,
         m.roles,
         m.as_of,
         freshness,
@@ -190,26 +209,27 @@ def score(
 # ------------------------------------------------------------------ scans
 
 
-def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
+def _measure(df, rules, as_of, roles, exact, null_policy, names) -> Measured:
     schema = df.schema
     compiled = compile_rules(df, rules, null_policy)
     open_columns = [] if roles else undecided(schema, names)
     by_schema = roles or assemble_roles(schema, {}, names)
 
     scan = FusedScan()
+    timed, written = with_written_times(compiled.df, [*open_columns, *by_schema.dates])
     scan.want("rows", "count(1)")
     scan.want("now", "max(localtimestamp())")
     for f in schema.fields:
         c = quote_name(f.name)
         scan.want((f.name, "nulls"), f"count_if({c} IS NULL)", group=f.name)
         if f.name in open_columns:
-            for part, agg in content_counts(c).items():
+            for part, agg in content_counts(c, written[f.name]).items():
                 scan.want((f.name, part), agg, group=f.name)
         if f.name in open_columns or f.name in by_schema.dates:
             if is_string(f.dataType) or is_temporal(f.dataType):
-                scan.want((f.name, "latest"), of_times("max({0})", c, f.dataType), group=f.name)
-                if is_string(f.dataType):
-                    scan.want((f.name, "day first"), f"count_if({is_day_first(c)})", group=f.name)
+                scan.want((f.name, "latest"), of_times("max({0})", c, f.dataType, written.get(f.name)), group=f.name)
+                if f.name in written:
+                    scan.want((f.name, "day first"), day_comes_first(written[f.name]), group=f.name)
     for check in [
         *negative_checks(df),
         *email_checks(df, by_schema),
@@ -221,7 +241,7 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         check.add_to(scan)
     # Sketches are no part of whole-stage code: apart, they do not slow the counts down.
     found, sketched = together(
-        lambda: scan.run(compiled.df), lambda: {} if exact else _sketches(df).run(df)
+        lambda: scan.run(timed), lambda: {} if exact else _sketches(df).run(df)
     )
     rows = found["rows"]
     if roles is None:
@@ -245,18 +265,19 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         )
     else:
         fences = {c: tuple(sketched[c, "quartiles"]) for c in measurable}
-        distinct = distinct_counts(df, {}, whole_rows=True, rows=rows)
-        distinct |= {f.name: sketched[f.name, "distinct"] for f in schema.fields}
+        distinct = {f.name: sketched[f.name, "distinct"] for f in schema.fields}
+        distinct[ROW] = min(rows, sketched[ROW, "distinct"])
 
     short = [c for c in string_columns(df) if 2 <= distinct[c] <= MAX_SPELLINGS]
     outliers = outlier_checks(df, fences)
     scan = FusedScan()
     day_first = {f.name for f in schema.fields if found.get((f.name, "day first"))}
-    for check in [*outliers, *pair_checks(df, roles.pairs, day_first)]:
+    timed, written = with_written_times(df, [c for p in roles.pairs for c in (p.col_a, p.col_b)])
+    for check in [*outliers, *pair_checks(df, roles.pairs, day_first, written)]:
         check.add_to(scan)
-    counted, folded_values = together(lambda: scan.run(df), lambda: _value_counts(df, short))
+    counted, folded_values = together(lambda: scan.run(timed), lambda: _value_counts(df, short))
     found |= counted | folded_values
-    return _Measured(
+    return Measured(
         rows,
         found,
         roles,
@@ -265,12 +286,14 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> _Measured:
         compiled.rejected,
         outliers,
         day_first,
+        written,
         as_of or found["now"] or datetime.now(),
     )
 
 
 def _sketches(df: DataFrame) -> FusedScan:
     scan = FusedScan()
+    scan.want((ROW, "distinct"), sketched_rows(df))
     for f in df.schema.fields:
         c = quote_name(f.name)
         key = f"IF({c} IS NOT NULL, {digest(c, f.dataType)[0]}, NULL)"
@@ -297,11 +320,11 @@ def _share_score(violations: float, checked: int) -> float:
     return round1(min(100.0, max(0.0, (1 - violations / checked) * 100)))
 
 
-def _tally(checks: list[Check], m: _Measured) -> list[tuple[Check, int, int]]:
+def _tally(checks: list[Check], m: Measured) -> list[tuple[Check, int, int]]:
     return [(c, *c.counts(m.found)) for c in checks]
 
 
-def _completeness(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
+def _completeness(df: DataFrame, m: Measured, issues: list[Issue]) -> float:
     cells = m.rows * len(df.columns)
     if cells == 0:
         return 0.0
@@ -318,7 +341,7 @@ def _completeness(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
     return round1((1 - total / cells) * 100)
 
 
-def _uniqueness(m: _Measured, issues: list[Issue]) -> float:
+def _uniqueness(m: Measured, issues: list[Issue]) -> float:
     if m.rows < 2:
         return 100.0
     copies = m.rows - m.distinct[ROW]
@@ -330,8 +353,22 @@ def _uniqueness(m: _Measured, issues: list[Issue]) -> float:
     return round1(max(0.0, 100 - pct * 2))
 
 
+def _volumetry(m: Measured, earlier: Sequence[int], issues: list[Issue]) -> float:
+    """100 less the deviation, in percent, from the mean of the last runs; a constant without history."""
+    last = list(earlier)[-HISTORY_RUNS:]
+    if len(last) < LEAST_HISTORY:
+        return VOLUMETRY
+    expected = sum(last) / len(last)
+    deviation = abs(m.rows - expected) / expected if expected else float(m.rows > 0)
+    if deviation > 0.5:
+        severity = "high" if deviation > 1 or m.rows == 0 else "medium"
+        message = f"{m.rows:,} rows where {expected:,.0f} are usual"
+        issues.append(Issue("volumetry", severity, "all", "volume", 1, 1, message))
+    return round1(max(0.0, 100 - deviation * 100))
+
+
 def _freshness_by_column(
-    m: _Measured, threshold: float
+    m: Measured, threshold: float
 ) -> dict[str, tuple[datetime, float, float]]:
     """Latest time, lag in hours and unrounded score of every date column that has one."""
     out = {}
@@ -357,7 +394,7 @@ def _freshness(by_column: dict, threshold: float, issues: list[Issue]) -> float:
     return round1(sum(s for _, _, s in by_column.values()) / len(by_column))
 
 
-def _consistency(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
+def _consistency(df: DataFrame, m: Measured, issues: list[Issue]) -> float:
     violations = checked = 0
     for check, v, c in _tally(negative_checks(df), m):
         violations, checked = violations + v, checked + c
@@ -375,7 +412,7 @@ def _consistency(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
     return _share_score(violations, checked)
 
 
-def _distribution(m: _Measured, issues: list[Issue]) -> float:
+def _distribution(m: Measured, issues: list[Issue]) -> float:
     ratios = []
     for check, v, c in _tally(m.outliers, m):
         ratios.append(v / c)
@@ -386,7 +423,7 @@ def _distribution(m: _Measured, issues: list[Issue]) -> float:
     return round1(max(0.0, 100 - sum(ratios) / len(ratios) * 500))
 
 
-def _validity(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
+def _validity(df: DataFrame, m: Measured, issues: list[Issue]) -> float:
     violations = checked = 0
     for name in m.roles.emails:
         if (name, "emails") in m.found:  # e-mail by content: counted while detecting
@@ -410,16 +447,16 @@ def _validity(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
     return _share_score(violations, checked)
 
 
-def _correlation(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
+def _correlation(df: DataFrame, m: Measured, issues: list[Issue]) -> float:
     violations = checked = 0
-    for check, v, c in _tally(pair_checks(df, m.roles.pairs, m.day_first), m):
+    for check, v, c in _tally(pair_checks(df, m.roles.pairs, m.day_first, m.written), m):
         violations, checked = violations + v, checked + c
         if v:
             issues.append(_issue(check, v, c, f"{v:,} violations of '{check.name}'"))
     return _share_score(violations, checked)
 
 
-def _standardization(df: DataFrame, m: _Measured, issues: list[Issue]) -> float:
+def _standardization(df: DataFrame, m: Measured, issues: list[Issue]) -> float:
     violations = checked = 0
     fakes = {c.column: (c, v) for c, v, _ in _tally(fake_null_checks(df), m)}
     for check, padded, filled in _tally(padding_checks(df), m):
@@ -460,7 +497,7 @@ def column_score(name: str, rows: int, nulls: int, distinct: int) -> ColumnScore
     return ColumnScore(name, filled, unique, overall)
 
 
-def _column_scores(df: DataFrame, m: _Measured) -> list[ColumnScore]:
+def _column_scores(df: DataFrame, m: Measured) -> list[ColumnScore]:
     return [
         column_score(c, m.rows, m.found[c, "nulls"], m.distinct.get(c, 0)) for c in df.columns
     ]

@@ -102,6 +102,30 @@ def freshness_written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("column", "max_ts", "unparsable")
 
 
+def _mixed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates in one form, but for one in 337 in the other."""
+    american, european = (F.date_format("o_orderdate", p) for p in ("MM/dd/yyyy", "dd/MM/yyyy"))
+    stray = F.expr("o_orderkey % 337 = 0")
+    return table(spark, sf_dir, "orders").select(
+        F.when(stray, european).otherwise(american).alias("mostly_american"),
+        F.when(stray, american).otherwise(european).alias("mostly_european"),
+        F.when(stray, "soon").otherwise(F.date_format("o_orderdate", "d/M/yy")).alias("short_european"),
+    )
+
+
+def freshness_mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stray date of the other order costs its own cell only."""
+    df = _mixed_orders(spark, sf_dir)
+    found = freshness(df, df.columns, DIRTY_AS_OF, 720)
+    return found.select("column", "max_ts", "unparsable", "score")
+
+
+def roles_mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date role is kept, whatever the strays."""
+    df = _mixed_orders(spark, sf_dir)
+    return roles_table(df, detect_roles(df))
+
+
 def roles_by_content_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _written_orders(spark, sf_dir)
     return roles_table(df, detect_roles(df))
@@ -117,6 +141,30 @@ def _freshness_sql() -> str:
     return oracles.both(rows)
 
 
+_MIXED = """(SELECT *, o_orderkey % 337 = 0 AS stray, date_trunc('day', o_orderdate) AS own, CASE WHEN day(o_orderdate) <= 12
+    THEN make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0.0) END AS swapped FROM orders)"""
+
+
+def _mixed_sql() -> str:
+    """A stray is misread where its day could be a month and lost where it could not."""
+    now = f"TIMESTAMP '{DIRTY_AS_OF}'"
+    lag = f"date_diff('microsecond', max_ts, {now}) / 3.6e9"
+    parts = [
+        f"SELECT '{c}' AS \"column\", max(CASE WHEN stray THEN {stray} ELSE own END) AS max_ts,"
+        f" count(*) FILTER (stray AND {stray} IS NULL) AS unparsable FROM {_MIXED}"
+        for c, stray in (("mostly_american", "swapped"), ("mostly_european", "swapped"), ("short_european", "CAST(NULL AS TIMESTAMP)"))
+    ]
+    return f"SELECT *, least(100.0, greatest(0.0, 100 - {lag} / 720 * 100)) AS score FROM ({oracles.both(parts)})"
+
+
+def _mixed_roles_sql() -> str:
+    rows = [
+        f"SELECT '{c}' AS \"column\", 'date' AS role FROM {_MIXED} HAVING count(CASE WHEN stray THEN {stray} ELSE own END) / count(*) > 0.7"
+        for c, stray in (("mostly_american", "swapped"), ("mostly_european", "swapped"), ("short_european", "NULL"))
+    ]
+    return oracles.both(rows)
+
+
 def _roles_sql() -> str:
     dates = [
         f"SELECT '{c}' AS \"column\", 'date' AS role FROM orders"
@@ -290,6 +338,8 @@ def variant_queries() -> dict:
         "rules_same_name": rules_same_name,
         "pairs_same_columns": pairs_same_columns,
         "freshness_written_dates": freshness_written_dates,
+        "freshness_mixed_order": freshness_mixed_order,
+        "roles_mixed_order": roles_mixed_order,
         "roles_by_content_decided": roles_by_content_decided,
         "csv_delimiters": csv_delimiters,
         "csv_line_breaks": csv_line_breaks,
@@ -310,6 +360,8 @@ def variant_oracles() -> dict[str, str]:
         "rules_same_name": _rules_sql(),
         "pairs_same_columns": _pairs_sql(),
         "freshness_written_dates": _freshness_sql(),
+        "freshness_mixed_order": _mixed_sql(),
+        "roles_mixed_order": _mixed_roles_sql(),
         "roles_by_content_decided": _roles_sql(),
         "csv_delimiters": _delimiters_sql(),
         "csv_line_breaks": "SELECT doc_id, lang, md5(text) AS digest FROM documents",

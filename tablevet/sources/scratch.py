@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_book: ContextVar[list[str] | None] = ContextVar("staged paths", default=None)
+
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
@@ -26,5 +31,30 @@ def staged(df: DataFrame) -> DataFrame:
     that would repeat the whole read each time; a staged copy also stays the same meanwhile.
     """
     path = scratch_dir(df.sparkSession, "staged")
+    if (book := _book.get()) is not None:
+        book.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def booked() -> Iterator[list[str]]:
+    """The paths of all tables that are staged inside, for :func:`give_back`."""
+    paths: list[str] = []
+    token = _book.set(paths)
+    try:
+        yield paths
+    finally:
+        _book.reset(token)
+        if (outer := _book.get()) is not None:
+            outer.extend(paths)
+
+
+def give_back(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Free the space of staged tables that nothing reads any more.
+
+    Each is written over with an empty table, which Spark does on any file system it can write to.
+    """
+    empty = spark.createDataFrame([], "nothing int").coalesce(1)
+    for path in paths:
+        empty.write.mode("overwrite").parquet(path)
