@@ -136,7 +136,7 @@ def _sketches(df: DataFrame) -> list[_Measure]:
         key = f"IF({c} IS NOT NULL, xxhash64({', '.join(digest(c, f.dataType))}), NULL)"
         out.append(_Measure((f.name, "values"), "distinct", f"hll_sketch_agg({key}, {VALUE_SKETCH_BITS})"))
         if is_string(f.dataType):
-            out.append(_Measure((f.name, "folded"), "distinct", f"hll_sketch_agg(xxhash64({folded(c)}), {VALUE_SKETCH_BITS})"))
+            out.append(_Measure((f.name, "folded"), "distinct", f"hll_sketch_agg(IF({c} IS NOT NULL, xxhash64({folded(c)}), NULL), {VALUE_SKETCH_BITS})"))
     for c in numeric_columns(df):
         x = f"CAST({quote_name(c)} AS DOUBLE)"
         sketch = f"IF(count({x}) > 0, kll_sketch_agg_double({x}, {QUANTILE_SKETCH_K}), NULL)"

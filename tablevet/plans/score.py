@@ -5,8 +5,8 @@ The number of Spark actions does not grow with the number of columns:
 1. counts    one fused aggregate: nulls, formats, rules, negatives, dates, text flaws
 2. distinct  distinct rows and distinct values of every column, one shuffle
    quartiles a few scans of the numeric columns beside it (see ``operators.quartiles``)
-3. fences    one fused aggregate: outliers and ordered pairs, and beside it the normalised
-             values of short value lists
+3. fences    one fused aggregate: outliers, ordered pairs, and the normalised values of short
+             value lists
 
 Only per-column scalars reach the driver.
 """
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablevet.functions.text import folded
 from tablevet.functions.values import (
@@ -43,7 +43,7 @@ from tablevet.operators.checks import (
     phone_checks,
     string_columns,
 )
-from tablevet.operators.distinct import ROW, distinct_counts, short_lists, sketched_rows, typed_columns
+from tablevet.operators.distinct import ROW, distinct_counts, sketched_rows, typed_columns
 from tablevet.operators.fused import Check, FusedScan, together
 from tablevet.operators.quartiles import approximate_quartiles, quartiles
 from tablevet.operators.roles import (
@@ -55,7 +55,7 @@ from tablevet.operators.roles import (
     undecided,
 )
 from tablevet.operators.rules import Rule, compile_rules
-from tablevet.sources.scratch import staged
+from tablevet.sources.scratch import booked, give_back, staged
 
 # The weight of each dimension in the global score, in adding order.
 WEIGHTS = {
@@ -153,15 +153,17 @@ def score(
     zone).  ``roles`` replaces role detection.  ``exact=False`` estimates quartiles and
     distinct values and rows by sketches, without any shuffle of rows (see ``sketched_rows`` for the error).
     ``stage`` writes the table once as Parquet to the shared scratch folder and scans that copy:
-    for CSV, database queries and long plans, which every scan would read again.
+    for CSV, database queries and long plans, which every scan would read again; its space is given back.
     ``earlier_row_counts``, oldest first, say how large the table was in earlier runs (see
     ``plans.history``); without at least three of them volumetry is a neutral constant.
     """
     if not 1 <= freshness_threshold_hours <= 720:
         raise ValueError("freshness_threshold_hours must lie between 1 and 720")
     all_rules = [Rule.of(r) for r in rules or []]
-    df = staged(normalize(df)) if stage else normalize(df)
-    m = _measure(df, all_rules, as_of, roles, exact, null_policy, names)
+    with booked() as paths:
+        df = staged(normalize(df)) if stage else normalize(df)
+        m = _measure(df, all_rules, as_of, roles, exact, null_policy, names)
+    give_back(df.sparkSession, paths)
     return scored(df, m, table_name, all_rules, freshness_threshold_hours, earlier_row_counts)
 
 
@@ -275,8 +277,10 @@ def _measure(df, rules, as_of, roles, exact, null_policy, names) -> Measured:
     timed, written = with_written_times(df, [c for p in roles.pairs for c in (p.col_a, p.col_b)])
     for check in [*outliers, *pair_checks(df, roles.pairs, day_first, written)]:
         check.add_to(scan)
-    counted, folded_values = together(lambda: scan.run(timed), lambda: _value_counts(df, short))
-    found |= counted | folded_values
+    for c in short:  # few spellings, so a buffer of their hashes is small
+        hashed = f"IF({quote_name(c)} IS NOT NULL, xxhash64({folded(quote_name(c))}), NULL)"
+        scan.want((c, "values"), f"CAST(size(collect_set({hashed})) AS BIGINT)", group=c)
+    found |= scan.run(timed)
     return Measured(
         rows,
         found,
@@ -303,14 +307,6 @@ def _sketches(df: DataFrame) -> FusedScan:
     return scan
 
 
-def _value_counts(df: DataFrame, short: list[str]) -> dict:
-    """Distinct normalised values of columns known to hold at most MAX_SPELLINGS spellings."""
-    if not short:
-        return {}
-    values = short_lists(df, short).groupBy("i").agg(F.expr(f"count(DISTINCT {folded('v')}) AS n"))
-    return {(short[r["i"]], "values"): r["n"] for r in values.collect()}
-
-
 # ------------------------------------------------------------------ dimensions
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevet.operators.checks import negative_checks
@@ -15,6 +17,7 @@ from tablevet.plans.increments import Profile, append_part, score_states
 from tablevet.plans.score import ScoreResult, score
 from tablevet.registry import oracles
 from tablevet.registry.queries import ACTIVE_RULES, DIRTY_AS_OF, EVENTS_AS_OF, dirty_orders, table
+from tablevet.sources.footers import parquet_null_profile, parquet_numeric_profile
 from tablevet.sources.scratch import scratch_dir, staged
 from tablevet.streaming.windows import keep_windows, latest_windows, windowed_counts
 
@@ -126,8 +129,33 @@ def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_rows(orders, 500, by=["o_custkey", "o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+# ------------------------------------------------------------------ footers
+
+
+def footer_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null counts of four tables, read off their files' footers where those can tell."""
+    parts = [
+        parquet_null_profile(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("table_name"), "*") for t in _PROFILED
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def footer_numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of three tables' numbers, read off footers where those can tell."""
+    parts = [
+        parquet_numeric_profile(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("table_name"), "*")
+        for t in ("lineitem", "part", "customer")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_PROFILED = ("orders", "customer", "documents", "events")
+
+
 def growing_queries() -> dict:
     return {
+        "footer_null_profile": footer_null_profile,
+        "footer_numeric_profile": footer_numeric_profile,
         "merged_dimensions": merged_dimensions,
         "merged_issues": merged_issues,
         "duplicates_approx": duplicates_approx,
@@ -158,10 +186,20 @@ def growing_oracles() -> dict[str, str]:
     thirds = "(SELECT count(*) FROM events WHERE CAST(ts AS DATE) = run AND event_id % 3 = 0)"
     last = f"(SELECT *, {thirds} AS thirds FROM ({_EXPECTED}) WHERE run = (SELECT max(CAST(ts AS DATE)) FROM events))"
     issues = oracles.dirty(f"SELECT * FROM ({oracles.issue_rows()}) WHERE dimension != 'uniqueness'")
+    nulls = oracles.both(
+        [
+            f"SELECT '{t}' AS table_name, '{c}' AS \"column\", {oracles.count_if(f'{c} IS NULL')} AS null_count, count(*) AS row_count,"
+            f" {oracles.round1(f'(1 - {oracles.count_if(f"{c} IS NULL")} / count(*)) * 100')} AS completeness FROM {t}"
+            for t in _PROFILED
+            for c in oracles.types_of(t)
+        ]
+    )
     dirty_with_rule = oracles.all_oracles()["dimension_scores_with_rule"]
     distinct = oracles.dirty("SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS d FROM dirty")
     return {
         "merged_dimensions": f"SELECT dimension, score, true AS agrees FROM ({dirty_with_rule})",
+        "footer_null_profile": nulls,
+        "footer_numeric_profile": oracles.all_oracles()["numeric_profile"],
         "merged_issues": issues,
         "duplicates_approx": f"SELECT 'dirty_orders' AS table_name, n AS row_count, d AS distinct_rows, true AS close FROM ({distinct})"
         " UNION ALL SELECT 'lineitem', count(*), (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)), true FROM lineitem",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,18 +60,22 @@ def read_csv(
 
     Without ``schema`` one scan finds the type of every column: whole numbers, numbers,
     booleans or text.  ``na_tokens`` read as null.  ``multi_line`` allows line breaks inside
-    quotes; by default a scan for lines with an odd number of quotes decides, for such files
-    cannot be split and are read by one task each.
+    quotes; by default a scan for lines with an odd number of quotes decides file by file, for
+    files with such lines cannot be split and are read by one task each, and all others can.
     """
     sep = sep or sniff_delimiter(spark, path, options)
-    if multi_line is None:
-        multi_line = _has_broken_lines(spark, path, options)
-    reader = spark.read.options(**(options or {})).options(
-        header=True, sep=sep, quote='"', escape='"', multiLine=multi_line
-    )
+    parts = [(path, multi_line)] if multi_line is not None else _by_broken_lines(spark, path, options)
+
+    def cells_of(files: str | list[str], whole: bool, columns: str | None) -> DataFrame:
+        reader = spark.read.options(**(options or {})).options(header=True, sep=sep, quote='"', escape='"', multiLine=whole)
+        return reader.schema(columns).csv(files) if columns else reader.options(inferSchema=False).csv(files)
+
+    text = cells_of(*parts[0], schema)
+    if len(parts) > 1:
+        names = schema or ", ".join(f"{quote_name(c)} STRING" for c in text.columns)
+        text = text.union(cells_of(*parts[1], names))
     if schema:
-        return reader.schema(schema).csv(path)
-    text = reader.options(inferSchema=False).csv(path)
+        return text
     tokens = ", ".join(sql_text(t) for t in na_tokens)
     cells = {c: f"IF({quote_name(c)} IN ({tokens}), NULL, {quote_name(c)})" for c in text.columns}
     scan = FusedScan()
@@ -105,9 +109,22 @@ def _column_type(found: dict, c: str) -> str:
     return "{0}"
 
 
-def _has_broken_lines(spark: SparkSession, path: str, options: dict[str, str] | None) -> bool:
+def _by_broken_lines(
+    spark: SparkSession, path: str, options: dict[str, str] | None
+) -> list[tuple[str | list[str], bool]]:
+    """The files to be read line by line and those to be read whole, as (paths, whole)."""
     lines = spark.read.options(**(options or {})).text(path)
-    return not lines.filter(f"{occurrences('value', chr(34))} % 2 = 1").isEmpty()
+    odd = lines.filter(f"{occurrences('value', chr(34))} % 2 = 1")
+    broken = {unquote(r.file) for r in odd.selectExpr("_metadata.file_path AS file").distinct().collect()}
+    if not broken:
+        return [(path, False)]
+    others = sorted(f for f in map(unquote, lines.inputFiles()) if _plain(f) not in map(_plain, broken))
+    return [(others, False), (sorted(broken), True)] if others else [(path, True)]
+
+
+def _plain(file: str) -> str:
+    """A file's URI, of which several spellings mean the same: ``file:/a`` and ``file:///a``."""
+    return re.sub(r"^(\w+):/+", r"\1:/", file)
 
 
 def sniff_delimiter(
@@ -126,7 +143,7 @@ def sniff_delimiter(
     if not files:
         return ","
     # every line has its line feed, so this many lines always reach the number of characters
-    lines = reader.text(files[0]).limit(SNIFF_CHARS)
+    lines = reader.text(unquote(files[0])).limit(SNIFF_CHARS)
     head, size = [], 0
     for row in lines.selectExpr(f"substring(value, 1, {SNIFF_CHARS}) AS line").toLocalIterator():
         head.append(row["line"])

@@ -55,6 +55,9 @@ def give_back(spark: SparkSession, paths: Iterable[str]) -> None:
 
     Each is written over with an empty table, which Spark does on any file system it can write to.
     """
+    paths = list(paths)
+    if not paths:
+        return
     empty = spark.createDataFrame([], "nothing int").coalesce(1)
     for path in paths:
         empty.write.mode("overwrite").parquet(path)

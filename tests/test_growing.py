@@ -216,3 +216,34 @@ def test_samples_do_not_depend_on_order(spark):
     assert sample_rows(df, 0).count() == 0 and sample_rows(df, 5_000).count() == 2_000
     with pytest.raises(ValueError):
         sample_rows(df, 3, by=["nothing"])
+
+
+# ---------------------------------------------------------------- footers
+
+
+def test_footers_answer_without_a_data_page(spark, tmp_path):
+    from tablevet.operators.checks import null_profile, numeric_profile
+    from tablevet.sources.footers import footer_frame, parquet_null_profile, parquet_numeric_profile, pushed_aggregates
+
+    path = str(tmp_path / "t")
+    df = spark.range(1_000).selectExpr(
+        "IF(id % 3 = 0, NULL, id) AS a", "CAST(-1 - id % 5 AS INT) AS b", "CAST(id % 7 - 3 AS SMALLINT) AS c", "CAST(NULL AS BIGINT) AS d",
+        "IF(id % 4 = 0, double('NaN'), IF(id % 4 = 1, NULL, id - 10e0)) AS e", "IF(id % 9 = 0, NULL, 'x') AS f", "array(id) AS g",
+        "CAST(id AS DECIMAL(9, 2)) AS h", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS i",
+    )
+    df.repartition(3).write.parquet(path)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    from tablevet.functions.values import normalize
+
+    plain = normalize(spark.read.parquet(path))
+    assert rows(parquet_null_profile(spark, path)) == rows(null_profile(plain))
+    assert rows(parquet_numeric_profile(spark, path)) == rows(numeric_profile(plain))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    with pushed_aggregates(spark):
+        plan = footer_frame(spark, path, ["count(*)", "count(`a`)", "min(`b`)", "max(`b`)", "count(`f`)", "count(`i`)"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(a), MIN(b), MAX(b), COUNT(f), COUNT(i)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    empty = str(tmp_path / "e")
+    df.limit(0).write.parquet(empty)
+    assert rows(parquet_null_profile(spark, empty)) == rows(null_profile(normalize(spark.read.parquet(empty))))
+    assert rows(parquet_numeric_profile(spark, empty)) == rows(numeric_profile(normalize(spark.read.parquet(empty))))

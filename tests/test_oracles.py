@@ -3,14 +3,15 @@
 import pytest
 
 from __spark_entry__ import entry
+from tablevet.registry.details import detail_oracles, detail_queries
 from tablevet.registry.growing import growing_oracles, growing_queries
 from tablevet.registry.oracles import all_oracles
 from tablevet.registry.queries import all_queries
 from tablevet.registry.variants import variant_oracles, variant_queries
 from tests.oracle import connect, spark_result, sql_result
 
-QUERIES = all_queries() | variant_queries() | growing_queries()
-ORACLES = all_oracles() | variant_oracles() | growing_oracles()
+QUERIES = all_queries() | variant_queries() | growing_queries() | detail_queries()
+ORACLES = all_oracles() | variant_oracles() | growing_oracles() | detail_oracles()
 
 
 @pytest.fixture(scope="module")

@@ -328,7 +328,7 @@ def test_sketches_come_close(spark, sf_dir):
     df = dirty_orders(spark, sf_dir)
     exact = dirty_score(spark, sf_dir)
     rough = score(df, "dirty_orders", None, 720, datetime(2002, 1, 2), exact=False)
-    assert rough.scores["uniqueness"] == exact.scores["uniqueness"]
+    assert rough.scores["uniqueness"] == pytest.approx(exact.scores["uniqueness"], abs=2)  # rows are sketched, error 0.4 %
     for dimension, value in exact.scores.items():
         assert abs(rough.scores[dimension] - value) <= 2
     for a, b in zip(exact.columns, rough.columns):

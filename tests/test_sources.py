@@ -149,3 +149,36 @@ def test_report_is_written_by_table_and_run(spark, tmp_path, fmt):
     assert {(r.table_name, r.run) for r in back.collect()} == {("demo_table", "20240102_030405")}
     assert spark.read.format(fmt).load(written["issues"]).count() == len(result.issues)
     assert report_name("demo.table", at) == "demo_table_20240102_030405"
+
+
+def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
+    from tablevet.sources.files import _by_broken_lines
+
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    for name, body in (("a b.csv", 'k,t\n1,x\n2,"y"\n'), ("c.csv", 'k,t\n3,"two\nlines"\n'), ("d.csv", "k,t\n4,NA\n")):
+        (folder / name).write_text(body)
+    parts = _by_broken_lines(spark, str(folder), None)
+    assert [(len(files), whole) for files, whole in parts] == [(2, False), (1, True)]
+    found = sorted(map(tuple, read_csv(spark, str(folder)).collect()))
+    assert found == [(1, "x"), (2, "y"), (3, "two\nlines"), (4, None)]
+    assert sorted(map(tuple, read_csv(spark, str(folder), sep=",", schema="k int, t string").collect()))[2] == (3, "two\nlines")
+    assert _by_broken_lines(spark, str(folder / "d.csv"), None) == [(str(folder / "d.csv"), False)]
+
+
+def test_staged_copy_is_given_back(spark, tmp_path, monkeypatch):
+    from tablevet.plans import score as plans
+    from tablevet.sources.scratch import booked, staged
+
+    paths = []
+    monkeypatch.setattr(plans, "give_back", lambda s, p: paths.extend(p))
+    plans.score(spark.range(20), stage=True)
+    assert len(paths) == 1 and spark.read.parquet(paths[0]).count() == 20
+    monkeypatch.undo()
+    plans.give_back(spark, paths)
+    assert spark.read.parquet(paths[0]).count() == 0
+    with booked() as outer:
+        with booked() as inner:
+            staged(spark.range(3))
+        staged(spark.range(3))
+    assert len(inner) == 1 and len(outer) == 2
