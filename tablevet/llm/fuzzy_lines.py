@@ -23,7 +23,8 @@ from tablevet.sources.scratch import staged
 SHINGLE = 8
 PERCENT = 80
 BANDS, ROWS = 8, 3  # a pair of similarity 0.8 shares a band with probability 0.997
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
+PARTNERS = 4  # members of a part's largest component that each of its other members is compared with
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -160,7 +161,12 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
 
 
 def _text_key() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("text_key")
+    """128 bits of doc_id and text, as two hashes with different seeds."""
+    parts = (F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")))
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("high"), F.xxhash64(F.lit(2), *parts).alias("low")).alias("text_key")
+
+
+_TEXT_KEY = "struct<high: bigint, low: bigint>"
 
 
 def _may_link(percent: int) -> Column:
@@ -185,6 +191,25 @@ def _similar(pairs: DataFrame, lines: DataFrame, size: int, percent: int) -> Dat
     return pairs.mapInArrow(partial(_verified, size=size, percent=percent), "a bigint, b bigint")
 
 
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, id, of`` of the parts that hold several components, ``of`` being the component."""
+    joined = components(links).withColumnRenamed("node", "id")
+    named = staged(members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of")))
+    several = named.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
+    return staged(named.join(staged(several), "key"))
+
+
+def _with_largest(parts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each line outside its part's largest component with up to ``PARTNERS`` lines of that."""
+    sizes = parts.groupBy("key", "of").agg(F.count("*").alias("n"))
+    largest = staged(sizes.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest")))
+    told = parts.join(largest, "key")
+    slot = F.pmod(F.xxhash64("id"), F.lit(PARTNERS))
+    partners = staged(told.filter("of = largest").groupBy("key", slot.alias("slot")).agg(F.min("id").alias("partner")))
+    pairs = told.filter("of != largest").select("key", "id").join(partners, "key")
+    return pairs.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
+
+
 def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, text_key, line_no, kept, first_doc_id, first_line_no`` for every line of every text.
 
@@ -194,15 +219,17 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     shorter than a shingle is one shingle; blank lines are left alone: each is kept.  A null text is one
     blank line.  ``text_key`` is a hash of doc_id and text: equal rows count once.
 
-    In a band, lines are first compared with the one that has most equal copies; where several
-    components are left in a band, all its pairs of different components are compared, by parity
-    sketches that rule out nearly all pairs below the similarity, and never one that reaches it.
+    In a band, lines are first compared with the one that has most equal copies.  Where several
+    components are left in a band, lines outside its largest are compared with a few of that one; then, where
+    several are left still, all pairs of different components, by parity sketches that rule out
+    nearly all pairs below the similarity, and never one that reaches it.  Lines that do link are few
+    components by then, so a band of many near copies does not come to all its pairs.
     """
     texts = docs.select("doc_id", "text", _text_key())
     task = partial(_signed_lines, size=size, bands=bands, rows=rows)
     lines = staged(
         texts.mapInArrow(
-            task, "doc_id bigint, text_key bigint, line_no int, one bigint, two bigint, blank boolean, bands array<bigint>"
+            task, f"doc_id bigint, text_key {_TEXT_KEY}, line_no int, one bigint, two bigint, blank boolean, bands array<bigint>"
         )
     )
     place = F.struct("doc_id", "text_key", "line_no")
@@ -210,10 +237,10 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         F.min(place).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands")
     )
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()))
-    parts = classes.select(F.explode("bands").alias("key"), "id", "copies")
+    # one shuffle of the bands, for the grouping and for the join: both use the same columns
+    parts = classes.select(F.explode("bands").alias("key"), "id", "copies").repartition("key")
     shared = parts.groupBy("key").agg(F.max_by("id", "copies").alias("pivot"), F.count("*").alias("n"))
-    shared = staged(shared.filter("n > 1").select("key", "pivot"))
-    members = staged(parts.select("key", "id").join(shared, "key"))
+    members = staged(parts.join(shared.filter("n > 1").select("key", "pivot"), "key"))
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
     stars = staged(members.filter("id != pivot").select(*pair).distinct())
 
@@ -225,11 +252,10 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     found = staged(found.dropDuplicates(["id"]))
 
     links = staged(_similar(stars, found, size, percent))
-    joined = components(links).withColumnRenamed("node", "id")
-    named = staged(members.drop("pivot").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of")))
-    several = named.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
-    open_ = named.join(staged(several), "key").join(found.select("id", "n", "sketch"), "id")
-    open_ = staged(open_)
+    members = members.select("key", "id")
+    members = _open(members, links)
+    links = staged(links.union(_similar(staged(_with_largest(members)), found, size, percent)))
+    open_ = staged(_open(members.select("key", "id"), links).join(found.select("id", "n", "sketch"), "id"))
     left, right = (_side(open_, side, "key", "of", "n", "sketch") for side in "ab")
     both = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of"))
     rest = left.join(right, both & _may_link(percent)).select("a", "b").distinct()

@@ -6,12 +6,13 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablevet.llm import bpe, kneser_ney, ppm
+from tablevet.llm import bpe, fuzzy_lines, kneser_ney, ppm
 from tablevet.llm.bytegrams import gram_counts, with_scores
 from tablevet.llm.decontaminate import benchmark_hits
 from tablevet.llm.fuzzy_lines import line_components, without_repeated_lines
@@ -486,3 +487,61 @@ def test_decontamination_edge_cases(spark):
     assert found == {0: [], 1: [], 2: [], 3: [1], 4: [1], 5: [1], 6: [1]}
     assert benchmark_hits(df.limit(0), bench).collect() == []
     assert all(r.item_ids == [] for r in benchmark_hits(df, bench.limit(0)).collect())
+
+
+# ---------------------------------------------------------------- bands and keys
+
+
+def full_distance(item, region):
+    row = [0] * (len(region) + 1)
+    for i, sign in enumerate(item):
+        new = [i + 1]
+        for j, other in enumerate(region):
+            new.append(min(row[j] + (sign != other), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_band_holds_every_alignment_within_the_budget():
+    from tablevet.llm.decontaminate import band_width, banded_distance
+
+    rng = random.Random(12)
+    for _ in range(400):
+        item = np.array([rng.randrange(3) for _ in range(rng.randrange(1, 25))], np.uint32)
+        region = [rng.randrange(3) for _ in range(rng.randrange(0, 12))]
+        at = rng.randrange(len(region) + 1)
+        copy = [x for x in item.tolist() if rng.random() > 0.1]
+        region = np.array(region[:at] + copy + region[at:], np.uint32)
+        for budget in (0, 1, 3, 6):
+            assert banded_distance(item, region, budget) == min(full_distance(item.tolist(), region.tolist()), budget + 1)
+    assert band_width(4000, 4600, 200) * 4000 < 4600 * 4000 / 4
+
+
+def test_half_of_a_text_key_may_collide(spark, monkeypatch):
+    texts = [f"a line of its own, number {i} of many\nand one that all have in common, word for word" for i in range(30)]
+    expected = sorted(r.text for r in without_repeated_lines(frame(spark, texts)).collect())
+    real = fuzzy_lines._text_key
+    stub = lambda: F.struct(F.lit(5).cast("bigint").alias("high"), real().getField("low").alias("low")).alias("text_key")
+    monkeypatch.setattr(fuzzy_lines, "_text_key", stub)
+    assert sorted(r.text for r in without_repeated_lines(frame(spark, texts)).collect()) == expected
+    assert len(expected) == 30
+
+
+def test_bands_of_many_near_lines_that_do_not_all_link(spark):
+    """Long lines around the limit: a large component, a few others and lines alone, by brute force."""
+    rng = random.Random(21)
+    base = [f"w{i:03d}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(4, 12)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6):06d}"
+        texts.append(" ".join(words))
+    found = {r.doc_id: r.first_doc_id for r in line_components(frame(spark, texts)).collect()}
+    sets = {i: {t[j : j + 8] for j in range(len(t) - 7)} for i, t in enumerate(texts)}
+    union = Union()
+    for a, b in links(sets, 80):
+        union.join(a, b)
+    expected = {i: union.root(i) for i in sets}
+    assert sum(found[i] == expected[i] for i in sets) >= 0.99 * len(sets)  # a pair at the limit may share no band
+    assert all(union.root(found[i]) == union.root(i) for i in sets)
