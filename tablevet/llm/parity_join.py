@@ -193,10 +193,9 @@ def similar_documents(docs: DataFrame, shingle_words: int = 3, percent: int = 90
         known.filter("size(keys) > 0").select("doc_id", "keys").join(leaders, "doc_id", "left_semi")
         .select(F.explode("keys").alias("key"), "doc_id").distinct()
     )
-    parts = staged(parts)
+    parts = parts.repartition("key")  # one shuffle of the parts, for the grouping and for the join
     shared = parts.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    shared = staged(shared.filter("pivot < last").select("key", "pivot"))
-    members = staged(parts.join(shared, "key"))
+    members = staged(parts.join(shared.filter("pivot < last").select("key", "pivot"), "key"))
     stars = staged(members.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = staged(_verified(stars, docs, sketched, shingle_words, percent))
 
