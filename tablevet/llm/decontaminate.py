@@ -129,21 +129,31 @@ class _Index:
         return list(zip(rows[0][good].tolist(), rows[1][good].tolist(), first[good].tolist()))
 
 
+def band_width(item: int, region: int, budget: int) -> int:
+    """Diagonals that alignments of at most ``budget`` edits can touch."""
+    return max(0, region - item + 2 * budget + 1)
+
+
 def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> int:
     """Smallest edit distance between ``item`` and any part of ``region``; ``budget + 1`` if larger.
 
-    The region is as long as the item and a few diagonals more, so the table is one band.
+    Only the diagonals of the band are filled: a part begins and ends inside the region, so the
+    diagonal of an alignment lies from 0 to the difference of the lengths, give or take one for each edit.
     """
-    steps = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
+    width, far = band_width(len(item), len(region), budget), budget + 1
+    if not width:
+        return far
+    outside = np.full(budget, -1, np.int64)
+    signs = np.concatenate([outside, region.astype(np.int64), outside])
+    steps = np.arange(width)
+    row = np.where((steps >= budget) & (steps <= budget + len(region)), 0, far)
     for i, sign in enumerate(item):
-        new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (region != sign), row[1:] + 1)
+        new = row + (signs[i : i + width] != sign)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         row = np.minimum.accumulate(new - steps) + steps
         if row.min() > budget:
-            return budget + 1
-    return int(row.min())
+            return far
+    return int(min(row.min(), far))
 
 
 def _indexes(ids: list[int], texts: list[str]) -> list[_Index]:
