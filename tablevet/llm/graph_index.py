@@ -4,8 +4,10 @@ Vectors are dealt to shards of bounded size by a hash.  Every shard is a graph:
 batches, a greedy search for each point over the graph so far proposes neighbours, and pruning
 keeps a candidate only if no nearer neighbour that was kept is ``slack`` times nearer to it, so
 that edges point in different directions.  Edges are made in both directions and pruned again
-where a point has too many.  A beam search for each query over each shard gives candidates,
-whose inner products are then taken in double precision.
+where a point has too many.  A beam search for each query over each shard gives candidates; the best
+of all shards, and a few more, meet the original vectors in a join, and their inner products are taken in
+double precision.  Graphs hold single-precision copies, scaled so that the largest component is 1: they
+only guide the search, whatever finite size the components have.
 
 The largest inner product becomes the smallest distance by one more coordinate, which gives all
 vectors the same length.  Equal vectors are one point of the graph with a list of ids.
@@ -28,8 +30,10 @@ DEGREE = 32
 BEAM = 64
 SEARCH_BEAM = 96
 SLACK = 1.2
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048  # queries that meet a shard at once: each block takes a copy of every shard through the shuffle
+MORE = 12  # candidates beyond k that are scored exactly, for the search scores in single precision
 _BATCH = 512
+_MOST_POINTS = 1 << 15  # point numbers are stored in 16 bits
 
 
 def _beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +58,9 @@ def _beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.
         new = next_ >= 0
         next_ = np.where(new, next_, 0)
         new &= ~seen[live[:, None], next_]
-        # the same point may be listed once only in a row of edges
-        seen[live[:, None], next_] |= new
+        # only what is new is marked: a place without an edge stands for point 0, which it must not unmark
+        row, place = np.nonzero(new)
+        seen[live[row], next_[row, place]] = True
         away = ((points[next_] - queries[live][:, None, :]) ** 2).sum(2)
         away = np.where(new, away, np.inf).astype(np.float32)
         all_near = np.concatenate([near[live], away], axis=1)
@@ -146,8 +151,10 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, slac
     return edges, start
 
 
-def _graph(group: pd.DataFrame, largest: float) -> pd.DataFrame:
-    points = np.stack(group["vector"].to_numpy()).astype(np.float32)
+def _graph(group: pd.DataFrame, scale: float, largest: float) -> pd.DataFrame:
+    if len(group) > _MOST_POINTS:
+        raise ValueError(f"a shard of {len(group)} points: at most {_MOST_POINTS} can be numbered")
+    points = (np.stack(group["vector"].to_numpy()).astype(np.float64) / scale).astype(np.float32)
     rest = np.sqrt(np.maximum(0, largest - (points.astype(np.float64) ** 2).sum(1))).astype(np.float32)
     points = np.concatenate([points, rest[:, None]], axis=1)
     edges, start = build_graph(points)
@@ -177,7 +184,8 @@ def _query_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
                 )
 
 
-def _searched(group: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
+def _searched(group: pd.DataFrame, most: int, beam: int) -> pd.DataFrame:
+    """The best ``most`` points of a shard for each query of a block; scores compare within a query only."""
     out = []
     for row in group.itertuples():
         dims = row.dims
@@ -185,17 +193,19 @@ def _searched(group: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
         edges = np.frombuffer(row.edges, np.int16).reshape(len(points), -1).astype(np.int64)
         classes = np.frombuffer(row.classes, np.int64)
         ids = np.frombuffer(row.query_ids, np.int64)
-        queries = np.frombuffer(row.queries, np.float64).reshape(-1, dims)
-        flat = np.concatenate([queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)], axis=1)
-        found, _ = _beam_search(points, edges, row.start, flat, max(beam, k + 1))
-        scores = np.einsum("qkd,qd->qk", points[found][:, :, :dims].astype(np.float64), queries)
-        scores = np.where(found < 0, -np.inf, scores)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-        line = np.arange(len(queries))[:, None]
-        good = found[line, best] >= 0
-        out.append(
-            pd.DataFrame({"query_id": np.repeat(ids, good.sum(1)), "class": classes[found[line, best][good]], "score": scores[line, best][good]})
-        )
+        every = np.frombuffer(row.queries, np.float64).reshape(-1, dims)
+        every = every / np.abs(every).max(1, keepdims=True)  # the length of a query changes no order
+        for i in range(0, len(every), _BATCH):
+            queries = every[i : i + _BATCH]
+            flat = np.concatenate([queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)], axis=1)
+            found, _ = _beam_search(points, edges, row.start, flat, max(beam, most))
+            scores = np.einsum("qkd,qd->qk", points[found][:, :, :dims].astype(np.float64), queries)
+            scores = np.where(found < 0, -np.inf, scores)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+            line = np.arange(len(queries))[:, None]
+            good = found[line, best] >= 0
+            own = np.repeat(ids[i : i + _BATCH], good.sum(1))
+            out.append(pd.DataFrame({"query_id": own, "class": classes[found[line, best][good]], "score": scores[line, best][good]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "class": [], "score": []})
 
 
@@ -208,8 +218,8 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("vector"), F.size(x).alias("dims"))
 
 
-def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS) -> tuple[DataFrame, DataFrame]:
-    """(graphs, members): one graph for each shard, and each class's ``k + 1`` smallest ids.
+def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graphs, leaders, members): one graph for each shard, each class's vector, and its ``k + 1`` smallest ids.
 
     A class is a set of equal vectors; its name is its smallest id.  No answer of ``k`` rows can
     need more of its ids.  Two rounds, the first over salted parts, keep a class of any size out
@@ -222,13 +232,15 @@ def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS) ->
     whole = Window.partitionBy(*same).orderBy("vec_id")
     few = staged(few.withColumn("nth", F.row_number().over(whole)).filter(F.col("nth") <= k + 1).withColumn("class", F.first("vec_id").over(whole)))
     leaders = few.filter("nth = 1").select("class", "vector", "dims")
-    squared = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    count, largest = leaders.agg(F.count("*"), F.max(squared)).first()
+    count, scale = leaders.agg(F.count("*"), F.max(F.array_max(F.transform("vector", lambda v: F.abs(v.cast("double")))))).first()
+    scale = float(scale or 1)
+    squared = F.aggregate("vector", F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") / scale, F.lit(2.0)))
+    largest = leaders.agg(F.max(squared)).first()[0]
     shards = max(1, -(-count // shard_points))
     dealt = leaders.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int"))
     schema = "dims int, shard int, start int, points binary, edges binary, classes binary"
-    graphs = dealt.groupBy("dims", "shard").applyInPandas(partial(_graph, largest=float(largest or 0)), schema)
-    return staged(graphs), few.select("class", "vec_id")
+    graphs = dealt.groupBy("dims", "shard").applyInPandas(partial(_graph, scale=scale, largest=float(largest or 0)), schema)
+    return staged(graphs), leaders, few.select("class", "vec_id")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, shard_points: int = SHARD_POINTS) -> DataFrame:
@@ -237,19 +249,25 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
     ``rows`` and ``queries`` have ``vec_id, embedding``; a query's own id is no answer.  Ties go to
     the smaller vec_id; a query with fewer candidates gets all that were found.  Vectors that are
     null, zero or hold null or non-finite components, and null ids, take no part; vectors of other
-    dimensions than the query's are no candidates; repeated ids are one row.
+    dimensions than the query's are no candidates; repeated ids are one row.  Scores are inner products
+    of the original vectors in double precision; other columns are left out.
     """
     vectors = usable_vectors(rows).dropDuplicates(["vec_id"])
-    graphs, members = build_index(vectors, k, shard_points)
-    asked = usable_vectors(queries).dropDuplicates(["vec_id"])
-    blocks = asked.repartition("dims").mapInArrow(partial(_query_blocks, size=QUERY_BLOCK), "dims int, query_ids binary, queries binary")
+    graphs, leaders, members = build_index(vectors, k, shard_points)
+    asked = staged(usable_vectors(queries).dropDuplicates(["vec_id"]))
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = asked.repartition(parts, "vec_id").mapInArrow(partial(_query_blocks, size=QUERY_BLOCK), "dims int, query_ids binary, queries binary")
     blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()))
     pairs = blocks.join(graphs, "dims")
     found = pairs.groupBy("block", "shard").applyInPandas(
-        partial(_searched, k=k, beam=beam), "query_id bigint, class bigint, score double"
+        partial(_searched, most=k + 1 + MORE, beam=beam), "query_id bigint, class bigint, score double"
     )
     nearness = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
-    found = staged(found).withColumn("n", F.row_number().over(nearness)).filter(F.col("n") <= k + 1)
+    found = staged(found).withColumn("n", F.row_number().over(nearness)).filter(F.col("n") <= k + 1 + MORE)
+    exact = "aggregate(zip_with(vector, query, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v)"
+    found = found.select("query_id", "class").join(leaders.select("class", "vector"), "class")
+    found = found.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+    found = found.select("query_id", "class", F.expr(exact).alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.join(members, "class").filter("vec_id != query_id").withColumn("rank", F.row_number().over(rank))
     return out.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -146,6 +146,27 @@ def test_nearest_of_equal_and_unusable_vectors(spark):
     assert graph_index.nearest(df, df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("size", [1e30, 1e-30, 1.0])
+def test_nearest_of_doubles_of_any_size_in_several_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(graph_index, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(400, 10)) * rng.uniform(0.3, 2, size=(400, 1)) * size
+    df = spark.createDataFrame([(i, v.tolist(), "q", 1.0) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>, query string, rank double")
+    found = graph_index.nearest(df, df.filter("vec_id % 4 = 0"), k=15, shard_points=90).toPandas()
+    assert found.groupby("query_id").size().tolist() == [15] * 100
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        own = own.sort_values("rank")
+        assert np.allclose(own.score, vectors[own.vec_id.to_numpy()] @ vectors[q], rtol=1e-12)
+        hits += len(set(own.vec_id) & set(exact_nearest(np.arange(400), vectors, q, 15)))
+    assert hits / (15 * 100) >= 0.9
+
+
+def test_a_shard_beyond_its_numbers_is_refused():
+    with pytest.raises(ValueError):
+        graph_index._graph(range((1 << 15) + 1), 1.0, 1.0)
+
+
 # ---------------------------------------------------------------- op9
 
 
