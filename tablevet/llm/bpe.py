@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain, repeat
+from itertools import repeat
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -65,13 +66,15 @@ class Vocabulary:
         self.endings = ahocorasick.Automaton()
         for text, i in raw.items():
             if len(text) == 1 or i in self.parts:
-                self.endings.add_word(text, (i, len(text)))
+                self.endings.add_word(text, (i, len(text), {}))
         self.endings.make_automaton()
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.piece_ids = lru_cache(cached_words)(self.encode_piece)
-        self.words: dict[str, list[int]] = {}  # ids of a space and the word
-        self.older: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.size_of = {i: len(text) for text, i in raw.items()}
+        self.after = [known for _, _, known in self.endings.values()]  # by second token: whether it may follow a first one
+        self.known_pairs = 0
+        self.piece_ids = lru_cache(cached_words)(self._packed_piece)
+        self.words: dict[str, bytes] = {}  # ids of a space and the word, four bytes each
+        self.older: dict[str, bytes] = {}
         self.edges: dict[int, tuple[list, list]] = {}
 
     def _edges(self, token: int) -> tuple[list, list]:
@@ -106,37 +109,42 @@ class Vocabulary:
             if b_until <= a_until:
                 j += 1
 
-    def compatible(self, first: int, second: int) -> bool:
-        key = first << 32 | second
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= self.most_pairs:
-                self.pairs.clear()
-            known = self.pairs[key] = self._apart(first, second)
-        return known
+    def compatible(self, first: int, second: int, known: dict[int, bool]) -> bool:
+        if self.known_pairs >= self.most_pairs:
+            for own in self.after:
+                own.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        fits = known[first] = self._apart(first, second)
+        return fits
 
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece if piece.isascii() else piece.encode().decode("latin-1")
         size = len(raw)
-        last, starts, pairs = [0] * size, [-1] * size, self.pairs
-        for at, (token, length) in self.endings.iter(raw):
-            if starts[at] < 0:
-                start = at + 1 - length
-                if start:
-                    key = last[start - 1] << 32 | token
-                    fits = pairs.get(key)
-                    if not (self.compatible(last[start - 1], token) if fits is None else fits):
-                        continue
-                last[at], starts[at] = token, start
-        ids, end = [], size
-        while end:
-            ids.append(last[end - 1])
-            end = starts[end - 1]
+        last, done = [0] * size, -1  # the last token of every prefix
+        for at, (token, length, known) in self.endings.iter(raw):
+            if at == done:
+                continue
+            start = at - length
+            if start >= 0:
+                before = last[start]
+                fits = known.get(before)
+                if not (self.compatible(before, token, known) if fits is None else fits):
+                    continue
+            last[at], done = token, at
+        ids, end, size_of = [], size - 1, self.size_of
+        while end >= 0:
+            ids.append(token := last[end])
+            end -= size_of[token]
         ids.reverse()
         return ids
 
-    def _pieces(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece_ids, PIECES.findall(text))))
+    def _packed_piece(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece)
+        return pack(f"{len(ids)}i", *ids)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece_ids, PIECES.findall(text)))
 
     def _learn(self, words: list[str]) -> bool:
         """Take the words into the cache; false if one of them is not cut off by single spaces."""
@@ -145,33 +153,30 @@ class Vocabulary:
             if ids is None:
                 if not word or word[0].isspace() or word[-1].isspace():
                     return False
-                ids = self._pieces(" " + word)
+                ids = self.piece_ids(" " + word) if word.isascii() and word.isalpha() else self._pieces(" " + word)
             self.words[word] = ids
         return True
 
-    def _ids(self, text: str) -> list[int]:
+    def _ids(self, text: str) -> bytes:
         """A piece never goes on over a space that has other signs on both sides."""
         head, *words = text.split(" ")
+        if words and (not head or head[-1].isspace()):
+            return self._pieces(text)
         if len(self.words) > self.most_words:
             self.words, self.older = {}, self.words
-        try:
-            rest = list(chain.from_iterable(map(self.words.__getitem__, words)))
-        except KeyError:
-            if not self._learn(words):
-                return self._pieces(text)
-            rest = list(chain.from_iterable(map(self.words.__getitem__, words)))
-        if words and (not head or head[-1].isspace()):
+        if not self._learn(words):
             return self._pieces(text)
-        return self._pieces(head) + rest
+        return self._pieces(head) + b"".join(map(self.words.__getitem__, words))
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; the strings of special tokens are those tokens."""
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, four bytes each; the strings of special tokens are those tokens."""
         if self.marks is None or not any(map(text.__contains__, self.special)):
             return self._ids(text)
-        out: list[int] = []
-        for part in self.marks.split(text):
-            out += [self.special[part]] if part in self.special else self._ids(part)
-        return out
+        return b"".join(pack("i", self.special[x]) if x in self.special else self._ids(x) for x in self.marks.split(text))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text as :meth:`packed` gives them."""
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 def token_bytes(source: bytes) -> dict[int, bytes]:
@@ -194,12 +199,12 @@ def _encode(
         rest = batch.drop_columns("text")
         for first, data, at in slices(batch.column("text")):
             raw, cuts = data.tobytes(), at.tolist()
-            rows = [vocabulary.encode(raw[a:b].decode()) for a, b in zip(cuts, cuts[1:])]
-            ids = np.fromiter(chain.from_iterable(rows), np.int32)
+            rows = [vocabulary.packed(raw[a:b].decode()) for a, b in zip(cuts, cuts[1:])]
+            ids = np.frombuffer(b"".join(rows), np.int32)
             own = rest.slice(first, len(rows))
-            columns, names = [*own.columns, list_column(ids, np.array([len(r) for r in rows]))], [*own.schema.names, "ids"]
+            columns, names = [*own.columns, list_column(ids, np.array([len(r) // 4 for r in rows]))], [*own.schema.names, "ids"]
             if decoded:
-                columns.append(pa.array([decode_ids(r, bytes_of) for r in rows], pa.string()))
+                columns.append(pa.array([decode_ids(np.frombuffer(r, np.int32).tolist(), bytes_of) for r in rows], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

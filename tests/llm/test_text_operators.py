@@ -545,3 +545,11 @@ def test_bands_of_many_near_lines_that_do_not_all_link(spark):
     expected = {i: union.root(i) for i in sets}
     assert sum(found[i] == expected[i] for i in sets) >= 0.99 * len(sets)  # a pair at the limit may share no band
     assert all(union.root(found[i]) == union.root(i) for i in sets)
+
+
+def test_a_word_keeps_its_ids_as_four_bytes_each():
+    own = bpe.Vocabulary(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")), cached_words=2)
+    for text in ("", "one", " one", "one two, two  three\nfour", "Ci\u00f3n de la ci\u00f3n mente", "a b c d e f a b c"):
+        assert np.frombuffer(own.packed(text), np.int32).tolist() == own.encode(text)
+        assert own.packed(text) == own._pieces(text)
+    assert all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in own.words.values())
