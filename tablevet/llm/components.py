@@ -18,15 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and edges in either direction are fine; a null end makes no edge.
     """
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    current = staged(
-        edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b")
-        .select(low.alias("a"), high.alias("b"))
-        .distinct()
-    )
+    current = _edges(edges)
     sign = _signature(current)
     while True:
-        current = staged(_small_star(_large_star(current)))
+        current = _round(current)
         before, sign = sign, _signature(current)
         if sign == before:
             break
@@ -34,6 +29,33 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
 
 
+def contracted(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges ``a, b`` of the same components after a fixed number of rounds, for more edges to be added."""
+    current = _edges(edges)
+    for _ in range(rounds):
+        current = _round(current)
+    return current
+
+
+def joined_so_far(edges: DataFrame) -> DataFrame:
+    """``node, component`` without further rounds: nodes of one name are joined, though a component may have several."""
+    ends = edges.selectExpr("b AS node", "a AS component").union(edges.selectExpr("a AS node", "a AS component"))
+    return ends.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return staged(
+        edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b")
+        .select(low.alias("a"), high.alias("b"))
+        .distinct()
+    )
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    return staged(_small_star(staged(_large_star(edges))))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.selectExpr("a AS u", "b AS v").union(edges.selectExpr("b AS u", "a AS v"))
     nearest = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))

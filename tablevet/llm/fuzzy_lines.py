@@ -14,9 +14,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablevet.llm.components import components
+from tablevet.llm.components import components, contracted, joined_so_far
 from tablevet.llm.textcodes import blanks, character_hash, characters, let_go, list_column, mix, signed, slices
 from tablevet.sources.scratch import staged
 
@@ -24,8 +24,11 @@ SHINGLE = 8
 PERCENT = 80
 BANDS, ROWS = 8, 3  # a pair of similarity 0.8 shares a band with probability 0.997
 SKETCH_BITS = 1024
+MARKS = 1 << 26  # bits that mark the lines to be read again
+ROUNDS = 2  # of joining components before the last links are known
 PARTNERS = 4  # members of a part's largest component that each of its other members is compared with
 _EMPTY = np.uint64(2**64 - 1)
+_STEP = 0x9E3779B1  # spreads the line numbers of a text over the marks
 
 
 class _Lines:
@@ -105,46 +108,67 @@ def _signed_lines(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows
             )
 
 
+def _distinct(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each of ``n`` rows, in order: rows, and hashes with as many last bits cleared as number the rows."""
+    room = np.uint64(64 - int(n).bit_length())
+    keys = np.sort((rows.astype(np.uint64) << room) | (hashes >> (np.uint64(64) - room)))
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
+    return (keys >> room).astype(np.int64), keys << (np.uint64(64) - room)
+
+
 def _sketches(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of distinct shingles of lines, and the parity of those that hash to each bit."""
     sizes, sketches = [], []
     for _, data, at in slices(column, 1 << 18):
         own, n = _Lines(data, at, size), len(at) - 1
-        hashes = own.hashes ^ mix(own.line_of.astype(np.uint64))
-        _, first = np.unique(hashes, return_index=True)
-        line, bit = own.line_of[first], (own.hashes[first] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        line, found = _distinct(own.line_of, own.hashes, n)
+        bit = ((found >> np.uint64(32)) * np.uint64(SKETCH_BITS) >> np.uint64(32)).astype(np.int64)  # of the first bits, which no row takes
         bits = np.bincount(line * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
         sizes.append(np.bincount(line, minlength=n))
         sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
     return np.concatenate(sizes), np.concatenate(sketches)
 
 
-def _wanted_lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The lines numbered ``line_nos`` of each text, under their ``ids``, with sizes and sketches."""
+def _marked_lines(batches: Iterator[pa.RecordBatch], size: int, marks: bytes) -> Iterator[pa.RecordBatch]:
+    """The lines whose bit of ``marks`` is set, with sizes and sketches."""
     let_go()
+    bits = np.frombuffer(marks, np.uint8)
     for batch in batches:
-        wanted, names = batch.column("line_nos").to_pylist(), batch.column("ids").to_pylist()
-        ids, found = [], []
-        for row, text in enumerate(batch.column("text")):
-            lines = (text.as_py() or "").split("\n")
-            ids += names[row]
-            found += [lines[i] for i in wanted[row]]
-        if ids:
-            column = pa.array(found, pa.string())
+        keys = batch.column("text_key")
+        lines = [(text or "").split("\n") for text in batch.column("text").to_pylist()]
+        counts = np.array([len(x) for x in lines])
+        texts = np.repeat(np.arange(len(lines)), counts)
+        line_no = np.arange(len(texts)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = (keys.field("low").to_numpy(zero_copy_only=False)[texts] ^ (line_no * _STEP)) & (MARKS - 1)
+        hits = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        for start in range(0, len(hits), 4096):
+            own = hits[start : start + 4096]
+            texts_of, numbers = texts[own], line_no[own]
+            column = pa.array([lines[t][i] for t, i in zip(texts_of.tolist(), numbers.tolist())], pa.string())
             sizes, sketches = _sketches(column, size)
-            columns = [pa.array(ids, pa.int64()), column, pa.array(sizes), list_column(sketches, np.full(len(ids), SKETCH_BITS // 64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "n", "sketch"])
+            columns = [keys.take(pa.array(texts_of)), pa.array(numbers.astype(np.int32)), column, pa.array(sizes)]
+            columns.append(list_column(sketches, np.full(len(own), SKETCH_BITS // 64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "line_no", "line", "n", "sketch"])
+
 
+def _marks(wanted: DataFrame) -> bytes:
+    """A bit for each of the wanted lines, ``MARKS`` bits however many there are."""
+    place = F.col("text_key.low").bitwiseXOR(F.col("line_no").cast("bigint") * F.lit(_STEP)).bitwiseAND(F.lit(MARKS - 1))
+    words = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return marks.tobytes()
 
-def _of_pairs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a column of lines, each under a hash with its row: (hashes, rows, numbers by row)."""
+
+def _of_pairs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a column of lines: (rows, hashes)."""
     parts = []
-    for first, data, at in slices(column, 1 << 19):
+    for first, data, at in slices(column, 1 << 17):
         own = _Lines(data, at, size)
-        parts.append((own.hashes, own.line_of + first))
-    hashes, rows = (np.concatenate(x) for x in zip(*parts))
-    keys, first = np.unique(mix(hashes ^ mix(rows.astype(np.uint64))), return_index=True)
-    return keys, rows[first], np.bincount(rows[first], minlength=len(column))
+        parts.append((own.line_of + first, own.hashes))
+    rows, hashes = (np.concatenate(x) for x in zip(*parts))
+    return _distinct(rows, hashes, len(column))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -153,10 +177,10 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             own = batch.slice(start, 2048)
-            left, rows, sizes = _of_pairs(own.column("a_line"), size)
-            right, _, others = _of_pairs(own.column("b_line"), size)
-            common = np.bincount(rows[np.isin(left, right, assume_unique=True)], minlength=own.num_rows)
-            good = pa.array(common * 100 >= (sizes + others - common) * percent)
+            rows, hashes = (np.concatenate(x) for x in zip(*(_of_pairs(own.column(c), size) for c in ("a_line", "b_line"))))
+            total = np.bincount(rows, minlength=own.num_rows)
+            common = total - np.bincount(_distinct(rows, hashes, own.num_rows)[0], minlength=own.num_rows)
+            good = pa.array(common * 100 >= (total - common) * percent)
             yield own.select(["a", "b"]).filter(good)
 
 
@@ -192,8 +216,8 @@ def _similar(pairs: DataFrame, lines: DataFrame, size: int, percent: int) -> Dat
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``key, id, of`` of the parts that hold several components, ``of`` being the component."""
-    joined = components(links).withColumnRenamed("node", "id")
+    """``key, id, of`` of the parts that hold several components, ``of`` being the component as far as joined."""
+    joined = joined_so_far(links).withColumnRenamed("node", "id")
     named = staged(members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of")))
     several = named.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
     return staged(named.join(staged(several), "key"))
@@ -219,8 +243,8 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     shorter than a shingle is one shingle; blank lines are left alone: each is kept.  A null text is one
     blank line.  ``text_key`` is a hash of doc_id and text: equal rows count once.
 
-    In a band, lines are first compared with the one that has most equal copies.  Where several
-    components are left in a band, lines outside its largest are compared with a few of that one; then, where
+    In a band, lines are first compared with one of those that have most equal copies (by powers of
+    two).  Where several components are left in a band, lines outside its largest are compared with a few of that one; then, where
     several are left still, all pairs of different components, by parity sketches that rule out
     nearly all pairs below the similarity, and never one that reaches it.  Lines that do link are few
     components by then, so a band of many near copies does not come to all its pairs.
@@ -236,38 +260,44 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = lines.filter("NOT blank").groupBy("one", "two").agg(
         F.min(place).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands")
     )
-    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()))
-    # one shuffle of the bands, for the grouping and for the join: both use the same columns
-    parts = classes.select(F.explode("bands").alias("key"), "id", "copies").repartition("key")
-    shared = parts.groupBy("key").agg(F.max_by("id", "copies").alias("pivot"), F.count("*").alias("n"))
-    members = staged(parts.join(shared.filter("n > 1").select("key", "pivot"), "key"))
+    # the more copies a class has (by powers of two), the smaller is its id
+    rank = 31 - F.least(F.floor(F.log2("copies")), F.lit(31))
+    classes = staged(classes.withColumn("id", rank * F.lit(1 << 57) + F.monotonically_increasing_id()))
+    parts = classes.select(F.explode("bands").alias("key"), "id")
+    part = Window.partitionBy("key")
+    members = parts.select("key", "id", F.min("id").over(part).alias("pivot"), F.max("id").over(part).alias("last"))
+    members = staged(members.filter("pivot < last").drop("last"))
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
     stars = staged(members.filter("id != pivot").select(*pair).distinct())
 
-    wanted = members.select("id").distinct().join(classes.select("id", "at.text_key", "at.line_no"), "id")
-    wanted = wanted.groupBy("text_key").agg(F.collect_list("line_no").alias("line_nos"), F.collect_list("id").alias("ids"))
-    wanted = staged(wanted)
-    found = texts.join(wanted, "text_key").select("text", "line_nos", "ids")
-    found = found.mapInArrow(partial(_wanted_lines, size=size), "id bigint, line string, n bigint, sketch array<bigint>")
-    found = staged(found.dropDuplicates(["id"]))
-
-    links = staged(_similar(stars, found, size, percent))
-    members = members.select("key", "id")
-    members = _open(members, links)
-    links = staged(links.union(_similar(staged(_with_largest(members)), found, size, percent)))
+    met = classes.select("id", "one", "two", "at").join(members.select("id").distinct(), "id", "left_semi")
+    met = staged(met)
+    wanted = met.select("id", "at.text_key", "at.line_no")
+    task = partial(_marked_lines, size=size, marks=_marks(wanted))
+    found = texts.select("text_key", "text").mapInArrow(
+        task, f"text_key {_TEXT_KEY}, line_no int, line string, n bigint, sketch array<bigint>"
+    )
+    found = found.join(wanted, ["text_key", "line_no"]).dropDuplicates(["text_key", "line_no"])
+    found = staged(found.select("id", "line", "n", "sketch"))
+
+    links = contracted(_similar(stars, found, size, percent), ROUNDS)
+    members = _open(members.select("key", "id"), links)
+    links = contracted(links.union(_similar(staged(_with_largest(members)), found, size, percent)), ROUNDS)
     open_ = staged(_open(members.select("key", "id"), links).join(found.select("id", "n", "sketch"), "id"))
     left, right = (_side(open_, side, "key", "of", "n", "sketch") for side in "ab")
     both = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of"))
     rest = left.join(right, both & _may_link(percent)).select("a", "b").distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"))
-    links = staged(links.union(_similar(rest, found, size, percent)))
+    links = links.union(_similar(rest, found, size, percent))
 
     joined = staged(components(links)).withColumnRenamed("node", "id")
-    named = staged(classes.join(joined, "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component"))
-    firsts = staged(named.groupBy("of").agg(F.min("at").alias("first")))
-    of_class = staged(named.join(firsts, "of").select("one", "two", "first"))
+    named = staged(met.join(joined, "id"))
+    firsts = staged(named.groupBy("component").agg(F.min("at").alias("first")))
+    linked = named.join(firsts, "component").select("one", "two", "first")
+    copied = classes.filter("copies > 1").select("id", "one", "two", F.col("at").alias("first")).join(joined, "id", "left_anti")
+    of_class = staged(linked.unionByName(copied.drop("id")))
     out = lines.drop("bands").join(of_class, ["one", "two"], "left")
-    first = F.when(F.col("blank"), place).otherwise(F.col("first"))
+    first = F.when(F.col("blank") | F.col("first").isNull(), place).otherwise(F.col("first"))
     out = out.withColumn("first", first)
     return out.select(
         "doc_id", "text_key", "line_no", (F.col("first") == place).alias("kept"),

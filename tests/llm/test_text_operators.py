@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -553,3 +554,22 @@ def test_a_word_keeps_its_ids_as_four_bytes_each():
         assert np.frombuffer(own.packed(text), np.int32).tolist() == own.encode(text)
         assert own.packed(text) == own._pieces(text)
     assert all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in own.words.values())
+
+
+def test_sketches_do_not_depend_on_the_lines_beside():
+    lines = [f"line {i} of many that are sketched together, or each alone" for i in range(40)]
+    sizes, sketches = fuzzy_lines._sketches(pa.array(lines), 8)
+    for i, line in enumerate(lines):
+        size, sketch = fuzzy_lines._sketches(pa.array([line]), 8)
+        assert size[0] == sizes[i] == len({line[j : j + 8] for j in range(len(line) - 7)})
+        assert sketch.tolist() == sketches.reshape(len(lines), -1)[i].tolist()
+
+
+def test_only_marked_lines_are_read_again():
+    keys = pa.array([{"high": 1, "low": 77}, {"high": 2, "low": -5}])
+    batch = pa.record_batch({"text_key": keys, "text": pa.array(["first line\nsecond line\nthird line", "other line"])})
+    marks = np.zeros(fuzzy_lines.MARKS, np.uint8)
+    marks[[(77 ^ 2 * fuzzy_lines._STEP) % fuzzy_lines.MARKS, -5 % fuzzy_lines.MARKS]] = 1
+    packed = np.packbits(marks, bitorder="little").tobytes()
+    found = [r for out in fuzzy_lines._marked_lines(iter([batch]), 8, packed) for r in out.to_pylist()]
+    assert [(r["text_key"]["high"], r["line_no"], r["line"]) for r in found] == [(1, 2, "third line"), (2, 0, "other line")]
