@@ -21,7 +21,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablevet.llm.components import components
 from tablevet.llm.textcodes import let_go, list_column, mix, shingle_hashes, signed, slices, word_hashes
@@ -144,18 +144,18 @@ def _hamming() -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the stored pairs ``a, b`` whose sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(staged(ids), "doc_id", "left_semi").mapInArrow(
-        partial(_element_lists, size=size), "doc_id bigint, elements array<bigint>"
-    )
-    sets = staged(sets)
+    """Those of the stored pairs ``a, b`` whose sets are similar enough; only sets that their sketches leave open are read."""
     near = pairs
     for side in "ab":
         own = sketched.filter("size(keys) > 0").selectExpr(f"doc_id AS {side}", f"n_shingles AS {side}_n", f"sketch AS {side}_sketch")
         near = near.join(own, side)
     total = F.col("a_n") + F.col("b_n")
     near = staged(near.filter(_hamming() * (100 + percent) <= total * (100 - percent)).select("a", "b").distinct())
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    sets = docs.join(staged(ids), "doc_id", "left_semi").mapInArrow(
+        partial(_element_lists, size=size), "doc_id bigint, elements array<bigint>"
+    )
+    sets = staged(sets)
     for side in "ab":
         near = near.join(sets.selectExpr(f"doc_id AS {side}", f"elements AS {side}_set"), side)
     common = F.size(F.array_intersect("a_set", "b_set")).cast("bigint")
@@ -186,16 +186,14 @@ def similar_documents(docs: DataFrame, shingle_words: int = 3, percent: int = 90
     )
     same = ["one", "two", "n_shingles"]
     known = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(known.groupBy(*same).agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")))
-
-    leaders = classes.select(F.col("class").alias("doc_id")).distinct()
-    parts = (
-        known.filter("size(keys) > 0").select("doc_id", "keys").join(leaders, "doc_id", "left_semi")
-        .select(F.explode("keys").alias("key"), "doc_id").distinct()
-    )
-    parts = parts.repartition("key")  # one shuffle of the parts, for the grouping and for the join
-    shared = parts.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    members = staged(parts.join(shared.filter("pivot < last").select("key", "pivot"), "key"))
+    classes = staged(known.groupBy(*same).agg(F.min("doc_id").alias("class")))
+
+    # a class is one row here, so its parts need no further shuffle than the one by key
+    keyed = known.filter("size(keys) > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    parts = keyed.select(F.explode("keys").alias("key"), "doc_id")
+    part = Window.partitionBy("key")
+    members = parts.select("key", "doc_id", F.min("doc_id").over(part).alias("pivot"), F.max("doc_id").over(part).alias("last"))
+    members = staged(members.filter("pivot < last").drop("last"))
     stars = staged(members.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = staged(_verified(stars, docs, sketched, shingle_words, percent))
 
@@ -207,7 +205,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 3, percent: int = 90
     own_links = named.join(repeated, "doc_id", "left_semi").selectExpr("class AS a", "doc_id AS b")
     found = staged(components(links.union(own_links)))
 
-    out = sketched.join(classes.drop("copies"), same, "left")
+    out = sketched.join(classes, same, "left")
     out = out.join(found.withColumnRenamed("node", "class"), "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id")).alias("component_id"))
 
