@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablevet.llm.components import components, contracted, joined_so_far
-from tablevet.llm.textcodes import blanks, character_hash, characters, let_go, list_column, mix, signed, slices
+from tablevet.llm.textcodes import SLICE_BYTES, blanks, character_hash, characters, let_go, list_column, mix, signed, slices, text_arrays
 from tablevet.sources.scratch import staged
 
 SHINGLE = 8
@@ -27,6 +27,7 @@ SKETCH_BITS = 1024
 MARKS = 1 << 26  # bits that mark the lines to be read again
 ROUNDS = 2  # of joining components before the last links are known
 PARTNERS = 4  # members of a part's largest component that each of its other members is compared with
+PIECE = 1 << 18  # bytes of lines whose shingles a task holds at once, or one pair of longer lines
 _EMPTY = np.uint64(2**64 - 1)
 _STEP = 0x9E3779B1  # spreads the line numbers of a text over the marks
 
@@ -88,6 +89,16 @@ class _Lines:
         return keys
 
 
+def _pieces(batch: pa.RecordBatch, columns: list[str], budget: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold at most ``budget`` bytes in the given string columns, or one row that holds more."""
+    at = sum(text_arrays(batch.column(c))[1] for c in columns)
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + budget, side="right")) - 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def _signed_lines(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     let_go()
     names = ["doc_id", "text_key", "line_no", "one", "two", "blank", "bands"]
@@ -133,7 +144,7 @@ def _marked_lines(batches: Iterator[pa.RecordBatch], size: int, marks: bytes) ->
     """The lines whose bit of ``marks`` is set, with sizes and sketches."""
     let_go()
     bits = np.frombuffer(marks, np.uint8)
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole, ["text"], SLICE_BYTES)):
         keys = batch.column("text_key")
         lines = [(text or "").split("\n") for text in batch.column("text").to_pylist()]
         counts = np.array([len(x) for x in lines])
@@ -175,8 +186,7 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
     """The pairs ``a, b`` of lines whose Jaccard similarity is large enough."""
     let_go()
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            own = batch.slice(start, 2048)
+        for own in _pieces(batch, ["a_line", "b_line"], PIECE):
             rows, hashes = (np.concatenate(x) for x in zip(*(_of_pairs(own.column(c), size) for c in ("a_line", "b_line"))))
             total = np.bincount(rows, minlength=own.num_rows)
             common = total - np.bincount(_distinct(rows, hashes, own.num_rows)[0], minlength=own.num_rows)
@@ -307,7 +317,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     let_go()
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole, ["text"], SLICE_BYTES)):
         texts = []
         for text, dropped in zip(batch.column("text").to_pylist(), batch.column("__dropped").to_pylist()):
             if dropped:

@@ -573,3 +573,18 @@ def test_only_marked_lines_are_read_again():
     packed = np.packbits(marks, bitorder="little").tobytes()
     found = [r for out in fuzzy_lines._marked_lines(iter([batch]), 8, packed) for r in out.to_pylist()]
     assert [(r["text_key"]["high"], r["line_no"], r["line"]) for r in found] == [(1, 2, "third line"), (2, 0, "other line")]
+
+
+def test_pairs_of_long_lines_are_tested_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    near = [base[:1500] + str(i) + base[1500:] for i in range(300)]
+    other = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(3)]
+    b_line = near[:100] + [other[0]] + near[101:200] + [other[1], None] + near[202:299] + [other[2]]
+    ids = pa.array(range(300))
+    batch = pa.record_batch({"a": ids, "b": ids, "a_line": pa.array([base] * 300), "b_line": pa.array(b_line)})
+    held, real = [], fuzzy_lines._distinct
+    monkeypatch.setattr(fuzzy_lines, "_distinct", lambda rows, *rest: held.append(len(rows)) or real(rows, *rest))
+    found = [i for out in fuzzy_lines._verified(iter([batch, batch.slice(0, 0)]), 8, 80) for i in out.column("a").to_pylist()]
+    assert found == [i for i in range(300) if i not in (100, 200, 201, 299)]
+    assert max(held) <= fuzzy_lines.PIECE
