@@ -12,19 +12,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     A union-find in rounds: every node hooks the larger of its neighbours to the smallest
     one it knows, then every node hooks its smaller neighbours to the smallest of them, until
-    the edges no longer change and form one star for each component.  Each round is written to
+    the edges form one star for each component.  Each round is written to
     the shared folder, so a lost executor costs its own tasks only.  Minima are combined before
     the shuffle; a hub's edges are joined with a stored table, which Spark can split.
 
     Loops, repeated edges and edges in either direction are fine; a null end makes no edge.
     """
     current = _edges(edges)
-    sign = _signature(current)
-    while True:
+    while not _are_stars(current):
         current = _round(current)
-        before, sign = sign, _signature(current)
-        if sign == before:
-            break
     roots = current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
 
@@ -68,6 +64,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hooked.union(nearest.selectExpr("m AS a", "b")).distinct()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge and is no smaller end: so it stays, and its smaller end is its component's least node."""
+    ends = edges.selectExpr("a AS node", "1 AS as_root", "0 AS as_leaf").union(edges.selectExpr("b AS node", "0 AS as_root", "1 AS as_leaf"))
+    counted = ends.groupBy("node").agg(F.max("as_root").alias("as_root"), F.sum("as_leaf").alias("as_leaf"))
+    return counted.agg(F.count_if((F.col("as_leaf") > 1) | (F.col("as_leaf") > 0) & (F.col("as_root") > 0))).first()[0] == 0

@@ -25,7 +25,7 @@ PERCENT = 80
 BANDS, ROWS = 8, 3  # a pair of similarity 0.8 shares a band with probability 0.997
 SKETCH_BITS = 1024
 MARKS = 1 << 26  # bits that mark the lines to be read again
-ROUNDS = 2  # of joining components before the last links are known
+ROUNDS = 1  # of joining components before the last links are known
 PARTNERS = 4  # members of a part's largest component that each of its other members is compared with
 PIECE = 1 << 18  # bytes of lines whose shingles a task holds at once, or one pair of longer lines
 _EMPTY = np.uint64(2**64 - 1)
@@ -216,31 +216,38 @@ def _side(lines: DataFrame, side: str, *columns: str) -> DataFrame:
     return lines.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(_side(lines, side, "n", "sketch"), side)
-    pairs = staged(pairs.filter(_may_link(percent)).select("a", "b"))
-    for side in "ab":
-        pairs = pairs.join(_side(lines, side, "line"), side)
+def _exactly(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(partial(_verified, size=size, percent=percent), "a bigint, b bigint")
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``key, id, of`` of the parts that hold several components, ``of`` being the component as far as joined."""
+def _similar(pairs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFrame:
+    pairs = pairs.join(_side(lines, "a", "n", "sketch"), "a").join(_side(lines, "b", "n", "sketch", "line"), "b")
+    pairs = pairs.filter(_may_link(percent)).select("a", "b", "b_line")
+    return _exactly(pairs.join(_side(lines, "a", "line"), "a"), size, percent)
+
+
+def _named(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, id, pivot, of``, ``of`` being the component as far as joined."""
     joined = joined_so_far(links).withColumnRenamed("node", "id")
-    named = staged(members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of")))
-    several = named.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
-    return staged(named.join(staged(several), "key"))
+    return staged(members.join(joined, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("of")))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """The rows of the parts that hold several components, with ``largest``, the component of most lines."""
+    sizes = named.groupBy("key", "of").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest"), F.count("*").alias("several"))
+    return staged(named.join(staged(largest.filter("several > 1").drop("several")), "key"))
 
 
 def _with_largest(parts: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of each line outside its part's largest component with up to ``PARTNERS`` lines of that."""
-    sizes = parts.groupBy("key", "of").agg(F.count("*").alias("n"))
-    largest = staged(sizes.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest")))
-    told = parts.join(largest, "key")
+    """Pairs ``a, b`` of each line outside its part's largest component with up to ``PARTNERS`` lines of that.
+
+    Pivots are left out: each line of a part was compared with its pivot before.
+    """
     slot = F.pmod(F.xxhash64("id"), F.lit(PARTNERS))
-    partners = staged(told.filter("of = largest").groupBy("key", slot.alias("slot")).agg(F.min("id").alias("partner")))
-    pairs = told.filter("of != largest").select("key", "id").join(partners, "key")
+    others = parts.filter("id != pivot")
+    partners = staged(others.filter("of = largest").groupBy("key", slot.alias("slot")).agg(F.min("id").alias("partner")))
+    pairs = others.filter("of != largest").select("key", "id").join(partners, "key")
     return pairs.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
 
 
@@ -278,9 +285,9 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     members = parts.select("key", "id", F.min("id").over(part).alias("pivot"), F.max("id").over(part).alias("last"))
     members = staged(members.filter("pivot < last").drop("last"))
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    stars = staged(members.filter("id != pivot").select(*pair).distinct())
+    stars = members.filter("id != pivot").select(*pair).distinct()
 
-    met = classes.select("id", "one", "two", "at").join(members.select("id").distinct(), "id", "left_semi")
+    met = classes.select("id", "one", "two", "at").join(members.select("id"), "id", "left_semi")
     met = staged(met)
     wanted = met.select("id", "at.text_key", "at.line_no")
     task = partial(_marked_lines, size=size, marks=_marks(wanted))
@@ -291,14 +298,16 @@ def line_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     found = staged(found.select("id", "line", "n", "sketch"))
 
     links = contracted(_similar(stars, found, size, percent), ROUNDS)
-    members = _open(members.select("key", "id"), links)
-    links = contracted(links.union(_similar(staged(_with_largest(members)), found, size, percent)), ROUNDS)
-    open_ = staged(_open(members.select("key", "id"), links).join(found.select("id", "n", "sketch"), "id"))
+    members = _open(_named(members, links))
+    links = contracted(links.union(_similar(_with_largest(members), found, size, percent)), ROUNDS)
+    open_ = _open(_named(members, links)).filter("id != pivot")  # the pivot was compared with all of its part
+    open_ = staged(open_.join(found.select("id", "n", "sketch"), "id"))
     left, right = (_side(open_, side, "key", "of", "n", "sketch") for side in "ab")
     both = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of"))
     rest = left.join(right, both & _may_link(percent)).select("a", "b").distinct()
-    rest = staged(rest.join(stars, ["a", "b"], "left_anti"))
-    links = links.union(_similar(rest, found, size, percent))
+    for side in "ab":
+        rest = rest.join(_side(found, side, "line"), side)
+    links = links.union(_exactly(rest, size, percent))
 
     joined = staged(components(links)).withColumnRenamed("node", "id")
     named = staged(met.join(joined, "id"))

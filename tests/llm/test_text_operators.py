@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablevet.llm import bpe, fuzzy_lines, kneser_ney, ppm
+from tablevet.llm import bpe, components as components_module, fuzzy_lines, kneser_ney, ppm
 from tablevet.llm.bytegrams import gram_counts, with_scores
 from tablevet.llm.decontaminate import benchmark_hits
 from tablevet.llm.fuzzy_lines import line_components, without_repeated_lines
@@ -588,3 +588,19 @@ def test_pairs_of_long_lines_are_tested_in_pieces(monkeypatch):
     found = [i for out in fuzzy_lines._verified(iter([batch, batch.slice(0, 0)]), 8, 80) for i in out.column("a").to_pylist()]
     assert found == [i for i in range(300) if i not in (100, 200, 201, 299)]
     assert max(held) <= fuzzy_lines.PIECE
+
+
+def test_edges_of_stars_need_no_round(spark, monkeypatch):
+    rounds, real = [], components_module._round
+    monkeypatch.setattr(components_module, "_round", lambda edges: rounds.append(1) or real(edges))
+    for edges, least in (
+        ([], 0), ([(1, 2), (3, 1), (1, 4), (5, 6)], 0), ([(1, 2), (2, 3)], 1), ([(1, 3), (2, 3)], 1), ([(i, i + 1) for i in range(40)], 2),
+    ):
+        rounds.clear()
+        union = Union()
+        for a, b in edges:
+            union.join(a, b)
+        found = components_module.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert {r.node: r.component for r in found} == {x: union.root(x) for edge in edges for x in edge}
+        assert len(found) == len({x for edge in edges for x in edge})
+        assert len(rounds) == 0 if least == 0 else len(rounds) >= least
