@@ -345,9 +345,12 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """
     lines = line_components(docs, **options)
     dropped = lines.filter("NOT kept").groupBy("text_key").agg(F.collect_set("line_no").alias("__dropped"))
-    dropped = staged(dropped.withColumnRenamed("text_key", "__text_key"))
-    keyed = docs.withColumn("__text_key", _text_key()).join(dropped, "__text_key", "left")
-    out = keyed.dropDuplicates(["__text_key"]).select(*docs.columns, "__dropped")
+    # two whole numbers as keys: a struct read from Parquet is another type than one made here, and the texts would be shuffled twice
+    keys = ["__high", "__low"]
+    dropped = staged(dropped.select(F.col("text_key.high").alias(keys[0]), F.col("text_key.low").alias(keys[1]), "__dropped"))
+    made = _text_key()
+    keyed = docs.withColumns({keys[0]: made.getField("high"), keys[1]: made.getField("low")}).join(dropped, keys, "left")
+    out = keyed.dropDuplicates(keys).select(*docs.columns, "__dropped")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     was = F.col("__dropped").isNotNull()
     out = out.withColumn("__cut", was).mapInArrow(_without, f"{fields}, `__cut` boolean")

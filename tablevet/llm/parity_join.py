@@ -85,12 +85,19 @@ def part_keys(elements: np.ndarray, likeness: Similarity) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def sketch_of(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements that hash to each of ``SKETCH_BITS`` bits."""
-    bits = np.bincount((mix(elements) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+def sketch_of(elements: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of the elements that hash to each of ``size`` bits, a power of two; its halves by XOR are the sketch of half the size."""
+    bits = np.bincount((mix(elements) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch_of(elements: np.ndarray) -> np.ndarray:
+    """A sketch of a bit or more an element; none for a set that :func:`sketch_of` tells apart itself."""
+    if len(elements) <= SKETCH_BITS:
+        return np.zeros(0, np.int64)
+    return sketch_of(elements, 1 << (len(elements) - 1).bit_length())
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     for first, data, at in slices(batch.column("text")):
         words, starts = word_hashes(data, at)
@@ -106,6 +113,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
         sizes, key_counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         sketches, keys = np.zeros((n, SKETCH_WORDS), np.int64), []
+        wide, wide_counts = [np.zeros(0, np.int64)], np.zeros(n, np.int64)
         for row, found in _sets(batch, size):
             sizes[row] = len(found)
             if not len(found):
@@ -114,15 +122,18 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
             two[row] = np.add.reduce(mix(found))
             if own := part_keys(found, likeness).tolist():
                 sketches[row] = sketch_of(found)
+                wide.append(wide_sketch_of(found))
+                wide_counts[row] = len(wide[-1])
                 keys.append(np.array(own, np.uint64))
                 key_counts[row] = len(own)
         joined = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), pa.array(sizes), pa.array(signed(one)), pa.array(signed(two)),
-                list_column(sketches.reshape(-1), np.full(n, SKETCH_WORDS)), list_column(joined, key_counts),
+                list_column(sketches.reshape(-1), np.full(n, SKETCH_WORDS)), list_column(np.concatenate(wide), wide_counts),
+                list_column(joined, key_counts),
             ],
-            names=["doc_id", "n_shingles", "one", "two", "sketch", "keys"],
+            names=["doc_id", "n_shingles", "one", "two", "sketch", "wide", "keys"],
         )
 
 
@@ -143,14 +154,34 @@ def _hamming() -> Column:
     return sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
+def _wide_hamming() -> Column:
+    """Differing bits of the wide sketches of a pair, of which the longer is folded to the other; of no bits if one has none."""
+    a, b = F.col("a_wide"), F.col("b_wide")
+
+    def folded(x: Column, other: Column) -> Column:
+        n = F.size(other)
+        halves = F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > n, halves).otherwise(x)
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.aggregate(bits, F.lit(0), lambda total, n: total + n))
+
+
+def _may_link(percent: int) -> Column:
+    """Not ruled out by sizes and sketches.  Sizes so near leave the wide sketches at most a fold apart."""
+    a, b = F.col("a_n"), F.col("b_n")
+    most = (a + b) * (100 - percent)
+    near = (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (_hamming() * (100 + percent) <= most)
+    return near & (_wide_hamming() * (100 + percent) <= most)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the stored pairs ``a, b`` whose sets are similar enough; only sets that their sketches leave open are read."""
     near = pairs
     for side in "ab":
-        own = sketched.filter("size(keys) > 0").selectExpr(f"doc_id AS {side}", f"n_shingles AS {side}_n", f"sketch AS {side}_sketch")
-        near = near.join(own, side)
-    total = F.col("a_n") + F.col("b_n")
-    near = staged(near.filter(_hamming() * (100 + percent) <= total * (100 - percent)).select("a", "b").distinct())
+        own = [f"doc_id AS {side}", f"n_shingles AS {side}_n", f"sketch AS {side}_sketch", f"wide AS {side}_wide"]
+        near = near.join(sketched.filter("size(keys) > 0").selectExpr(*own), side)
+    near = staged(near.filter(_may_link(percent)).select("a", "b").distinct())
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     sets = docs.join(staged(ids), "doc_id", "left_semi").mapInArrow(
         partial(_element_lists, size=size), "doc_id bigint, elements array<bigint>"
@@ -175,13 +206,13 @@ def similar_documents(docs: DataFrame, shingle_words: int = 3, percent: int = 90
 
     Equal sets are one class before any join.  Candidates are first compared with the smallest
     document of their part only; where a part then still holds several components, all its pairs
-    of different components are compared.  Sketches reject most of them before their sets are read.
+    of different components are compared.  Sketches that grow with the sets reject most of them before their sets are read.
     """
     docs = docs.select("doc_id", "text")
     sketched = staged(
         docs.mapInArrow(
             partial(_sketched, size=shingle_words, percent=percent),
-            "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch array<bigint>, keys array<bigint>",
+            "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch array<bigint>, wide array<bigint>, keys array<bigint>",
         )
     )
     same = ["one", "two", "n_shingles"]

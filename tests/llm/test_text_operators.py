@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablevet.llm import bpe, components as components_module, fuzzy_lines, kneser_ney, ppm
+from tablevet.llm import bpe, components as components_module, fuzzy_lines, kneser_ney, parity_join, ppm
 from tablevet.llm.bytegrams import gram_counts, with_scores
 from tablevet.llm.decontaminate import benchmark_hits
 from tablevet.llm.fuzzy_lines import line_components, without_repeated_lines
@@ -604,3 +604,39 @@ def test_edges_of_stars_need_no_round(spark, monkeypatch):
         assert {r.node: r.component for r in found} == {x: union.root(x) for edge in edges for x in edge}
         assert len(found) == len({x for edge in edges for x in edge})
         assert len(rounds) == 0 if least == 0 else len(rounds) >= least
+
+
+def test_only_sets_of_near_long_texts_are_read(spark, monkeypatch):
+    """Long texts that share four words of ten meet in parts; wide sketches of either length tell them from linked ones."""
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common = words(2600)
+    texts = [common + words(3900) for _ in range(6)]
+    linked = words(4050)
+    texts += [linked, linked + words(200), words(20) + linked[40:]]  # 4,096 bits, 8,192 bits, 4,096 bits
+    texts = [" ".join(x) for x in texts]
+    read, real = [], parity_join.staged
+
+    def counted(df):
+        out = real(df)
+        if "elements" in out.columns:
+            read.extend(r.doc_id for r in out.select("doc_id").collect())
+        return out
+
+    monkeypatch.setattr(parity_join, "staged", counted)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(frame(spark, texts), 5, 80).collect()}
+    assert found == expected_components(dict(enumerate(texts)), 5, 80)
+    assert found[7][1] == found[8][1] == 6
+    assert set(read) == {6, 7, 8}
+
+
+def test_texts_are_shuffled_once_when_lines_go(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = without_repeated_lines(frame(spark, ["the first line\nanother line", "the first line\na third line"]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the texts, and the numbers of the lines that go
+        assert sorted(r.text for r in out.collect()) == ["a third line", "the first line\nanother line"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
