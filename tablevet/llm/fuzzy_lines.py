@@ -40,29 +40,33 @@ class _Lines:
         breaks = np.flatnonzero(chars == 10)
         self.starts = np.sort(np.r_[text_at[:-1], breaks + 1], kind="stable")
         self.ends = np.sort(np.r_[breaks, text_at[1:]], kind="stable")
-        before = np.r_[0, np.cumsum(chars == 10)][text_at]
-        self.counts = np.diff(before) + 1  # lines of each text
+        self.counts = np.diff(np.searchsorted(breaks, text_at)) + 1  # lines of each text
         sums, down = character_hash(chars)
         self.lengths = self.ends - self.starts
         whole = (sums[self.ends] - sums[self.starts]) * down[self.starts]
         self.one = mix(whole + self.lengths.astype(np.uint64))
         self.shingles = np.where(self.lengths >= size, self.lengths - size + 1, np.minimum(self.lengths, 1))
         self.line_of = np.repeat(np.arange(len(self.starts)), self.shingles)
-        first = np.r_[0, np.cumsum(self.shingles)[:-1]]
-        place = np.arange(len(self.line_of)) - np.repeat(first - self.starts, self.shingles)
-        stop = np.minimum(place + size, self.ends[self.line_of])
-        hashes = (sums[stop] - sums[place]) * down[place]
+        self.first = np.cumsum(self.shingles) - self.shingles  # each line's place among all shingles
+        short = (self.lengths > 0) & (self.lengths < size)
+        if len(chars) >= size:  # the shingles of all places in one sweep, then those that lie in one line
+            every = (sums[size:] - sums[:-size]) * down[: len(chars) - size + 1]
+            place = np.arange(len(self.line_of)) - np.repeat(self.first - self.starts, self.shingles)
+            hashes = every[np.minimum(place, len(every) - 1)]
+        else:
+            hashes = np.zeros(len(self.line_of), np.uint64)
+        hashes[self.first[short]] = whole[short]
         hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         self.hashes = hashes ^ (hashes >> np.uint64(32))
-        ink = np.r_[0, np.cumsum(~blanks(chars))]
-        self.blank = ink[self.ends] == ink[self.starts]
+        ink = np.flatnonzero(~blanks(chars))
+        self.blank = np.searchsorted(ink, self.ends) == np.searchsorted(ink, self.starts)
 
     def second(self) -> np.ndarray:
         """A second hash of each line."""
-        sums = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * np.uint64(0xA0761D6478BD642F), out=sums[1:])
-        stop = np.cumsum(self.shingles)
-        return mix(sums[stop] - sums[stop - self.shingles])
+        sums = np.zeros(len(self.shingles), np.uint64)
+        if len(held := np.flatnonzero(self.shingles)):
+            sums[held] = np.add.reduceat(self.hashes * np.uint64(0xA0761D6478BD642F), self.first[held])
+        return mix(sums)
 
     def bands(self, bands: int, rows: int) -> np.ndarray:
         bins, lines = bands * rows, len(self.starts)

@@ -107,12 +107,13 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a slice's texts, A-Z as a-z, and the texts' offsets among them."""
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    begun = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    return np.where((chars >= 65) & (chars <= 90), chars + np.uint32(32), chars), begun[at]
+    inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no character
+    lower = ((chars - np.uint32(65)) < 26).astype(np.uint32) << np.uint32(5)
+    return chars + lower, at - np.searchsorted(inner, at)
 
 
 def blanks(chars: np.ndarray) -> np.ndarray:
-    return (chars == 32) | ((chars >= 9) & (chars <= 13))
+    return (chars == 32) | ((chars - np.uint32(9)) < 5)
 
 
 _CHARACTER = mix(np.arange(1 << 16, dtype=np.uint64))
@@ -120,7 +121,9 @@ _CHARACTER = mix(np.arange(1 << 16, dtype=np.uint64))
 
 def character_hash(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`prefix_hash`, over code points."""
-    signs = _CHARACTER[chars & 0xFFFF] ^ (chars >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    signs = _CHARACTER[chars & 0xFFFF]
+    if len(chars) and chars.max() >> 16:
+        signs ^= (chars >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     up, down = powers(len(chars))
     sums = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum(signs * up[: len(chars)], out=sums[1:])

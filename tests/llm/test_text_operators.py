@@ -640,3 +640,27 @@ def test_texts_are_shuffled_once_when_lines_go(spark):
         assert sorted(r.text for r in out.collect()) == ["a third line", "the first line\nanother line"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_one_running_sum_over_the_characters_of_a_slice(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", "\n", "abc\n\n  \t\nABCDEFGH\nabcdefgh", None, "seven77", "é" * 9 + "\n\U0001f600 and more\n", "x", "".join(rng.choice("ab cé\n") for _ in range(3000)), "end"]
+    data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len((t or "").encode()) for t in texts])
+    sums, real = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda x, *a, **k: sums.append(len(x)) or real(x, *a, **k))
+    own = fuzzy_lines._Lines(data, at, 8)
+    own.second()
+    assert sum(n > 1500 for n in sums) == 1  # the rolling hash
+    monkeypatch.undo()
+    lines = [line.translate({c: c + 32 for c in range(65, 91)}) for t in texts for line in (t or "").split("\n")]
+    assert own.counts.tolist() == [(t or "").count("\n") + 1 for t in texts]
+    assert own.blank.tolist() == [not line.strip(" \t\n\v\f\r") for line in lines]
+    runs = [[line[i : i + 8] for i in range(max(1, len(line) - 7))] if line else [] for line in lines]
+    assert own.shingles.tolist() == [len(x) for x in runs]
+    named = defaultdict(set)
+    for run, found in zip((x for own_runs in runs for x in own_runs), own.hashes.tolist(), strict=True):
+        named[run].add(found)
+    assert all(len(x) == 1 for x in named.values()) and len({min(x) for x in named.values()}) == len(named)
+    second = own.second().tolist()
+    assert all((a == b) == (x == y) for a, x in zip(second, lines) for b, y in zip(second, lines))
